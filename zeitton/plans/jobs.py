@@ -34,8 +34,9 @@ def collect(
 ) -> DataFrame:
     """Listing rows of the archive pages of a date range.
 
-    The stop rules need one narrow row per page. With ``staged`` that row is stored once and read
-    for both rules; the HTML is then read a second time only for the pages that stay.
+    The stop rules need one narrow row per page. With ``staged`` those rows are stored once and read
+    for both rules. Their outcome, one row per day and per month, is broadcast to the pages, so the
+    HTML itself is never shuffled.
     """
     if start:
         pages = pages.where(F.col("day") >= F.lit(start).cast("date"))
@@ -43,9 +44,8 @@ def collect(
         pages = pages.where(F.col("day") <= F.lit(end).cast("date"))
     status = page_status(pages)
     status = stage(status, "page-status") if staged else status
-    kept = pages_until_stop(status)
-    cut = days_until_summary(kept).select("day", "page")
-    return extract_teasers(pages.join(cut, ["day", "page"], "left_semi")).drop("position")
+    kept = pages_until_stop(pages, status)
+    return extract_teasers(days_until_summary(kept, pages_until_stop(status))).drop("position")
 
 
 def collect_after(pages: DataFrame, failed: DataFrame, staged: bool = True) -> DataFrame:

@@ -5,30 +5,31 @@ from pyspark.sql import types as T
 FIELDS = ("headline", "short_headline", "short_text", "articleBody")
 CLASSES = ("positive", "negative", "neutral")
 
-RAW_PAGE = T.StructType.fromDDL("page_id BIGINT, url STRING, html STRING")
-ARCHIVE_PAGE = T.StructType.fromDDL("day DATE, page INT, html STRING")
-ARTICLE_PAGE = T.StructType.fromDDL("link STRING, html STRING")
-FAILED_DAY = T.StructType.fromDDL("day DATE, page INT, rest STRING")
-
-LISTING = T.StructType.fromDDL(
-    "date_api STRING, page_api INT, date STRING, headline STRING, short_headline STRING, "
-    "short_text STRING, link STRING"
+TEXT, INT, LONG, DAY, NUMBER = T.StringType(), T.IntegerType(), T.LongType(), T.DateType(), T.DoubleType()
+
+
+def table_of(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+RAW_PAGE = table_of(page_id=LONG, url=TEXT, html=TEXT)
+ARCHIVE_PAGE = table_of(day=DAY, page=INT, html=TEXT)
+ARTICLE_PAGE = table_of(link=TEXT, html=TEXT)
+FAILED_DAY = table_of(day=DAY, page=INT, rest=TEXT)
+
+LISTING = table_of(
+    date_api=TEXT, page_api=INT, date=TEXT, headline=TEXT, short_headline=TEXT, short_text=TEXT, link=TEXT
 )
 # Text form of an article, as exchanged in tab-separated files: author and taglist are JSON text.
 ARTICLE = T.StructType(
     LISTING.fields
-    + T.StructType.fromDDL(
-        "label STRING, articleBody STRING, datePublished STRING, author STRING, "
-        "description STRING, taglist STRING"
+    + table_of(
+        label=TEXT, articleBody=TEXT, datePublished=TEXT, author=TEXT, description=TEXT, taglist=TEXT
     ).fields
 )
 ARTICLE_SENTIMENT = T.StructType(
     ARTICLE.fields
-    + [
-        T.StructField(f"{field}_sentiment_{part}", T.StringType())
-        for field in FIELDS
-        for part in ("category", "score")
-    ]
+    + [T.StructField(f"{field}_sentiment_{part}", TEXT) for field in FIELDS for part in ("category", "score")]
 )
 DROPPED_BY_CLEANING = ("page_api", "short_headline", "articleBody", "description")
 ARTICLE_POLARITY = T.StructType(
@@ -37,8 +38,8 @@ ARTICLE_POLARITY = T.StructType(
         for f in ARTICLE_SENTIMENT.fields
         if f.name not in DROPPED_BY_CLEANING
     ]
-    + [T.StructField(f"{field}_polarity", T.DoubleType()) for field in FIELDS]
+    + [T.StructField(f"{field}_polarity", NUMBER) for field in FIELDS]
 )
 
-PROBABILITIES = T.StructType([T.StructField(c, T.DoubleType()) for c in CLASSES])
-CHUNK_SCORE = T.StructType([T.StructField("label", T.StringType()), *PROBABILITIES.fields])
+PROBABILITIES = table_of(**{c: NUMBER for c in CLASSES})
+CHUNK_SCORE = table_of(label=TEXT, **{c: NUMBER for c in CLASSES})
