@@ -20,7 +20,7 @@ def iso_day(text: Column) -> Column:
 
 
 def day_text(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("date").cast("string")
 
 
 def month_label(day: Column) -> Column:

@@ -1,8 +1,9 @@
-"""Tag-level reading of HTML text with split, regex and array functions.
+"""Tag-level reading of HTML with split, regex and array functions.
 
-An element is found by its opening tag and ends at its own closing tag: the text is cut before
-every opening and closing tag of that name and the nesting depth is counted over the pieces.
-Comments, scripts and styles are blanked first, so they neither count as text nor as tags.
+A page becomes an array of tokens, cut at every ``<``: each token is a tag and the text after it,
+as in ``span class="x">text``. An element is found by its opening token and ends at its own closing
+one, which the running count of opening and closing tokens of that name tells. Comments, scripts and
+styles are blanked first, so they count neither as text nor as tags.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ from pyspark.sql import Column, functions as F
 
 from zeitton.functions.text import bind, strip
 
-MARKER = "<!>"
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
 ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
 
 
 def without_hidden(html: Column) -> Column:
-    return F.regexp_replace(html, HIDDEN, MARKER)
+    return F.regexp_replace(html, HIDDEN, "<!>")
+
+
+def tokens(html: Column) -> Column:
+    """Tokens of a page; text before the first tag comes as the text of an empty declaration."""
+    return F.split(F.concat(F.lit("!>"), html), "<")
 
 
 def attribute_pattern(name: str, value: str, token: bool = False) -> str:
@@ -38,55 +43,67 @@ def attribute_pattern(name: str, value: str, token: bool = False) -> str:
     return rf"(?=[^>]*?\s{name}\s*=\s*(?:{'|'.join(forms)}))"
 
 
-def opening(tag: str, lookahead: str) -> str:
-    """Pattern for an opening tag; ``tag`` may itself be a pattern."""
-    return rf"<{tag}(?=[\s>/]){lookahead}[^>]*>"
+def opens(token: Column, tag: str, lookahead: str = "") -> Column:
+    """Whether a token opens ``tag`` (a name, or a pattern for names) with these attributes."""
+    return token.rlike(rf"(?is)^{tag}(?=[\s>/]){lookahead}")
 
 
-def tag_pieces(html: Column, tag: str) -> Column:
-    return F.split(html, rf"(?i)(?=</?{tag}[\s>/])")
+def open_position(page: Column, tag: str, lookahead: str = "") -> Column:
+    """1-based position of the first such opening token, 0 when there is none."""
+    return F.array_position(F.transform(page, lambda t: opens(t, tag, lookahead)), F.lit(True)).cast("int")
 
 
-def closing_index(pieces: Column, tag: str) -> Column:
-    """1-based position of the piece that closes the element opened by the first piece, else 0."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+def from_position(page: Column, at: Column) -> Column:
+    return F.slice(page, at, F.size(page))
 
-    def step(state: Column, piece: Column) -> Column:
-        head = F.lower(F.substring(piece, 1, len(tag) + 2))
-        depth = state["depth"] + F.when(head.startswith(f"</{tag}"), -1).when(
-            head.startswith(f"<{tag}"), 1
-        ).otherwise(0)
-        at = state["at"] + 1
-        end = F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"])
-        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
 
-    return F.aggregate(pieces, start, step, lambda state: state["end"])
+def marks(page: Column, tag: str) -> Column:
+    """1-based positions of the tokens of one tag name, negative where it is closed."""
 
+    def mark(token: Column, i: Column) -> Column:
+        place = F.when(token.startswith("/"), -(i + 1)).otherwise(i + 1)
+        return F.when(token.rlike(rf"(?i)^/?{tag}[\s>/]"), place)
 
-def until_closed(pieces: Column, tag: str) -> Column:
-    """Pieces of the element opened by the first piece; all of them when it is never closed."""
-    return bind(
-        closing_index(pieces, tag),
-        lambda end: F.when(end > 0, F.slice(pieces, F.lit(1), end - 1)).otherwise(pieces),
+    return F.filter(F.transform(page, mark), lambda m: m.isNotNull())
+
+
+def depths(signed: Column) -> Column:
+    """Nesting depth after each mark."""
+    return F.aggregate(
+        signed,
+        F.array().cast("array<int>"),
+        lambda acc, m: F.array_append(
+            acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.when(m > 0, 1).otherwise(-1)
+        ),
     )
 
 
-def element(html: Column, tag: str, lookahead: str) -> Column:
-    """Source text of the first matching element, opening tag included; null when there is none."""
-    rest = F.regexp_extract(html, f"(?is){opening(tag, lookahead)}.*", 0)
+def closed(page: Column, tag: str) -> Column:
+    """Tokens of the element that the first token opens; all tokens when it is never closed."""
+
+    def cut(signed: Column) -> Column:
+        nested = F.array_position(depths(signed), F.lit(0)).cast("int")
+        # With nothing nested the second mark is the closing one.
+        which = F.when(F.get(signed, 1) < 0, F.lit(2)).otherwise(nested)
+        end = bind(which, lambda w: F.when(w > 0, -F.get(signed, w - 1) - 1).otherwise(F.size(page)))
+        return F.slice(page, F.lit(1), end)
+
+    return bind(marks(page, tag), cut)
+
+
+def element(page: Column, tag: str, lookahead: str = "") -> Column:
+    """Tokens of the first matching element; null when there is none."""
     return bind(
-        rest,
-        lambda found: F.when(
-            found != "",
-            bind(tag_pieces(found, tag), lambda pieces: F.array_join(until_closed(pieces, tag), "")),
-        ),
+        open_position(page, tag, lookahead),
+        lambda at: F.when(at > 0, bind(from_position(page, at), lambda rest: closed(rest, tag))),
     )
 
 
-def attribute(tag_text: Column, name: str) -> Column:
-    """Value of an attribute of the first tag in ``tag_text``; ``""`` when missing."""
-    pattern = rf"(?is)^<[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    return decode_entities(F.concat(*(F.regexp_extract(tag_text, pattern, i) for i in (1, 2, 3))))
+def attribute(token: Column, name: str) -> Column:
+    """Value of an attribute of an opening token; ``""`` when missing."""
+    pattern = rf"(?is)^[^>]*?\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = bind(token, lambda t: F.concat(*(F.regexp_extract(t, pattern, i) for i in (1, 2, 3))))
+    return bind(value, decode_entities)
 
 
 def _named_entities() -> Column:
@@ -113,7 +130,7 @@ def decode_entities(text: Column) -> Column:
                 .when(name.startswith("#"), F.substr(name, F.lit(2)).try_cast("int"))
                 .otherwise(F.try_element_at(named, name))
             )
-            return F.concat(_character(code), F.substr(piece, F.length(whole) + 1))
+            return F.concat(bind(code, _character), F.substr(piece, F.length(whole) + 1))
 
         decoded = bind(F.regexp_extract(piece, ENTITY, 1), replace)
         return F.when(piece.startswith("&"), F.coalesce(decoded, piece)).otherwise(piece)
@@ -122,12 +139,18 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
-def visible_text(html: Column) -> Column:
-    """Every text node stripped, joined with nothing. ``html`` is free of hidden parts."""
-    nodes = F.split(html, "<[^>]*>")
-    return F.array_join(F.transform(nodes, lambda node: strip(decode_entities(node))), "")
+def visible_text(page: Column) -> Column:
+    """Every text node stripped, joined with nothing. A bracket that opens no tag is text itself."""
+
+    def node(token: Column) -> Column:
+        end = F.instr(token, ">")
+        after = F.when(end > 0, F.substr(token, end + 1)).otherwise("")
+        text = F.when(token.rlike("^[A-Za-z/!?]"), after).otherwise(F.concat(F.lit("<"), token))
+        return bind(text, lambda t: strip(decode_entities(t)))
+
+    return F.array_join(F.transform(page, node), "")
 
 
-def element_text(html: Column, tag: str, lookahead: str) -> Column:
+def element_text(page: Column, tag: str, lookahead: str = "") -> Column:
     """Visible text of the first matching element; ``""`` when there is none."""
-    return F.coalesce(visible_text(element(html, tag, lookahead)), F.lit(""))
+    return F.coalesce(visible_text(element(page, tag, lookahead)), F.lit(""))

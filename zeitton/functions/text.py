@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 # Unicode white space plus the four ASCII separators that text splitting also breaks on.
 SPACE = r"[\s\x1c-\x1f]"
 WORD = r"[^\s\x1c-\x1f]"
+# The same characters one by one.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 CHUNK_WORDS = 200
 
 
@@ -23,7 +28,7 @@ def has_text(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from zeitton.functions.html import attribute_pattern, element_text, opening, without_hidden
+from zeitton.functions.html import attribute_pattern, element_text, tokens, without_hidden
 from zeitton.functions.text import bind
 
 # The markup of an article page.
@@ -17,7 +17,7 @@ ARTICLE_TYPE = "NewsArticle"
 
 def data_blocks(html: Column) -> Column:
     """Contents of all embedded JSON-LD scripts, in page order."""
-    pattern = rf"(?is){opening('script', attribute_pattern('type', DATA_TYPE))}(.*?)</script\s*>"
+    pattern = rf"(?is)<script(?=[\s>/]){attribute_pattern('type', DATA_TYPE)}[^>]*>(.*?)</script\s*>"
     return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
 
 
@@ -81,7 +81,8 @@ def _tags(article: Column) -> Column:
 
 
 def article_label(html: Column) -> Column:
-    return element_text(without_hidden(html), "span", attribute_pattern("class", LABEL_CLASS))
+    page = tokens(without_hidden(html))
+    return bind(page, lambda p: element_text(p, "span", attribute_pattern("class", LABEL_CLASS)))
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:

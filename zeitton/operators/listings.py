@@ -8,11 +8,13 @@ from zeitton.functions.dates import day_text
 from zeitton.functions.html import (
     attribute,
     attribute_pattern,
-    closing_index,
-    element,
+    depths,
     element_text,
-    opening,
-    tag_pieces,
+    from_position,
+    marks,
+    open_position,
+    opens,
+    tokens,
     visible_text,
     without_hidden,
 )
@@ -36,67 +38,102 @@ def _class(name: str) -> str:
     return attribute_pattern("class", name, token=True)
 
 
-def monthly_summary(clean: Column) -> Column:
+def page_tokens(html: Column) -> Column:
+    return tokens(without_hidden(html))
+
+
+def monthly_summary(page: Column) -> Column:
     """True when the archive headline is there and does not begin with a digit."""
-    pattern = rf"(?is){opening('([a-z][a-z0-9]*)', _class(HEADLINE_CLASS))}(.*?)</\1\s*>"
+
+    def text_of(rest: Column) -> Column:
+        name = F.lower(F.regexp_extract(F.get(rest, 0), "^[A-Za-z0-9]+", 0))
+        end = bind(
+            F.concat(F.lit("/"), name),
+            lambda close: F.array_position(F.transform(rest, lambda t: F.lower(t).startswith(close)), F.lit(True)),
+        )
+        return visible_text(F.slice(rest, F.lit(1), F.greatest(end.cast("int") - 1, F.lit(1))))
+
+    return bind(
+        open_position(page, "[a-z][a-z0-9]*", _class(HEADLINE_CLASS)),
+        lambda at: F.when(
+            at > 0,
+            bind(
+                bind(from_position(page, at), text_of),
+                lambda text: (text != "") & ~text.rlike(r"(?U)^\d"),
+            ),
+        ).otherwise(False),
+    )
+
+
+def _content(page: Column) -> Column:
+    """Tokens from the content element on, with the marks and depths of their divs; null when absent."""
+    rest = bind(
+        open_position(page, "div", attribute_pattern("id", CONTENT_ID)),
+        lambda at: F.when(at > 0, from_position(page, at)),
+    )
+    marked = bind(rest, lambda r: F.struct(r.alias("tokens"), marks(r, "div").alias("marks")))
     return bind(
-        visible_text(F.regexp_extract(clean, pattern, 2)),
-        lambda text: (text != "") & ~text.rlike(r"(?U)^\d"),
+        marked,
+        lambda c: F.struct(
+            c["tokens"].alias("tokens"), c["marks"].alias("marks"), depths(c["marks"]).alias("depths")
+        ),
     )
 
 
-def _content_pieces(clean: Column) -> Column:
-    """The content element cut at its div tags; empty when there is none."""
-    content = element(clean, "div", attribute_pattern("id", CONTENT_ID))
-    return F.coalesce(tag_pieces(content, "div"), F.array().cast("array<string>"))
+def _wrapper_marks(content: Column) -> Column:
+    """1-based numbers of the marks that open teaser wrappers inside the content element, in page
+    order, the skipped ones left out. Mark 1 opens the content element itself."""
+    lookahead = _class(WRAPPER_CLASS)
 
+    def inside(end: Column) -> Column:
+        def chosen(mark: Column, i: Column) -> Column:
+            within = (i > 0) & ((end == 0) | (i + 1 < end)) & (mark > 0)
+            return F.when(within & opens(F.get(content["tokens"], mark - 1), "div", lookahead), i + 1)
 
-def _wrapper_positions(pieces: Column) -> Column:
-    """Positions of the teaser wrappers inside the content element, the skipped ones left out."""
-    pattern = f"(?is)^{opening('div', _class(WRAPPER_CLASS))}"
-    marked = F.transform(
-        pieces, lambda piece, i: F.when((i > 0) & piece.rlike(pattern), i + 1)
-    )
-    found = F.filter(marked, lambda at: at.isNotNull())
-    return F.slice(found, F.lit(SKIPPED_WRAPPERS + 1), F.greatest(F.size(found), F.lit(1)))
+        return F.filter(F.transform(content["marks"], chosen), lambda n: n.isNotNull())
 
+    found = bind(F.array_position(content["depths"], F.lit(0)), inside)
+    return bind(found, lambda f: F.slice(f, F.lit(SKIPPED_WRAPPERS + 1), F.greatest(F.size(f), F.lit(1))))
 
-def _wrapper(pieces: Column, at: Column) -> Column:
-    """Text of the wrapper that starts at piece ``at``."""
-    rest = F.slice(pieces, at, F.size(pieces))
-    return bind(
-        rest,
-        lambda r: F.array_join(
-            bind(
-                closing_index(r, "div"),
-                lambda end: F.when(end > 0, F.slice(r, F.lit(1), end - 1)).otherwise(r),
-            ),
-            "",
+
+def _wrapper(content: Column, number: Column) -> Column:
+    """Tokens of the wrapper that a mark opens: up to where the depth falls below its own."""
+    start = F.get(content["marks"], number - 1)
+    later = F.slice(content["depths"], number + 1, F.size(content["depths"]))
+    ahead = F.array_position(later, F.get(content["depths"], number - 1) - 1).cast("int")
+    length = bind(
+        ahead,
+        lambda n: F.when(n > 0, F.abs(F.get(content["marks"], number + n - 1)) - start).otherwise(
+            F.size(content["tokens"])
         ),
     )
+    return F.slice(content["tokens"], start, length)
 
 
-def teaser_texts(clean: Column) -> Column:
-    """Array with the source text of every teaser wrapper, in page order."""
+def teaser_tokens(page: Column) -> Column:
+    """Array with the tokens of every teaser wrapper, in page order; null without a content element."""
     return bind(
-        _content_pieces(clean),
-        lambda pieces: F.transform(_wrapper_positions(pieces), lambda at: _wrapper(pieces, at)),
+        _content(page),
+        lambda content: F.transform(_wrapper_marks(content), lambda number: _wrapper(content, number)),
     )
 
 
-def teaser_count(clean: Column) -> Column:
-    return bind(_content_pieces(clean), lambda pieces: F.size(_wrapper_positions(pieces)))
+def teaser_count(page: Column) -> Column:
+    count = bind(_content(page), lambda content: F.size(_wrapper_marks(content)))
+    return F.greatest(F.coalesce(count, F.lit(0)), F.lit(0))
 
 
 def page_status(pages: DataFrame) -> DataFrame:
     """(day, page) with number of teasers, summary flag and whether the page is missing its text."""
-    clean = without_hidden(F.coalesce(F.col("html"), F.lit("")))
-    return pages.select(
-        "day",
-        "page",
-        teaser_count(clean).alias("n_links"),
-        monthly_summary(clean).alias("monthly_summary"),
-        F.col("html").isNull().alias("error"),
+    page = page_tokens(F.coalesce(F.col("html"), F.lit("")))
+    facts = bind(
+        page,
+        lambda p: F.struct(
+            teaser_count(p).alias("n_links"), monthly_summary(p).alias("monthly_summary")
+        ),
+    )
+    return pages.select("day", "page", facts.alias("__f"), F.col("html").isNull().alias("error")).select(
+        "day", "page", "__f.n_links", "__f.monthly_summary", "error"
     )
 
 
@@ -105,18 +142,15 @@ def extract_teasers(pages: DataFrame) -> DataFrame:
 
     Everything happens inside the row of the page, so the job is one scan without a shuffle.
     """
-    clean = without_hidden(F.col("html"))
-    teasers = pages.select(
-        "day", "page", F.posexplode(teaser_texts(clean)).alias("position", "teaser")
-    )
-    text = {
-        name: element_text(F.col("teaser"), tag, _class(css)) for name, (tag, css) in TEASER_FIELDS.items()
-    }
-    anchor = element(F.col("teaser"), "a", _class(LINK_CLASS))
+    cut = bind(page_tokens(F.col("html")), teaser_tokens)
+    teasers = pages.select("day", "page", F.posexplode(cut).alias("position", "teaser"))
+    teaser = F.col("teaser")
+    text = {name: element_text(teaser, tag, _class(css)) for name, (tag, css) in TEASER_FIELDS.items()}
+    anchor = F.get(teaser, open_position(teaser, "a", _class(LINK_CLASS)) - 1)
     return teasers.select(
         day_text(F.col("day")).alias("date_api"),
         F.col("page").alias("page_api"),
-        F.coalesce(F.nullif(text["date"], F.lit("")), day_text(F.col("day"))).alias("date"),
+        bind(text["date"], lambda d: F.when(d != "", d).otherwise(day_text(F.col("day")))).alias("date"),
         text["headline"].alias("headline"),
         text["short_headline"].alias("short_headline"),
         text["short_text"].alias("short_text"),

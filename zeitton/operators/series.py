@@ -15,6 +15,7 @@ from zeitton.functions.dates import (
     period_end,
     spine,
 )
+from zeitton.functions.text import bind
 from zeitton.operators.calendar import period_spine
 from zeitton.operators.median import HOT_ROWS, exact_median
 
@@ -50,7 +51,7 @@ def _numbers(df: DataFrame, measures: Sequence[str]) -> list[Column]:
     for name in measures:
         text = df.schema[name].dataType.typeName() == "string"
         value = F.col(name).try_cast("double") if text else F.col(name).cast("double")
-        out.append(F.when(~F.isnan(value), value).alias(name))
+        out.append(F.nanvl(value, F.lit(None).cast("double")).alias(name))
     return out
 
 
@@ -71,12 +72,19 @@ def resampled(
         raise ValueError("agg_func must be either 'mean' or 'median'")
     keys, measures = list(keys), list(measures)
     label = period_end(F.col(date_col), freq).alias("period_end")
-    rows = df.select(*keys, label, *_numbers(df, measures)).na.drop("any", subset=measures)
-    rows = rows.where(F.col("period_end").isNotNull())
+    dated = df.where(F.col(date_col).isNotNull())
     names = {m: f"{m}_{agg_func}" for m in measures}
     if agg_func == "mean":
+        rows = dated.select(*keys, label, *_numbers(df, measures)).na.drop("any", subset=measures)
         return rows.groupBy(*keys, "period_end").agg(*(F.avg(m).alias(names[m]) for m in measures))
-    long = rows.select(*keys, "period_end", F.explode(_pairs(measures)).alias("p")).select(
+    complete = bind(
+        F.array(*_numbers(df, measures)),
+        lambda values: F.when(
+            F.forall(values, lambda v: v.isNotNull()),
+            F.arrays_zip(F.array(*map(F.lit, measures)).alias("measure"), values.alias("value")),
+        ),
+    )
+    long = dated.select(*keys, label, F.explode(complete).alias("p")).select(
         *keys, "period_end", "p.measure", "p.value"
     )
     medians = exact_median(long, [*keys, "period_end", "measure"], "value", "median", hot_rows)

@@ -22,7 +22,7 @@ from zeitton.operators.scoring import (
 from zeitton.plans import inputs, jobs
 from zeitton.plans.inputs import NEGATIVE, POSITIVE, table
 from zeitton.schemas import CLASSES, FIELDS
-from zeitton.session import run_folder
+from zeitton.session import run_folder, stage
 from zeitton.sources import links, pages
 from zeitton.streaming import jobs as streams
 
@@ -391,17 +391,19 @@ def rejected_dates(spark, sf_dir):
 
 @query
 def article_polarity_series(spark, sf_dir):
-    """Texts to scores to polarity to a monthly median series per category."""
-    rows = series.preprocessed(jobs.clean(_scored(spark, sf_dir)), "date")
+    """Texts to scores to polarity, stored as a table, to a monthly median series per category."""
+    cleaned = stage(jobs.clean(_scored(spark, sf_dir)), "article-polarity")
+    rows = series.preprocessed(cleaned, "date")
     out = series.category_series(rows, "date", ["articleBody_polarity", "headline_polarity"], "median", "M")
     return rounded(out, "articleBody_polarity_median", "headline_polarity_median")
 
 
 @query
 def article_correlogram(spark, sf_dir):
-    """Texts to scores to polarity to the correlogram of one category."""
+    """Texts to scores to polarity, stored as a table, to the correlogram of one category."""
+    cleaned = stage(jobs.clean(_scored(spark, sf_dir)), "article-polarity")
     _, out = jobs.correlate(
-        jobs.clean(_scored(spark, sf_dir)), category="ausland", freq="W",
+        cleaned, category="ausland", freq="W",
         measures=("articleBody_polarity", "headline_polarity"),
         start_date="2023-01-01", end_date="2024-11-30", nlags=20,
     )
@@ -571,18 +573,21 @@ def union_old_new(spark, sf_dir):
 
 @query
 def page_headline(spark, sf_dir):
-    clean = markup.without_hidden(F.col("html"))
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        markup.element_text(clean, "h1", "").alias("h1"),
-        markup.element_text(clean, "title", "").alias("title"),
+    page = listings.page_tokens(F.col("html"))
+    both = words.bind(
+        page,
+        lambda p: F.struct(
+            markup.element_text(p, "h1").alias("h1"), markup.element_text(p, "title").alias("title")
+        ),
     )
+    out = table(spark, sf_dir, "pages").select("page_id", both.alias("b"))
+    return out.select("page_id", "b.h1", "b.title")
 
 
 @query
 def text_strip(spark, sf_dir):
-    clean = markup.without_hidden(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", markup.visible_text(clean).alias("text"))
+    text = markup.visible_text(listings.page_tokens(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
 
 
 @query
@@ -596,12 +601,8 @@ def archive_teasers(spark, sf_dir):
 @query
 def monthly_summary_flag(spark, sf_dir):
     held = inputs.archive_pages(spark, sf_dir)
-    clean = markup.without_hidden(F.col("html"))
-    return held.select(
-        "doc_id",
-        listings.monthly_summary(clean).alias("monthly_summary"),
-        listings.teaser_count(clean).cast("bigint").alias("n_links"),
-    )
+    flags = listings.page_status(held.withColumn("day", F.col("doc_id")))
+    return flags.select(F.col("day").alias("doc_id"), "monthly_summary", big("n_links"))
 
 
 @query
