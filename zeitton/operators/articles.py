@@ -124,7 +124,8 @@ def with_articles(listings: DataFrame, articles: DataFrame) -> DataFrame:
     Empty links have no page of their own, so they go before the join: their rows, possibly many,
     would all meet in one partition. A link listed very often is split by the adaptive skew join.
     """
-    return listings.where(F.col("link") != "").join(articles, "link", "inner")
+    joined = listings.where(F.col("link") != "").join(articles, "link", "inner")
+    return joined.select(*listings.columns, *(c for c in articles.columns if c != "link"))
 
 
 def fetch_status(pages: DataFrame) -> DataFrame:

@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from zeitton.operators.articles import exchange_form
 from zeitton.operators.dataset import sorted_by_day
 from zeitton.schemas import ARTICLE
 
 TSV = {"sep": "\t", "header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+KEEP_SPACES = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType = ARTICLE) -> DataFrame:
     """Tab-separated file with quoted fields that may hold tabs, quotes and line breaks.
 
-    Such a file is read whole by one task, so large data belongs in many files; ``to_parquet`` turns
-    them into a splittable table once.
+    Columns are found by the names in the header, whatever their order; those the file lacks are
+    null, further ones are left out. Such a file is read whole by one task, so large data belongs in
+    many files; ``to_parquet`` turns them into a splittable table once.
     """
-    reader = spark.read.schema(schema).option("multiLine", "true")
-    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    return reader.options(**TSV, **keep, enforceSchema="true").csv(path)
+    raw = spark.read.options(**TSV, **KEEP_SPACES, multiLine="true").csv(path)
+    return raw.select(
+        *(
+            (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None))
+            .try_cast(f.dataType)
+            .alias(f.name)
+            for f in schema
+        )
+    )
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists", ordered: bool = False) -> None:
     """One header per file; nested columns as JSON text; nulls as empty fields."""
     out = exchange_form(sorted_by_day(df) if ordered else df)
-    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    out.write.mode(mode).options(**TSV, **keep, emptyValue="", nullValue="").csv(path)
+    text = {"emptyValue": "", "nullValue": "", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    out.write.mode(mode).options(**TSV, **KEEP_SPACES, **text).csv(path)
 
 
 def save_articles(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
