@@ -23,15 +23,17 @@ def lag_sums(series: DataFrame, keys: Sequence[str], nlags: int = 40, value: str
     keys = list(keys)
     number = F.col(value).cast("double")
     held = series.where(number.isNotNull() & ~F.isnan(number)).select(*keys, "period_end", number.alias("__x"))
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy("period_end")
-    centred = held.withColumn("__d", F.col("__x") - F.avg("__x").over(whole))
-    names = [f"__l{k}" for k in range(1, nlags + 1)]
-    lagged = centred.withColumns({n: F.lag("__d", k).over(order) for k, n in enumerate(names, 1)})
-    sums = [F.sum(F.col("__d") * F.col(n)) for n in ("__d", *names)]
-    varies = F.min("__x") < F.max("__x")
+    quoted = [f"`{k}`" for k in keys]
+    whole = f"partition by {', '.join(quoted)}" if keys else ""
+    centred = held.selectExpr(*quoted, "period_end", "__x", f"__x - avg(__x) over ({whole}) as __d")
+    order = f"over ({whole} order by period_end)"
+    lagged = centred.selectExpr(
+        *quoted, "__x", "__d", *(f"lag(__d, {k}) {order} as __l{k}" for k in range(1, nlags + 1))
+    )
+    sums = ", ".join(f"sum(__d * {n})" for n in ("__d", *(f"__l{k}" for k in range(1, nlags + 1))))
     return lagged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.when(varies, F.array(*sums)).alias("sums")
+        F.count(F.lit(1)).alias("n"),
+        F.expr(f"case when min(__x) < max(__x) then array({sums}) end").alias("sums"),
     )
 
 

@@ -20,16 +20,17 @@ def exact_median(
 ) -> DataFrame:
     """Median of ``value`` per group, the mean of the two middle values for even sizes.
 
-    The built-in median keeps every distinct value of a group in one buffer. Here a first pass takes
-    a mergeable quantile sketch per group and keeps, for groups above ``hot_rows`` only, two values
-    that enclose the middle. The second pass replaces everything outside that band by one marker on
-    either side and counts equal values before the shuffle, so of a hot group well under one percent
-    travels on. Running counts then find the middle ranks exactly; this last step sorts with
+    The built-in median keeps every distinct value of a group in one buffer. Here groups above
+    ``hot_rows`` are found by counting, and for those alone a mergeable quantile sketch gives two
+    values that enclose the middle. The last pass replaces everything outside that band by one marker
+    on either side and counts equal values before the shuffle, so of a hot group well under one
+    percent travels on. Running counts then find the middle ranks exactly; this step sorts with
     spilling and holds no group in memory.
 
-    Each row of the broadcast table stands for more than ``hot_rows`` input rows, which bounds it to
-    a millionth of the input. The sketch only decides what is worth keeping: a middle rank that falls
-    on a marker fails the job instead of giving a wrong value.
+    Each row of the two broadcast tables stands for more than ``hot_rows`` input rows, which bounds
+    them to a millionth of the input. Without hot groups the adaptive plan drops the sketch pass. The
+    sketch only decides what is worth keeping: a middle rank that falls on a marker fails the job
+    instead of giving a wrong value.
     """
     keys = list(keys)
     error = 1.0 / accuracy
@@ -39,18 +40,21 @@ def exact_median(
     number = F.col(value).cast("double")
     valid = df.where(F.col(value).isNotNull() & ~F.isnan(number)).select(*keys, number.alias("__v"))
 
-    sketch = F.percentile_approx("__v", [0.5 - band, 0.5 + band], accuracy)
-    hot = (
+    names = {k: f"__hot_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in names.items()]
+    large = (
         valid.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), sketch.alias("__b"))
+        .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > hot_rows)
-        .select(
-            *(F.col(k).alias(f"__hot_{k}") for k in keys),
-            F.get("__b", 0).alias("__lo"),
-            F.get("__b", 1).alias("__hi"),
-        )
+        .select(*(F.col(k).alias(name) for k, name in names.items()))
+    )
+    sketch = F.percentile_approx("__v", [0.5 - band, 0.5 + band], accuracy)
+    hot = (
+        valid.join(F.broadcast(large), same)
+        .groupBy(*names.values())
+        .agg(sketch.alias("__b"))
+        .select(*names.values(), F.get("__b", 0).alias("__lo"), F.get("__b", 1).alias("__hi"))
     )
-    same = [F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys]
     side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
     counted = (
         valid.join(F.broadcast(hot), same, "left")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from zeitton.session import spread
+
 # Frequent words of the given texts, as the lexicon of the checked queries.
 POSITIVE = (
     "the", "de", "to", "a", "la", "is", "it", "was", "die", "le", "as", "und", "et", "are", "re",
@@ -25,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose long texts make every row costly."""
+    return spread(table(spark, sf_dir, name))
+
+
 def first_words(text: Column, n: int) -> Column:
     return F.regexp_extract(text, rf"\S+(?:\s+\S+){{0,{n - 1}}}", 0)
 
@@ -35,7 +42,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(F.when(F.col("lang") == lang, name) for lang, name in SECTION_OF.items()), F.lit("sport")
     )
     day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("n_chars") % 700).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         F.date_format(day, "yyyy-MM-dd").alias("date_api"),
         F.ascii("source").cast("int").alias("page_api"),
@@ -73,7 +80,8 @@ def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", F.format_string('{"positive": "%d", "negative": 0.1}', k))
         .otherwise(F.format_string('{"positive": %d', k))
     )
-    return table(spark, sf_dir, "events").select("event_id", "ts", kind, k.alias("k"), text.alias("score"))
+    events = texts(spark, sf_dir, "events")
+    return events.select("event_id", "ts", kind, k.alias("k"), text.alias("score"))
 
 
 def escaped(text: Column) -> Column:
@@ -111,7 +119,7 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(wrapper + "outside the content</div></body></html>"),
     )
     day = F.date_add(F.lit("2024-12-01").cast("date"), (F.col("n_chars") % 31).cast("int"))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", day.alias("day"), F.lit(1).alias("page"), html.alias("html")
     )
 
@@ -140,7 +148,7 @@ def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<span class="label label--standard-primary"> '), escaped(F.col("source")),
         F.lit(" </span></body></html>"),
     )
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("link"), html.alias("html")
     )
 

@@ -20,7 +20,7 @@ from zeitton.operators.scoring import (
     score_fields,
 )
 from zeitton.plans import inputs, jobs
-from zeitton.plans.inputs import NEGATIVE, POSITIVE, table
+from zeitton.plans.inputs import NEGATIVE, POSITIVE, table, texts
 from zeitton.schemas import CLASSES, FIELDS
 from zeitton.session import run_folder, stage
 from zeitton.sources import links, pages
@@ -283,7 +283,7 @@ def category_sizes(spark, sf_dir):
 @query
 def chunk_counts(spark, sf_dir):
     text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id",
         F.size(words.words(text)).cast("bigint").alias("n_words"),
         F.size(words.chunks(text)).cast("bigint").alias("n_chunks"),
@@ -294,13 +294,13 @@ def chunk_counts(spark, sf_dir):
 @query
 def chunk_text(spark, sf_dir):
     parts = F.posexplode(words.chunks(F.col("text")))
-    out = table(spark, sf_dir, "documents").select("doc_id", parts.alias("chunk_no", "chunk"))
+    out = texts(spark, sf_dir, "documents").select("doc_id", parts.alias("chunk_no", "chunk"))
     return out.withColumn("chunk_no", big("chunk_no"))
 
 
 @query
 def lexicon_chunk_scores(spark, sf_dir):
-    out = chunk_scores(table(spark, sf_dir, "documents"), "doc_id", "text", LEXICON)
+    out = chunk_scores(texts(spark, sf_dir, "documents"), "doc_id", "text", LEXICON)
     return out.select(
         "doc_id", big("chunk_no"), F.col("score.label").alias("label"),
         *(r6(f"score.{c}").alias(c) for c in CLASSES),
@@ -317,12 +317,12 @@ def _one_field(df: DataFrame, scorer) -> DataFrame:
 
 @query
 def doc_sentiment(spark, sf_dir):
-    return _one_field(table(spark, sf_dir, "documents"), LEXICON)
+    return _one_field(texts(spark, sf_dir, "documents"), LEXICON)
 
 
 @query
 def model_sentiment(spark, sf_dir):
-    return _one_field(table(spark, sf_dir, "documents"), ModelScorer(inputs.WordModel))
+    return _one_field(texts(spark, sf_dir, "documents"), ModelScorer(inputs.WordModel))
 
 
 def _scored(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
@@ -355,14 +355,14 @@ def counts_with_seed(spark, sf_dir):
 
 @query
 def score_json_round_trip(spark, sf_dir):
-    out = score_fields(table(spark, sf_dir, "documents").select("doc_id", "text"), LEXICON, ["text"])
+    out = score_fields(texts(spark, sf_dir, "documents").select("doc_id", "text"), LEXICON, ["text"])
     return out.select("doc_id", r6(polarity.json_polarity(F.col("text_sentiment_score"))).alias("polarity"))
 
 
 @query
 def chunk_means(spark, sf_dir):
     """Combination of chunk scores in long form: mean per document, rescaled, strongest class."""
-    long = chunk_scores(table(spark, sf_dir, "documents"), "doc_id", "text", LEXICON)
+    long = chunk_scores(texts(spark, sf_dir, "documents"), "doc_id", "text", LEXICON)
     means = long.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.struct(*(F.avg(f"score.{c}").alias(c) for c in CLASSES)).alias("mean"),
@@ -489,7 +489,7 @@ def failed_day_lines(spark, sf_dir):
 
 def _page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    out = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "link"))
+    out = texts(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("pos", "link"))
     return out.withColumn("pos", big("pos"))
 
 
@@ -580,14 +580,14 @@ def page_headline(spark, sf_dir):
             markup.element_text(p, "h1").alias("h1"), markup.element_text(p, "title").alias("title")
         ),
     )
-    out = table(spark, sf_dir, "pages").select("page_id", both.alias("b"))
+    out = texts(spark, sf_dir, "pages").select("page_id", both.alias("b"))
     return out.select("page_id", "b.h1", "b.title")
 
 
 @query
 def text_strip(spark, sf_dir):
     text = markup.visible_text(listings.page_tokens(F.col("html")))
-    return table(spark, sf_dir, "pages").select("page_id", text.alias("text"))
+    return texts(spark, sf_dir, "pages").select("page_id", text.alias("text"))
 
 
 @query

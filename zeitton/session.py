@@ -56,3 +56,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = run_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a few files among all cores before costly work per row.
+
+    One task reads a whole Parquet row group, so a table of fewer files than cores leaves cores idle.
+    Larger tables are spread already and come back as they are, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
