@@ -121,7 +121,7 @@ def test_all_steps_through_files(spark, tmp_path):
     got = {r.link: (r.articleBody_polarity, r.headline_polarity, r.short_headline_polarity) for r in cleaned.collect()}
     assert got == {"/inland/a": (1.0, 1.0, 1.0), "/ausland/b": (-1.0, -1.0, 1.0), "/wirtschaft/c": (0.0, 1.0, 1.0)}
     article_source.write_tsv(cleaned, clean_tsv)
-    series, correlogram = jobs.correlate(article_source.read_tsv(spark, clean_tsv, ARTICLE_POLARITY), category="inland", start_date="2024-11-01", end_date="2025-02-01")
+    series, correlogram = jobs.correlate(jobs.load_cleaned(spark, clean_tsv, "date"), category="inland", start_date="2024-11-01", end_date="2025-02-01")
     assert series.columns == ["period_end", "articleBody_polarity_median", "short_headline_polarity_median"]
     assert [r.articleBody_polarity_median for r in series.orderBy("period_end").collect()] == [None, 1.0, None]
     assert correlogram.count() == 2

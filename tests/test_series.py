@@ -92,7 +92,7 @@ def test_keyed_equals_single(spark):
     other = df.withColumns({"k": F.lit("two"), "a": F.col("a") * 2})
     both = df.unionByName(other)
     for bounds in ((None, None), ("2022-12-20", "2024-02-03"), ("2023-02-10", "2023-08-15")):
-        for missing in series.MISSING:
+        for missing in ("fill", "ffill", "drop"):
             out = series.aggregate_sentiment(both, "date", "a", "median", "W", *bounds, missing, ["k"]).collect()
             single = pandas_series(rows, ["a"], "median", "W", *bounds, missing)
             for k, factor in (("one", 1), ("two", 2)):
@@ -113,8 +113,6 @@ def test_bad_arguments(spark):
     df = spark.createDataFrame(TOY, SCHEMA)
     with pytest.raises(ValueError):
         series.aggregate_sentiment(df, "date", "a", "max")
-    with pytest.raises(ValueError):
-        series.handle_missing(df, "other")
 
 
 def test_preprocessing_and_categories(spark):
@@ -224,6 +222,20 @@ def test_correlogram_equals_numpy(spark):
     assert len(constant) == 7 and all(r.acf is None and r.pacf is None for r in constant)
 
 
+def test_correlogram_of_wide_frames(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    a, b = ([float(v) for v in ar(40, phi, seed)] for phi, seed in ((0.5, 1), (-0.5, 2)))
+    wide = spark.createDataFrame(list(zip(days, a, b)), "period_end date, a double, b double")
+    both = correlogram.wide_correlogram(wide, 5).collect()
+    listed = correlogram.wide_correlogram([wide.select("period_end", "a"), wide.select("period_end", "b")], 5).collect()
+    assert sorted(both) == sorted(listed) and len(both) == 12
+    for name, values in (("a", a), ("b", b)):
+        mine = [r.acf for r in sorted(both, key=lambda r: r.lag) if r.measure == name]
+        assert mine == pytest.approx(acf_twin(values, 5))
+    with pytest.raises(ValueError):
+        correlogram.wide_correlogram([wide, wide], 5)
+
+
 def test_lag_pairs_match_lag_sums(spark):
     rows = [("s", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(ar(50, 0.5, 9))]
     df = spark.createDataFrame(rows, "series string, period_end date, value double")

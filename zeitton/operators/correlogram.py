@@ -7,10 +7,12 @@ went into it. All window and aggregate steps share one exchange by series key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from zeitton.functions.text import bind
+from zeitton.operators.series import trend_long
 
 
 def lag_sums(series: DataFrame, keys: Sequence[str], nlags: int = 40, value: str = "value") -> DataFrame:
@@ -93,6 +95,16 @@ def correlogram(series: DataFrame, keys: Sequence[str], nlags: int = 40, value:
     )
 
 
+def wide_correlogram(series: DataFrame | Sequence[DataFrame], nlags: int = 40) -> DataFrame:
+    """Correlogram of every column of a wide series, or of several wide series, keyed by column name."""
+    frames = [series] if isinstance(series, DataFrame) else list(series)
+    names = [c for frame in frames for c in frame.columns if c != "period_end"]
+    if len(set(names)) < len(names):
+        raise ValueError("series need different names")
+    long = reduce(DataFrame.unionByName, map(trend_long, frames))
+    return correlogram(long, ["measure"], nlags)
+
+
 def acf(series: DataFrame, keys: Sequence[str], nlags: int = 40, value: str = "value") -> DataFrame:
     return correlogram(series, keys, nlags, value).drop("pacf")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
-ACCURACY = 2_000
+ACCURACY = 10_000
 
 
 def exact_median(
@@ -23,8 +23,8 @@ def exact_median(
     The built-in median keeps every distinct value of a group in one buffer. Here groups above
     ``hot_rows`` are found by counting, and for those alone a mergeable quantile sketch gives two
     values that enclose the middle. The last pass replaces everything outside that band by one marker
-    on either side and counts equal values before the shuffle, so of a hot group well under one
-    percent travels on. Running counts then find the middle ranks exactly; this step sorts with
+    on either side and counts equal values before the shuffle, so of a hot group less than a
+    thousandth travels on. Running counts then find the middle ranks exactly; this step sorts with
     spilling and holds no group in memory.
 
     Each row of the two broadcast tables stands for more than ``hot_rows`` input rows, which bounds

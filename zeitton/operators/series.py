@@ -20,7 +20,6 @@ from zeitton.operators.calendar import period_spine
 from zeitton.operators.median import HOT_ROWS, exact_median
 
 AGGREGATES = ("mean", "median")
-MISSING = ("fill", "ffill", "drop")
 
 
 def preprocessed(df: DataFrame, date_col: str = "date_api", link_col: str = "link") -> DataFrame:
@@ -142,10 +141,8 @@ def forward_filled(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return series.withColumns({v: F.last(v, ignorenulls=True).over(upto) for v in values})
 
 
-def handle_missing(series: DataFrame, how: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``ffill`` fills forward, ``drop`` removes periods with any null, ``fill`` keeps the nulls."""
-    if how not in MISSING:
-        raise ValueError(f"handle_missing must be one of {MISSING}")
+def gaps_handled(series: DataFrame, how: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``ffill`` fills forward, ``drop`` removes periods with any null, anything else keeps the nulls."""
     if how == "ffill":
         return forward_filled(series, keys)
     if how == "drop":
@@ -162,7 +159,7 @@ def aggregate_sentiment(
     freq: str = "D",
     start_date: str | None = None,
     end_date: str | None = None,
-    handle_missing_by: str = "fill",
+    handle_missing: str = "fill",
     keys: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -174,7 +171,7 @@ def aggregate_sentiment(
     rows = in_range(df, date_col, start_date, end_date)
     series = resampled(rows, date_col, measures, agg_func, freq, keys, hot_rows)
     series = on_full_spine(series, freq, keys, start_date, end_date)
-    return handle_missing(series, handle_missing_by, keys)
+    return gaps_handled(series, handle_missing, keys)
 
 
 def category_series(
@@ -233,7 +230,7 @@ __all__ = [
     "category_series",
     "filter_by_category",
     "forward_filled",
-    "handle_missing",
+    "gaps_handled",
     "head",
     "in_range",
     "on_full_spine",

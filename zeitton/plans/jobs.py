@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from zeitton.functions.dates import lenient_timestamp
 from zeitton.functions.polarity import json_polarity
@@ -15,7 +15,7 @@ from zeitton.operators.calendar import (
     from_start_page,
     pages_until_stop,
 )
-from zeitton.operators.correlogram import correlogram
+from zeitton.operators.correlogram import wide_correlogram
 from zeitton.operators.dataset import not_yet_done
 from zeitton.operators.listings import extract_teasers, page_status, relative_links
 from zeitton.operators.scoring import Scorer, score_fields
@@ -23,10 +23,10 @@ from zeitton.operators.series import (
     aggregate_sentiment,
     filter_by_category,
     preprocessed,
-    trend_long,
 )
-from zeitton.schemas import DROPPED_BY_CLEANING, FIELDS
+from zeitton.schemas import ARTICLE_POLARITY, DROPPED_BY_CLEANING, FIELDS
 from zeitton.session import stage
+from zeitton.sources.articles import read_tsv
 
 
 def collect(
@@ -79,6 +79,13 @@ def date_rejects(scored: DataFrame) -> DataFrame:
     return scored.agg(F.count_if(bad).alias("rejected"), F.count(F.lit(1)).alias("rows"))
 
 
+def load_cleaned(
+    spark: SparkSession, path: str, date_col: str = "date_api", link_col: str = "link"
+) -> DataFrame:
+    """Cleaned articles from a tab-separated file, with parsed dates and inferred categories."""
+    return preprocessed(read_tsv(spark, path, ARTICLE_POLARITY), date_col, link_col)
+
+
 def correlate(
     cleaned: DataFrame,
     measures: Sequence[str] = ("articleBody_polarity", "short_headline_polarity"),
@@ -92,8 +99,10 @@ def correlate(
     nlags: int = 53,
 ) -> tuple[DataFrame, DataFrame]:
     """``(series, correlogram)`` of one category; the correlogram is keyed by measure."""
-    rows = filter_by_category(preprocessed(cleaned, date_col), category)
+    if "inferred_category" not in cleaned.columns:
+        cleaned = preprocessed(cleaned, date_col)
+    rows = filter_by_category(cleaned, category)
     series = aggregate_sentiment(
         rows, date_col, measures, agg_func, freq, start_date, end_date, missing
     )
-    return series, correlogram(trend_long(series), ["measure"], nlags)
+    return series, wide_correlogram(series, nlags)

@@ -431,32 +431,37 @@ def archive_urls(spark, sf_dir):
     return days.select("day", url.alias("url"))
 
 
-def _failed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.page_flags(spark, sf_dir).where("error").select("day", "page")
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page status, stored once because the rules below read it several times."""
+    return stage(inputs.page_flags(spark, sf_dir), "page-status")
+
+
+def _failed(flags: DataFrame) -> DataFrame:
+    return flags.where("error").select("day", "page")
 
 
 @query
 def backfill_days(spark, sf_dir):
-    out = calendar.backfill_days(_failed(spark, sf_dir))
+    out = calendar.backfill_days(_failed(inputs.page_flags(spark, sf_dir)))
     return out.select("day", big("start_page"))
 
 
 @query
 def start_page_filter(spark, sf_dir):
-    work = calendar.backfill_days(_failed(spark, sf_dir))
-    out = calendar.from_start_page(inputs.page_flags(spark, sf_dir), work)
+    flags = _flags(spark, sf_dir)
+    out = calendar.from_start_page(flags, calendar.backfill_days(_failed(flags)))
     return out.select("day", big("page"), "n_links")
 
 
 @query
 def page_takewhile(spark, sf_dir):
-    out = calendar.pages_until_stop(inputs.page_flags(spark, sf_dir))
+    out = calendar.pages_until_stop(_flags(spark, sf_dir))
     return out.select("day", big("page"), "n_links")
 
 
 @query
 def month_cutoff(spark, sf_dir):
-    kept = calendar.pages_until_stop(inputs.page_flags(spark, sf_dir))
+    kept = calendar.pages_until_stop(_flags(spark, sf_dir))
     return calendar.days_until_summary(kept).select("day", big("page"), "n_links")
 
 
