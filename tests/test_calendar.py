@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from zeitton.operators import calendar, dataset
+from zeitton.operators.skew import join_split
 from zeitton.sources import pages as page_source
 
 
@@ -119,3 +120,29 @@ def test_dedup_offset_and_statistics(spark):
     todo = dataset.not_yet_done(df, done, "n")
     assert todo.count() == 150
     assert dataset.appended(done, todo.withColumn("extra", F.lit(1))).count() == 200
+
+
+def test_hot_keys_are_split_without_changing_the_result(spark):
+    """A third of the rows under one key, copies among them, and a low limit."""
+    rows = [("/hot", i % 5) for i in range(300)] + [(f"/l{i % 90}", i) for i in range(600)] + [("/none", 1), (None, 2)]
+    left = spark.createDataFrame(rows, "link string, n int").repartition(6)
+    right = spark.createDataFrame([("/hot", "h")] + [(f"/l{i}", str(i)) for i in range(0, 90, 2)], "link string, v string")
+    for how in ("inner", "left_anti"):
+        plain = left.join(right, "link", how)
+        split = join_split(left, right, "link", how, hot_rows=20)
+        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+    assert dataset.not_yet_done(left, right.unionByName(right), hot_rows=20).count() == 302
+
+
+def test_hot_rows_reach_several_tasks(spark):
+    left = spark.createDataFrame([("/hot",)] * 400, "link string").repartition(4)
+    right = spark.createDataFrame([("/hot", "h")], "link string, v string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = join_split(left, right, "link", hot_rows=20)
+        sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in sizes) == 400 and len(sizes) > 1

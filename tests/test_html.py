@@ -179,7 +179,9 @@ def test_label(spark, span, label):
 
 def test_join_and_status(spark):
     listing = spark.createDataFrame([("/a", "1"), ("/a", "2"), ("/b", "3"), ("", "4"), ("/c", "5")], "link string, h string")
-    pages = spark.createDataFrame([("/a", script(NEWS % "o")), ("/b", None), ("", "<p>"), ("/c", "<p>")], "link string, html string")
+    pages = spark.createDataFrame(
+        [("/a", "<p>"), ("/a", script(NEWS % "o")), ("/b", None), ("", "<p>"), ("/c", "<p>")], "link string, html string"
+    )
     joined = articles.with_articles(listing, articles.extract_articles(pages))
     assert sorted((r.h, r.articleBody) for r in joined.collect()) == [("1", "o"), ("2", "o"), ("5", None)]
-    assert {r.status: r.n for r in articles.fetch_status(pages).collect()} == {"article": 1, "no_article": 2, "failed": 1}
+    assert {r.status: r.n for r in articles.fetch_status(pages).collect()} == {"article": 1, "no_article": 3, "failed": 1}

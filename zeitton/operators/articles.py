@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.html import attribute_pattern, element_text, tokens, without_hidden
 from zeitton.functions.text import bind
+from zeitton.operators.dataset import deduplicated
+from zeitton.operators.skew import HOT_ROWS, join_split
 
 # The markup of an article page.
 LABEL_CLASS = "label label--standard-primary"
@@ -118,13 +120,19 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_articles(listings: DataFrame, articles: DataFrame) -> DataFrame:
+def one_per_link(articles: DataFrame) -> DataFrame:
+    """One row per link: of several copies of a page one with an article, else the smallest row."""
+    ranked = articles.withColumn("__empty", ~F.col("has_article"))
+    return deduplicated(ranked, "link", ["__empty"]).drop("__empty")
+
+
+def with_articles(listings: DataFrame, articles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Listing rows with the fields of their article page; rows without a fetched page are left out.
 
-    Empty links have no page of their own, so they go before the join: their rows, possibly many,
-    would all meet in one partition. A link listed very often is split by the adaptive skew join.
+    Each listing row meets one article, however often its page was stored. Empty links have no page
+    of their own and go before the join; links listed very often are shared among tasks.
     """
-    joined = listings.where(F.col("link") != "").join(articles, "link", "inner")
+    joined = join_split(listings.where(F.col("link") != ""), one_per_link(articles), "link", "inner", hot_rows)
     return joined.select(*listings.columns, *(c for c in articles.columns if c != "link"))
 
 

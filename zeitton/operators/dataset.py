@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from zeitton.operators.skew import HOT_ROWS, join_split
 from zeitton.session import stage
 
 
@@ -37,9 +38,10 @@ def sorted_by_day(df: DataFrame) -> DataFrame:
     return df.orderBy("date_api", *(c for c in ("page_api", "link") if c in df.columns))
 
 
-def not_yet_done(df: DataFrame, done: DataFrame, key: str = "link") -> DataFrame:
+def not_yet_done(df: DataFrame, done: DataFrame, key: str = "link", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose key is not in ``done``."""
-    return df.join(done.select(key).distinct(), key, "left_anti")
+    todo = join_split(df, done.select(key).distinct(), key, "left_anti", hot_rows)
+    return todo.select(*df.columns)
 
 
 def after_first(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-HOT_ROWS = 1_000_000
+from zeitton.operators.skew import HOT_ROWS
+
 ACCURACY = 10_000
 
 

@@ -17,7 +17,8 @@ from zeitton.functions.dates import (
 )
 from zeitton.functions.text import bind
 from zeitton.operators.calendar import period_spine
-from zeitton.operators.median import HOT_ROWS, exact_median
+from zeitton.operators.median import exact_median
+from zeitton.operators.skew import HOT_ROWS
 
 AGGREGATES = ("mean", "median")
 

@@ -59,10 +59,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a few files among all cores before costly work per row.
+    """Share the rows of a few small files among all cores before costly work per row.
 
-    One task reads a whole Parquet row group, so a table of fewer files than cores leaves cores idle.
-    Larger tables are spread already and come back as they are, without an exchange.
+    One task reads a whole Parquet row group, so one or two small files leave most cores idle. Tables
+    of more files, or large enough to be read by more tasks than there are cores, come back as they
+    are, without an exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+    if df.rdd.getNumPartitions() > cores or 2 * len(df.inputFiles()) > cores:
+        return df
+    return df.repartition(cores)
