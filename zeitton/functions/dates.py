@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from zeitton.functions.text import bind
+
 FREQUENCIES = ("D", "W", "M")
 # Day.month.year, bullet, hour:minute; one or two digits except the year.
-GERMAN_STAMP = r"(?U)^(\d{1,2})\.(\d{1,2})\.(\d{4})\s+•\s+(\d{1,2}):(\d{1,2})\s+Uhr$"
+GERMAN_STAMP = r"(?U)^\d{1,2}\.\d{1,2}\.\d{4}\s+•\s+\d{1,2}:\d{1,2}\s+Uhr$"
 
 
 def check_frequency(freq: str) -> str:
@@ -29,10 +31,13 @@ def month_label(day: Column) -> Column:
 
 def german_timestamp(text: Column) -> Column:
     """Strict parse of ``01.12.2024 • 09:05 Uhr``; null for anything else."""
-    day, month, year, hour, minute = (
-        F.regexp_extract(text, GERMAN_STAMP, i).try_cast("int") for i in range(1, 6)
-    )
-    return F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
+
+    def stamp(numbers: Column) -> Column:
+        day, month, year, hour, minute = (F.get(numbers, i).try_cast("int") for i in range(5))
+        return F.try_make_timestamp_ntz(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
+
+    found = F.regexp_extract_all(text, F.lit(r"(?U)\d+"), F.lit(0))
+    return bind(F.when(text.rlike(GERMAN_STAMP), found), stamp)
 
 
 def lenient_timestamp(text: Column) -> Column:

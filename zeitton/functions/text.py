@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Unicode white space plus the four ASCII separators that text splitting also breaks on.
 SPACE = r"[\s\x1c-\x1f]"
@@ -22,6 +22,15 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed once per row, whatever is done with it later.
+
+    A filter on a plain computed column is pushed below it and computes it again; nothing is pushed
+    below a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def has_text(text: Column) -> Column:
     """True when there is at least one non-blank character; null counts as blank."""
     return F.coalesce(text.rlike(f"(?U){WORD}"), F.lit(False))

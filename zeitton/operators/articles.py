@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.html import attribute_pattern, element_text, tokens, without_hidden
-from zeitton.functions.text import bind
+from zeitton.functions.text import bind, once
 from zeitton.operators.dataset import deduplicated
 from zeitton.operators.skew import HOT_ROWS, join_split
 
@@ -94,11 +94,9 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     are kept; ``datePublished`` repeats the established output: the modification date for articles
     given as an object, the publication date for those found in a list.
     """
-    held = (
-        pages.where(F.col("html").isNotNull())
-        .withColumn("__found", news_article(F.col("html")))
-        .withColumn("__label", article_label(F.col("html")))
-    )
+    html = F.col("html")
+    held = once(pages.where(html.isNotNull()), "__found", news_article(html))
+    held = held.withColumn("__label", article_label(html))
     article, there = F.col("__found.article"), F.col("__found.article").isNotNull()
     published, modified = _text(article, "datePublished"), _text(article, "dateModified")
     when = F.when(F.col("__found.as_object"), modified).otherwise(published)

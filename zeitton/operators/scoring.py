@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from zeitton.functions.sentiment import combine, lexicon_score, score_json
-from zeitton.functions.text import CHUNK_WORDS, bind, chunks, has_text
+from zeitton.functions.text import CHUNK_WORDS, bind, chunks, has_text, once
 from zeitton.schemas import CHUNK_SCORE, CLASSES, FIELDS
 
 # The batch functions below travel to the Python workers by value, so that executors need no copy
@@ -152,7 +152,7 @@ def score_fields(
         combined = F.transform(scored, combine)
     else:
         combined = bind(scored, lambda s: F.transform(s, combine))
-    result = df.withColumn("__scored", combined)
+    result = once(df, "__scored", combined)
     columns = {}
     for i, f in enumerate(fields):
         one = F.get(F.col("__scored"), i)
