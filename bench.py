@@ -23,7 +23,7 @@ HEADLINE = (
     "model_sentiment", "field_sentiment_wide", "sentiment_counts", "clean_articles",
     "article_polarity_series", "article_correlogram", "page_takewhile", "month_cutoff", "missing_days",
     "relative_links", "links_from_json_lines", "dedup_links", "dataset_statistics", "rows_after_offset",
-    "resume_antijoin", "text_strip", "archive_teasers", "jsonld_article", "listing_article_join",
+    "resume_antijoin", "text_strip", "archive_teasers", "collect_listings", "jsonld_article", "listing_article_join",
     "streamed_scores",
 )
 

@@ -7,12 +7,13 @@ from zeitton.functions import text as words
 
 
 def chunk_twin(text, size=200):
-    if not isinstance(text, str) or not text.strip():
-        return []
-    found = text.split()
-    if len(found) <= size:
-        return [text]
-    return [" ".join(found[i : i + size]) for i in range(0, len(found), size)]
+    """Expected chunks: numbered words grouped by their number."""
+    found = (text or "").split()
+    groups = {}
+    for number, word in enumerate(found):
+        groups.setdefault(number // size, []).append(word)
+    joined = [" ".join(group) for group in groups.values()]
+    return [text] if len(joined) == 1 else joined
 
 
 SPACES = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "   "]

@@ -34,9 +34,10 @@ def test_json_polarity(spark):
 def twin(text):
     try:
         score = json.loads(text)
-        return score.get("positive", 0.0) - score.get("negative", 0.0)
-    except (json.JSONDecodeError, TypeError, AttributeError):
+    except ValueError:
         return None
+    parts = [score[key] if key in score else 0 for key in ("positive", "negative")]
+    return parts[0] - parts[1] if all(isinstance(v, (int, float)) for v in parts) else None
 
 
 def test_polarity_equals_twin(spark):

@@ -31,7 +31,8 @@ def exact_median(
     Each row of the two broadcast tables stands for more than ``hot_rows`` input rows, which bounds
     them to a millionth of the input. Without hot groups the adaptive plan drops the sketch pass. The
     sketch only decides what is worth keeping: a middle rank that falls on a marker fails the job
-    instead of giving a wrong value.
+    instead of giving a wrong value. ``df`` is read three times, twice without hot groups, so a
+    costly one should be stored first.
     """
     keys = list(keys)
     error = 1.0 / accuracy

@@ -442,14 +442,21 @@ _LINES = r"""
 lines as (select doc_id, lang, n_chars, unnest(t) as line, generate_subscripts(t, 1) - 1 as i
     from (select *, string_split(text, chr(10)) as t from documents)),
 parts as (select *, regexp_extract(line, '\S+(?:\s+\S+){0,2}') as start from lines)"""
-SQL["archive_teasers"] = f"""
-with {_LINES}, rows_out as (select strftime(date '2024-12-01' + (n_chars % 31)::int, '%Y-%m-%d') as date_api,
-    1::bigint as page_api,
-    case when lang = 'es' then strftime(date '2024-12-01' + (n_chars % 31)::int, '%Y-%m-%d')
-        else '01.12.2024 • 09:05 Uhr' end as date,
+_TEASERS = f"""{_LINES},
+days as (select doc_id, date '2024-01-01' + (n_chars % 360)::int as day from documents),
+teasers as (select day, strftime(day, '%Y-%m-%d') as date_api, 1::bigint as page_api,
+    case when lang = 'es' then strftime(day, '%Y-%m-%d') else '01.12.2024 • 09:05 Uhr' end as date,
     trim(start) || trim(substr(line, len(start) + 1)) as headline, trim(start) as short_headline,
-    trim(line) as short_text, '/x/' || i as link from parts)
-select *, count(*) as n from rows_out group by all"""
+    trim(line) as short_text, '/x/' || i as link from parts join days using (doc_id))"""
+SQL["archive_teasers"] = f"""
+with {_TEASERS} select teasers.* exclude (day), count(*) as n from teasers group by all"""
+SQL["collect_listings"] = f"""
+with {_TEASERS},
+cuts as (select last_day(day) as month, min(day) as cut from days join documents using (doc_id)
+    where lang = 'de' group by 1)
+select teasers.* exclude (day), count(*) as n from teasers left join cuts on month = last_day(day)
+where cut is null or day <= cut group by all"""
+SQL["streamed_listings"] = SQL["collect_listings"]
 SQL["monthly_summary_flag"] = """
 select doc_id, lang = 'de' as monthly_summary, len(string_split(text, chr(10))) as n_links from documents"""
 SQL["jsonld_article"] = """

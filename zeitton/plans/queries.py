@@ -595,12 +595,21 @@ def text_strip(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", text.alias("text"))
 
 
+def _counted(listing: DataFrame) -> DataFrame:
+    """Distinct listing rows with the number of their copies."""
+    out = listing.groupBy(*listing.columns).agg(F.count(F.lit(1)).alias("n"))
+    return out.withColumn("page_api", big("page_api"))
+
+
 @query
 def archive_teasers(spark, sf_dir):
-    out = listings.extract_teasers(inputs.archive_pages(spark, sf_dir))
-    return out.groupBy(*(c for c in out.columns if c != "position")).agg(
-        F.count(F.lit(1)).alias("n")
-    ).withColumn("page_api", big("page_api"))
+    return _counted(listings.extract_teasers(inputs.archive_pages(spark, sf_dir)).drop("position"))
+
+
+@query
+def collect_listings(spark, sf_dir):
+    """Listing rows of a whole archive: stop rules applied, then teasers extracted."""
+    return _counted(jobs.collect(inputs.archive_pages(spark, sf_dir).drop("doc_id")))
 
 
 @query
@@ -669,3 +678,14 @@ def streamed_counts(spark, sf_dir):
     folder = run_folder(spark, "streamed-counts")
     streams.count_stream(scored, f"{folder}/out", f"{folder}/state", ["text"]).awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+@query
+def streamed_listings(spark, sf_dir):
+    """Archive pages landed as files, collected by a stream."""
+    folder = run_folder(spark, "streamed-listings")
+    landed = inputs.archive_pages(spark, sf_dir).drop("doc_id")
+    landed.write.parquet(f"{folder}/in")
+    source = streams.stream_parquet(spark, f"{folder}/in", landed.schema)
+    streams.collect_stream(source, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return _counted(spark.read.parquet(f"{folder}/out").drop("batch_id"))
