@@ -185,3 +185,14 @@ def test_join_and_status(spark):
     joined = articles.with_articles(listing, articles.extract_articles(pages))
     assert sorted((r.h, r.articleBody) for r in joined.collect()) == [("1", "o"), ("2", "o"), ("5", None)]
     assert {r.status: r.n for r in articles.fetch_status(pages).collect()} == {"article": 1, "no_article": 3, "failed": 1}
+
+
+def test_depths_across_blocks(spark):
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    cases = [[], [1], [1, -2]] + [[rng.choice((1, -1)) * (i + 1) for i in range(n)] for n in (63, 64, 65, 128, 300)]
+    df = spark.createDataFrame([(c,) for c in cases], "m array<int>")
+    for row in df.select("m", markup.depths(F.col("m")).alias("d")).collect():
+        assert row.d == list(itertools.accumulate(1 if m > 0 else -1 for m in row.m))

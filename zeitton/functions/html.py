@@ -67,17 +67,38 @@ def marks(page: Column, tag: str) -> Column:
     return F.filter(F.transform(page, mark), lambda m: m.isNotNull())
 
 
-def depths(signed: Column) -> Column:
-    """Nesting depth after each mark."""
+def _running_sum(values: Column) -> Column:
+    """Running sums of an array; each step copies the array so far, so it suits short ones."""
     return F.aggregate(
-        signed,
+        values,
         F.array().cast("array<int>"),
-        lambda acc, m: F.array_append(
-            acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.when(m > 0, 1).otherwise(-1)
-        ),
+        lambda acc, v: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + v),
     )
 
 
+def depths(signed: Column, block: int = 64) -> Column:
+    """Nesting depth after each mark: running sums within blocks, plus those of the blocks before."""
+    steps = F.transform(signed, lambda m: F.signum(m.cast("double")).cast("int"))
+
+    def joined(blocks: Column) -> Column:
+        totals = _running_sum(F.transform(blocks, lambda b: F.get(b, F.size(b) - 1)))
+        return bind(
+            totals,
+            lambda t: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda b, i: F.transform(b, lambda v: v + F.coalesce(F.get(t, i - 1), F.lit(0))),
+                )
+            ),
+        )
+
+    def summed(all_steps: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), F.lit(block))
+        return bind(F.transform(starts, lambda at: _running_sum(F.slice(all_steps, at, F.lit(block)))), joined)
+
+    return bind(steps, summed)
+
+
 def closed(page: Column, tag: str) -> Column:
     """Tokens of the element that the first token opens; all tokens when it is never closed."""
 
