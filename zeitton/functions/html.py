@@ -94,7 +94,8 @@ def depths(signed: Column, block: int = 64) -> Column:
 
     def summed(all_steps: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(all_steps), F.lit(1)), F.lit(block))
-        return bind(F.transform(starts, lambda at: _running_sum(F.slice(all_steps, at, F.lit(block)))), joined)
+        blocks = F.transform(starts, lambda at: _running_sum(F.slice(all_steps, at, F.lit(block))))
+        return F.when(F.size(all_steps) <= block, _running_sum(all_steps)).otherwise(bind(blocks, joined))
 
     return bind(steps, summed)
 
