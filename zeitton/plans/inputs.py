@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from zeitton.session import spread
-
 # Frequent words of the given texts, as the lexicon of the checked queries.
 POSITIVE = (
     "the", "de", "to", "a", "la", "is", "it", "was", "die", "le", "as", "und", "et", "are", "re",
@@ -28,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose long texts make every row costly."""
-    return spread(table(spark, sf_dir, name))
+    """A table of texts, scanned as it is stored."""
+    return table(spark, sf_dir, name)
 
 
 def first_words(text: Column, n: int) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
+# Only for sessions of one machine that name no shared folder.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
 
 def build_session(app_name: str = "zeitton", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
@@ -30,15 +32,14 @@ def build_session(app_name: str = "zeitton", master: str | None = None, **extra:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for local sessions without one."""
+    """The cluster's ``spark.checkpoint.dir``. Local sessions without one get a fixed local folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="zeitton-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        configured = LOCAL_FOLDER
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -56,16 +57,3 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = run_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Share the rows of a few small files among all cores before costly work per row.
-
-    One task reads a whole Parquet row group, so one or two small files leave most cores idle. Tables
-    of more files, or large enough to be read by more tasks than there are cores, come back as they
-    are, without an exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores or 2 * len(df.inputFiles()) > cores:
-        return df
-    return df.repartition(cores)
