@@ -74,4 +74,44 @@ judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 select *, not base_failed and 100 * n_removed_words <= 70 * n_words as kept from judged
 """
 
-SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5}
+OP6 = """
+with rows as (
+    select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all
+    select -1, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) as v (t, r)
+),
+shown as (
+    select *, case when role = 'assistant' then text else '' end as learned,
+        replace(replace(role, '\\', '\\\\'), '<|', '<\\|') as role_shown,
+        replace(replace(text, '\\', '\\\\'), '<|', '<\\|') as text_shown
+    from rows
+)
+select conv_id, count(*) as n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    sum(length(learned))::bigint as loss_chars,
+    sha256(string_agg(learned, '' order by turn, role, text)) as loss_sha256,
+    sum(length('<|turn|>' || role_shown || '<|text|>' || text_shown || '<|end|>'))::bigint as formatted_chars
+from shown group by conv_id
+"""
+
+OP7 = f"""
+with rest as (
+    select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest
+    from pages
+),
+parts as (
+    select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {UPPER}, {LOWER}) as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from rest
+),
+rules as (
+    select * from (values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+        ('net', '/es/', 'block'), ('net', '/fr/', 'block')) as r (rule_host, rule_path, rule_verdict)
+)
+select page_id, host, path, rule_host || rule_path as rule, coalesce(rule_verdict, 'allow') as verdict
+from parts left join rules
+    on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+qualify row_number() over (partition by page_id order by length(rule_host) desc, length(rule_path) desc) = 1
+"""
+
+SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op6_chat_format": OP6, "op7_url_filter": OP7}

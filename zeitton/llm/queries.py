@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zeitton.llm import line_dedup, quality
+from zeitton.llm import chat, line_dedup, quality, sharding, url_filter
 from zeitton.llm.text import table
 
+# The rules of the url query, and its added conversation.
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+ADDED = "</s>[INST] ok [/INST]"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -28,3 +35,33 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality.judge(docs).drop("text", "source")
+
+
+@query
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = F.encode("text", "UTF-8")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
+        F.crc32(F.coalesce(encoded, F.lit(b""))).alias("text_crc32"),
+    )
+    return sharding.shard_rows(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
+        F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = spark.createDataFrame(
+        [(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    messages = chat.fold_events(chat.log_of_rows(rows))
+    return chat.digests(chat.read_back(chat.render(messages)))
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
