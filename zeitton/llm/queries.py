@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zeitton.llm import chat, line_dedup, quality, sharding, url_filter
+from zeitton.llm import chat, line_dedup, packing, quality, sharding, url_filter
 from zeitton.llm.text import table
 
 # The rules of the url query, and its added conversation.
@@ -16,6 +16,12 @@ URL_RULES = (
 )
 ADDED = "</s>[INST] ok [/INST]"
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -65,3 +71,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
