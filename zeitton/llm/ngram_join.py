@@ -13,14 +13,14 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from zeitton.llm.components import connected_components, forest
+from zeitton.llm.components import connected_components
 from zeitton.llm.packing import batches_of
 from zeitton.llm.shingles import Powers, permutations, shingle_hashes, signatures
 from zeitton.llm.text import hash_pair, known_id, whole
+from zeitton.llm.tiles import Linker, in_tiles, joined_classes, tile_links
 from zeitton.session import stage
 
 BANDS, BAND_ROWS = 42, 6  # at a similarity of 0.8 all bands miss a pair with probability 3e-6
@@ -144,51 +144,19 @@ def with_sets(rows: DataFrame, n: int, seed: int) -> DataFrame:
     )
 
 
-def compare(rows: list[tuple], i: int, j: int, fewest: list[int], percent: int) -> pd.DataFrame:
-    """Links of one pair of tiles: for each class the copies it is linked with, and the smallest class it reaches."""
-    rows.sort(key=lambda r: r[1])
-    node = np.array([r[1] for r in rows], np.int64)
-    copies = np.array([r[2] for r in rows], np.int64)
-    tile = np.array([r[0] for r in rows])
-    left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
-    values = np.array([np.frombuffer(r[4], np.uint32) for r in rows])
-    x, y = surviving_pairs(values[left], values[right], i == j, fewest)
-    x, y = left[x], right[y]
-    size = np.array([len(s) for s in sets], np.int64)
-    if i == j:
-        common = shared(sets, sets, x, y)
-    else:
-        common = shared([sets[k] for k in left], [sets[k] for k in right], np.searchsorted(left, x), np.searchsorted(right, y))
-    linked = 100 * common >= percent * (size[x] + size[y] - common)
-    x, y = x[linked], y[linked]
-    links = np.bincount(x, copies[y], len(rows)) + np.bincount(y, copies[x], len(rows))
-    frame = pd.DataFrame({"node": node, "links": links.astype(np.int64), "parent": node[forest(x, y, len(rows))]})
-    return frame[frame.links > 0]
-
-
-def verified(sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """``node, links, parent`` of all pairs of tiles of all groups."""
+def linker(threshold: float, tolerance: float) -> Linker:
     fewest, percent = least_matches(threshold, tolerance), round(100 * threshold)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1))
-    pairs = sets.withColumn("other", other).select(
-        "root", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "copies", "own", "sig"
-    )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rows = None, []
-        for frame in frames:
-            for r in frame.itertuples(index=False, name=None):
-                if r[:3] != key:
-                    if len(rows) > 1:
-                        yield compare(rows, *key[1:], fewest, percent)
-                    key, rows = r[:3], []
-                rows.append(r[3:])
-        if len(rows) > 1:
-            yield compare(rows, *key[1:], fewest, percent)
+    def linked(left: list[tuple], right: list[tuple], own: bool) -> tuple[np.ndarray, np.ndarray]:
+        sets = [[np.frombuffer(r[0], np.uint64) for r in side] for side in (left, right)]
+        values = [np.array([np.frombuffer(r[1], np.uint32) for r in side]) for side in (left, right)]
+        i, j = surviving_pairs(*values, own, fewest)
+        sizes = [np.array([len(s) for s in side], np.int64) for side in sets]
+        common = shared(*sets, i, j)
+        linked = 100 * common >= percent * (sizes[0][i] + sizes[1][j] - common)
+        return i[linked], j[linked]
 
-    dealt = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInPandas(run, "node bigint, links bigint, parent bigint")
+    return linked
 
 
 def similar_documents(
@@ -217,22 +185,14 @@ def similar_documents(
     equal = stage(equal.select("h1", "h2", F.col("first.row").alias("node"), "first", "copies"), "classes")
     classes = worded.select("row", "bands").join(equal.select(F.col("node").alias("row")), "row")
     groups = candidate_groups(classes.select(F.col("row").alias("node"), "bands"))
-    tiles = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).alias("tiles"))
-    placed = groups.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    placed = in_tiles(groups, TILE)
     h1, h2 = hash_pair(F.col("text"))
     texts = docs.select(h1.alias("h1"), h2.alias("h2"), known_id("doc_id").alias("key"), "text")
     wanted = placed.join(equal, "node").select("h1", "h2", F.col("first.key").alias("key"), "root", "tile", "tiles", "node", "copies")
     candidates = texts.join(wanted, ["h1", "h2", "key"])
     candidates = candidates.dropDuplicates(["node"])  # a row may be repeated with its id
-    found = verified(with_sets(candidates, n, seed), threshold, tolerance)
-    found = stage(found.groupBy("node", "parent").agg(F.sum("links").alias("links")), "links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
-    joined = equal.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = joined.groupBy("root").agg(F.min("first").alias("head"))
-    judged = joined.join(heads, "root").select(
-        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "head"
-    )
+    found = tile_links(with_sets(candidates, n, seed), ["own", "sig"], linker(threshold, tolerance))
+    judged = joined_classes(equal, found).select("h1", "h2", "n_links", "head")
     out = rows.select("row", "doc_id", "h1", "h2").join(judged, ["h1", "h2"], "left")
     head = F.col("head")
     return out.select(

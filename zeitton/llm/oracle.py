@@ -114,4 +114,27 @@ from parts left join rules
 qualify row_number() over (partition by page_id order by length(rule_host) desc, length(rule_path) desc) = 1
 """
 
-SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op6_chat_format": OP6, "op7_url_filter": OP7}
+OP9 = """
+with recursive vec as (
+    select vec_id, label, embedding::double[] as v from embeddings
+    where label is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+link as (
+    select a.vec_id as a, b.vec_id as b from vec a join vec b
+        on a.label = b.label and len(a.v) = len(b.v) and a.vec_id <> b.vec_id
+    where list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach (a, b) as (
+    select vec_id, vec_id from embeddings
+    union
+    select reach.a, link.b from reach join link on reach.b = link.a
+),
+counted as (select a, count(*) as n from link group by a),
+component as (select a, min(b) as component_id from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join component c on vec_id = c.a left join counted n on vec_id = n.a
+"""
+
+SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op6_chat_format": OP6, "op7_url_filter": OP7, "op9_embedding_dedup": OP9}

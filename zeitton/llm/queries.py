@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zeitton.llm import chat, line_dedup, ngram_join, packing, quality, sharding, url_filter
+from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, quality, sharding, url_filter
 from zeitton.llm.text import table
 
 # The rules of the url query, and its added conversation.
@@ -81,3 +81,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
