@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, quality, sharding, url_filter
+from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, pieces, quality, sharding, url_filter
 from zeitton.llm.text import table
 
 # The rules of the url query, and its added conversation.
@@ -31,6 +31,17 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text that decoding gives back."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode_documents(pieces.encode_documents(docs, model).drop("text"), model)
+    return back.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
