@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, pieces, quality, sharding, url_filter
+from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, pieces, quality, sharding, suffix_dedup, url_filter
 from zeitton.llm.text import table
 
 # The rules of the url query, and its added conversation.
@@ -42,6 +42,14 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select(
+        "row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
