@@ -168,7 +168,7 @@ def similar_documents(
     tolerance: float = 1e-9,
     seed: int = 11,
 ) -> DataFrame:
-    """``doc_id, class_id, n_links, kept``, one row per row of ``df``.
+    """``doc_id, h1, h2, class_id, n_links, kept``, one row per row of ``df``; ``h1, h2`` hash the text.
 
     Documents are linked if the Jaccard similarity of their sets of ``n``-word shingles (words are runs
     without white space, case counts; a shorter text is one shingle of all its words) is at least
@@ -197,7 +197,22 @@ def similar_documents(
     head = F.col("head")
     return out.select(
         "doc_id",
+        "h1",
+        "h2",
         F.when(head.isNull(), F.col("doc_id")).otherwise(head["doc_id"]).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce(head["row"] == F.col("row"), F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that are kept, one of each class, repeated rows once; see ``similar_documents``."""
+    h1, h2 = hash_pair(whole(text_col))
+    keys = ["__key", "__h1", "__h2"]
+    rows = df.select(
+        F.struct(*(df[c] for c in df.columns)).alias("__row"), known_id(id_col).alias(keys[0]), h1.alias(keys[1]), h2.alias(keys[2])
+    )
+    kept = similar_documents(df, id_col, text_col, **options).where("kept")
+    kept = kept.select(known_id("doc_id").alias(keys[0]), F.col("h1").alias(keys[1]), F.col("h2").alias(keys[2]))
+    # Rows come from the join in the order of their keys, so taking one of each needs no other exchange.
+    return rows.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("__row").alias("__row")).select("__row.*")

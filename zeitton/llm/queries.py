@@ -99,7 +99,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents")).drop("h1", "h2")
 
 
 @query

@@ -221,10 +221,11 @@ def resolved(contexts: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def cut_out(df: DataFrame) -> DataFrame:
-    """``df`` (``text, spans`` and others) with ``kept`` (bytes), ``n_removed`` and ``n_spans`` in place of both."""
+def cut_out(df: DataFrame, as_text: bool) -> DataFrame:
+    """``df`` (``text, spans`` and others) with ``kept``, ``n_removed`` and ``n_spans`` in place of both."""
+    kind, arrow_kind = ("string", pa.string()) if as_text else ("binary", pa.binary())
 
-    @F.arrow_udf("kept binary, n_removed bigint, n_spans bigint")
+    @F.arrow_udf(f"kept {kind}, n_removed bigint, n_spans bigint")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         kept, removed, parts = [], [], []
         for data, own in zip(texts.cast(pa.binary()), spans, strict=True):
@@ -239,11 +240,11 @@ def cut_out(df: DataFrame) -> DataFrame:
             out.append(data[at:])
             rest = b"".join(out)
             gone = len(data) - len(rest)
-            kept.append(rest)
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             removed.append(gone)
             parts.append(n)
         return pa.StructArray.from_arrays(
-            [pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(parts, pa.int64())],
+            [pa.array(kept, arrow_kind), pa.array(removed, pa.int64()), pa.array(parts, pa.int64())],
             names=["kept", "n_removed", "n_spans"],
         )
 
@@ -251,13 +252,14 @@ def cut_out(df: DataFrame) -> DataFrame:
     return done.select(*(c for c in df.columns if c not in ("text", "spans")), "done.kept", "done.n_removed", "done.n_spans")
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, as_text: bool = False) -> DataFrame:
     """``row`` (all columns of ``df`` as a struct), ``n_bytes, n_removed, n_spans, kept`` (bytes).
 
     Every byte covered by a string of ``length`` bytes of the UTF-8 text that also starts anywhere else,
     in another text or in the same one, is removed; all copies go, overlaps count, and strings never cross texts. ``n_spans``
     counts longest removed runs. Null and shorter texts stay whole (null: empty); repeated rows are texts of their
-    own, so both lose what they share; a null id is an id. ``length`` is between 50 and 200.
+    own, so both lose what they share; a null id is an id. ``length`` is between 50 and 200. With
+    ``as_text``, ``kept`` is text, without the rests of characters that lost some of their bytes.
     """
     docs = df.select(known_id(id_col).alias("doc"), F.xxhash64(whole(text_col)).alias("hash"), whole(text_col).alias("text"))
     found = anchors(docs, length)
@@ -295,4 +297,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(whole(text_col)).alias("hash"), whole(text_col).alias("text"),
     )
     joined = rows.join(by_doc, DOC, "left")
-    return cut_out(joined.select("row", F.octet_length("text").cast("bigint").alias("n_bytes"), "text", "spans"))
+    return cut_out(joined.select("row", F.octet_length("text").cast("bigint").alias("n_bytes"), "text", "spans"), as_text)
