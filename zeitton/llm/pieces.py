@@ -22,9 +22,10 @@ from zeitton.llm.packing import batches_of
 from zeitton.llm.shingles import buffers
 from zeitton.llm.text import whole
 
-BATCH_BYTES = 8_000_000
-CACHED_WORDS = 200_000  # per generation; two are held
-CACHED_PAIRS = 500_000
+BATCH_BYTES = 2_000_000
+BATCH_IDS = 400_000  # decoded together
+CACHED_WORDS = 80_000  # per generation; two are held
+CACHED_PAIRS = 150_000
 MARK = "▁"
 UNKNOWN = -1
 
@@ -193,6 +194,16 @@ def encode(text: Column, model: bytes) -> Column:
     return ids(whole(text))
 
 
+def few_at_a_time(lists: pa.Array) -> Iterator[pa.Array]:
+    """An array of lists in slices of about ``BATCH_IDS`` ids."""
+    ends, at = lists.offsets.to_numpy()[1:], 0
+    while at < len(lists):
+        done = int(ends[at - 1]) if at else lists.offsets[0].as_py()
+        end = max(at + 1, int(np.searchsorted(ends, done + BATCH_IDS, side="right")))
+        yield lists.slice(at, end - at)
+        at = end
+
+
 def decode(ids: Column, model: bytes) -> Column:
     """The text of ids. Null gives an empty text; bytes that are no UTF-8 become U+FFFD, ids of control pieces and of no piece nothing."""
 
@@ -228,7 +239,7 @@ def decode(ids: Column, model: bytes) -> Column:
                 return pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
 
         for batch in batches:
-            parts = [some(batch.slice(at, 1000)) for at in range(0, len(batch), 1000)]
+            parts = [some(lists) for lists in few_at_a_time(batch)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return text(F.coalesce(ids, F.array().cast("array<int>")))
