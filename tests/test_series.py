@@ -155,7 +155,7 @@ def test_ffill_leaves_only_leading_nulls(spark):
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "heavy_tail", "two_values", "sorted"])
 def test_hot_group_median(spark, shape):
-    """Groups above the limit take the sketched band; the result stays exact."""
+    """Groups of all sizes and shapes of values take one path; the result is exact."""
     rng = np.random.default_rng(7)
     n = 20_001
     values = {
@@ -169,15 +169,19 @@ def test_hot_group_median(spark, shape):
     rows = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in frames.items()])
     rows = pd.concat([rows, pd.DataFrame({"k": ["hot", "none"], "v": [None, None]})])
     df = spark.createDataFrame(rows).repartition(5)
-    got = {r.k: r.m for r in exact_median(df, ["k"], "v", "m", hot_rows=1_000, accuracy=1_000).collect()}
+    got = {r.k: r.m for r in exact_median(df, ["k"], "v", "m").collect()}
     assert got == {k: pytest.approx(float(np.median(v)), rel=1e-12) for k, v in frames.items()}
 
 
-def test_median_with_null_key_and_bad_parameters(spark):
+def test_median_with_null_key_and_odd_values(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(3001)], "k string, v double")
-    assert exact_median(df, ["k"], "v", "m", hot_rows=1_000, accuracy=1_000).first().m == 1500.0
-    with pytest.raises(ValueError):
-        exact_median(df, ["k"], "v", "m", hot_rows=10, accuracy=1_000)
+    assert exact_median(df, ["k"], "v", "m").first().m == 1500.0
+    odd = [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), float("nan"), None, 1.0, 2.0, 4.0, 1.0]
+    for n in range(3, len(odd) + 1):
+        kept = sorted(v for v in odd[:n] if v is not None and v == v)
+        want = (kept[(len(kept) - 1) // 2] + kept[len(kept) // 2]) / 2
+        df = spark.createDataFrame([(1, v) for v in odd[:n]], "k int, v double")
+        assert exact_median(df, ["k"], "v", "m").first().m == want
 
 
 # --- correlograms -----------------------------------------------------------------------------

@@ -39,9 +39,10 @@ def sorted_by_day(df: DataFrame) -> DataFrame:
 
 
 def not_yet_done(df: DataFrame, done: DataFrame, key: str = "link", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows whose key is not in ``done``."""
-    todo = join_split(df, done.select(key).distinct(), key, "left_anti", hot_rows)
-    return todo.select(*df.columns)
+    """Rows whose key is not in ``done``. Rows without a key are never done and pass unshuffled."""
+    known = done.select(key).where(F.col(key).isNotNull()).distinct()
+    todo = join_split(df.where(F.col(key).isNotNull()), known, key, "left_anti", hot_rows)
+    return todo.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
 def after_first(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:

@@ -1,87 +1,80 @@
-"""Exact medians of groups of any size."""
+"""Exact medians of groups of any size, by one path for all of them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from zeitton.operators.skew import HOT_ROWS
+FINE = 20  # bits of a value's fraction that name its fine bucket
 
-ACCURACY = 10_000
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``keys, __v, __n``: how often each number occurs in a group; nulls and NaN are left out."""
+    number = F.col(value).cast("double")
+    valid = df.where(F.col(value).isNotNull() & ~F.isnan(number)).select(*keys, (number + F.lit(0.0)).alias("__v"))
+    return valid.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _exponent(v: Column) -> Column:
+    return F.floor(F.log2(F.abs(v))).cast("int")
+
+
+def _coarse(v: Column) -> Column:
+    """Sign and exponent: at most 4,200 buckets, in the order of the values."""
+    size = F.when(F.abs(v) == float("inf"), 3000).otherwise(_exponent(v) + 1500)
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+
+
+def _fine(v: Column) -> Column:
+    """The value's place among 2^20 parts of its coarse bucket."""
+    bounded = (v != 0) & (F.abs(v) < float("inf"))
+    half = F.floor(_exponent(v) / 2).cast("int")  # two factors, since one could overflow
+    scaled = v / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), _exponent(v) - half)
+    return F.when(bounded, F.floor(scaled * 2**FINE)).otherwise(0).cast("bigint")
 
 
-def exact_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    out: str,
-    hot_rows: int = HOT_ROWS,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """Median of ``value`` per group, the mean of the two middle values for even sizes.
+def _at_middle(counts: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
+    """Rows of ``counts`` that hold a middle rank; ``__before`` counts what stands before each in its whole group."""
+    upto = F.sum("__n").over(Window.partitionBy(*groups).orderBy(order)) + F.col("__base")
+    placed = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__n"))
+    ranks = ((F.col("__total") + 1) / 2, (F.col("__total") + 2) / 2)
+    holds = [(F.col("__before") < F.floor(r)) & (F.col("__upto") >= F.floor(r)) for r in ranks]
+    return placed.withColumns({"__low": holds[0], "__high": holds[1]}).where(holds[0] | holds[1])
 
-    The built-in median keeps every distinct value of a group in one buffer. Here groups above
-    ``hot_rows`` are found by counting, and for those alone a mergeable quantile sketch gives two
-    values that enclose the middle. The last pass replaces everything outside that band by one marker
-    on either side and counts equal values before the shuffle, so of a hot group less than a
-    thousandth travels on. Running counts then find the middle ranks exactly; this step sorts with
-    spilling and holds no group in memory.
 
-    Each row of the two broadcast tables stands for more than ``hot_rows`` input rows, which bounds
-    them to a millionth of the input. Without hot groups the adaptive plan drops the sketch pass. The
-    sketch only decides what is worth keeping: a middle rank that falls on a marker fails the job
-    instead of giving a wrong value. ``df`` is read three times, twice without hot groups, so a
-    costly one should be stored first.
+def median_of_counts(counts: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Median per group of ``keys, __v, __n``, the mean of the two middle values for even sizes.
+
+    Counts of coarse buckets tell where the middle ranks lie, those of the fine buckets in there narrow them down, and
+    only values of a fine bucket are looked at one by one. Every step sums before it shuffles, and a
+    window never sees more than the buckets of a group, or the different values inside one fine bucket,
+    a millionth of its coarse one. ``counts`` is used three times; Spark shuffles it once.
     """
     keys = list(keys)
-    error = 1.0 / accuracy
-    band = 4 * error
-    if hot_rows * (band - error) < 2 or band >= 0.5:
-        raise ValueError("hot_rows and accuracy leave no room around the middle ranks")
-    number = F.col(value).cast("double")
-    valid = df.where(F.col(value).isNotNull() & ~F.isnan(number)).select(*keys, number.alias("__v"))
-
-    names = {k: f"__hot_{k}" for k in keys}
-    same = [F.col(k).eqNullSafe(F.col(name)) for k, name in names.items()]
-    large = (
-        valid.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*(F.col(k).alias(name) for k, name in names.items()))
-    )
-    sketch = F.percentile_approx("__v", [0.5 - band, 0.5 + band], accuracy)
-    hot = (
-        valid.join(F.broadcast(large), same)
-        .groupBy(*names.values())
-        .agg(sketch.alias("__b"))
-        .select(*names.values(), F.get("__b", 0).alias("__lo"), F.get("__b", 1).alias("__hi"))
-    )
-    side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
-    counted = (
-        valid.join(F.broadcast(hot), same, "left")
-        .select(*keys, side.alias("__side"), "__v")
-        .withColumn("__v", F.when(F.col("__side") == 0, F.col("__v")))
-        .groupBy(*keys, "__side", "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    group = Window.partitionBy(*keys)
-    ranked = counted.withColumns(
-        {
-            "__upto": F.sum("__n").over(group.orderBy("__side", "__v")),
-            "__total": F.sum("__n").over(group),
-        }
-    )
+    buckets = counts.withColumns({"__c": _coarse(F.col("__v")), "__f": _fine(F.col("__v"))})
 
-    def holds(rank):
-        return (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
+    def narrowed(rows: DataFrame, found: DataFrame, on: Sequence[str], carried: Sequence[str]) -> DataFrame:
+        names = {k: f"__at_{k}" for k in on}
+        picked = found.select(*(F.col(k).alias(n) for k, n in names.items()), *carried)
+        same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+        return rows.join(picked, same).drop(*names.values())
 
-    low, high = F.floor((F.col("__total") + 1) / 2), F.floor((F.col("__total") + 2) / 2)
-    middle = ranked.where(holds(low) | holds(high)).groupBy(*keys).agg(
-        F.max(F.when(holds(low), F.col("__v"))).alias("__a"),
-        F.max(F.when(holds(high), F.col("__v"))).alias("__c"),
-        F.max(F.abs("__side")).alias("__missed"),
+    carried = ["__base", "__total"]
+    coarse = buckets.groupBy(*keys, "__c").agg(F.sum("__n").alias("__n")).withColumn("__base", F.lit(0).cast("bigint"))
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    coarse = _at_middle(coarse.withColumn("__total", total), keys, "__c").withColumn("__base", F.col("__before"))
+    fine = narrowed(buckets, coarse, [*keys, "__c"], carried)
+    fine = fine.groupBy(*keys, "__c", "__f", *carried).agg(F.sum("__n").alias("__n"))
+    fine = _at_middle(fine, [*keys, "__c"], "__f").withColumn("__base", F.col("__before"))
+    values = narrowed(buckets, fine, [*keys, "__c", "__f"], carried)
+    middle = _at_middle(values, [*keys, "__c", "__f"], "__v").groupBy(*keys).agg(
+        F.max(F.when(F.col("__low"), F.col("__v"))).alias("__a"),
+        F.max(F.when(F.col("__high"), F.col("__v"))).alias("__b"),
     )
-    failed = F.raise_error(F.lit("middle rank outside the sketched band")).cast("double")
-    half = (F.col("__a") + F.col("__c")) / 2
-    return middle.select(*keys, F.when(F.col("__missed") == 0, half).otherwise(failed).alias(out))
+    return middle.select(*keys, ((F.col("__a") + F.col("__b")) / 2).alias(out))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Median of ``value`` per group of ``keys``; see ``median_of_counts``."""
+    return median_of_counts(value_counts(df, keys, value), keys, out)

@@ -119,15 +119,6 @@ def call(model, texts: list[str]) -> list[dict | None]:
     return rows
 
 
-def german_bert() -> object:
-    """Model factory for the public ``germansentiment`` package, where it is installed."""
-    try:
-        from germansentiment import SentimentModel
-    except ImportError as missing:
-        raise ImportError("install germansentiment or pass another model factory") from missing
-    return SentimentModel()
-
-
 def score_fields(
     df: DataFrame,
     scorer: Scorer,

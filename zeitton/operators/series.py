@@ -17,12 +17,16 @@ from zeitton.functions.dates import (
 )
 from zeitton.functions.text import bind
 from zeitton.operators.calendar import period_spine
-from zeitton.operators.median import exact_median
-from zeitton.operators.skew import HOT_ROWS
+from zeitton.operators.median import exact_median, median_of_counts, value_counts
 
 AGGREGATES = ("mean", "median")
 
 
+def check_aggregate(name: str) -> None:
+    if name not in AGGREGATES:
+        raise ValueError(f"unknown aggregate {name!r}; known are {', '.join(AGGREGATES)}")
+
+
 def preprocessed(df: DataFrame, date_col: str = "date_api", link_col: str = "link") -> DataFrame:
     """Parsed dates, rows without one dropped, and the category inferred from the link."""
     if df.schema[date_col].dataType.typeName() == "string":
@@ -62,14 +66,12 @@ def resampled(
     agg_func: str = "mean",
     freq: str = "D",
     keys: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per key and observed period with the mean or median of every measure.
 
     Rows with any missing measure are left out, for all measures.
     """
-    if agg_func not in AGGREGATES:
-        raise ValueError("agg_func must be either 'mean' or 'median'")
+    check_aggregate(agg_func)
     keys, measures = list(keys), list(measures)
     label = period_end(F.col(date_col), freq).alias("period_end")
     dated = df.where(F.col(date_col).isNotNull())
@@ -77,19 +79,28 @@ def resampled(
     if agg_func == "mean":
         rows = dated.select(*keys, label, *_numbers(df, measures)).na.drop("any", subset=measures)
         return rows.groupBy(*keys, "period_end").agg(*(F.avg(m).alias(names[m]) for m in measures))
+    long = _long(dated, label, keys, measures)
+    medians = exact_median(long, [*keys, "period_end", "measure"], "value", "median")
+    return _wide(medians, [*keys, "period_end"], names)
+
+
+def _long(rows: DataFrame, label: Column, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """One row per measure of the rows that have all measures."""
     complete = bind(
-        F.array(*_numbers(df, measures)),
+        F.array(*_numbers(rows, measures)),
         lambda values: F.when(
             F.forall(values, lambda v: v.isNotNull()),
             F.arrays_zip(F.array(*map(F.lit, measures)).alias("measure"), values.alias("value")),
         ),
     )
-    long = dated.select(*keys, label, F.explode(complete).alias("p")).select(
+    return rows.select(*keys, label, F.explode(complete).alias("p")).select(
         *keys, "period_end", "p.measure", "p.value"
     )
-    medians = exact_median(long, [*keys, "period_end", "measure"], "value", "median", hot_rows)
-    return medians.groupBy(*keys, "period_end").agg(
-        *(F.max(F.when(F.col("measure") == m, F.col("median"))).alias(names[m]) for m in measures)
+
+
+def _wide(medians: DataFrame, groups: Sequence[str], names: dict[str, str]) -> DataFrame:
+    return medians.groupBy(*groups).agg(
+        *(F.max(F.when(F.col("measure") == m, F.col("median"))).alias(name) for m, name in names.items())
     )
 
 
@@ -162,7 +173,6 @@ def aggregate_sentiment(
     end_date: str | None = None,
     handle_missing: str = "fill",
     keys: Sequence[str] = (),
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Range filter, resampling, full spine and gap handling in one call.
 
@@ -170,7 +180,7 @@ def aggregate_sentiment(
     """
     measures = [sentiment_col] if isinstance(sentiment_col, str) else list(sentiment_col)
     rows = in_range(df, date_col, start_date, end_date)
-    series = resampled(rows, date_col, measures, agg_func, freq, keys, hot_rows)
+    series = resampled(rows, date_col, measures, agg_func, freq, keys)
     series = on_full_spine(series, freq, keys, start_date, end_date)
     return gaps_handled(series, handle_missing, keys)
 
@@ -182,34 +192,40 @@ def category_series(
     agg_func: str = "mean",
     freq: str = "D",
     category_col: str = "inferred_category",
-    hot_rows: int = HOT_ROWS,
+    start_date: str | None = None,
+    end_date: str | None = None,
+    handle_missing: str | None = None,
 ) -> DataFrame:
     """Series of every category and of ``all`` together.
 
-    Means of ``all`` are put together from the sums and counts of the categories, so rows are read
-    and aggregated once. Medians have no such parts; there each row counts for both.
+    Rows are read and aggregated once: ``all`` comes from the sums and counts of the categories, or
+    for medians from their counted values. With ``handle_missing`` (``fill``, ``ffill``, ``drop``) each
+    category is a regular series, as ``aggregate_sentiment`` makes one; without it the periods are
+    those observed.
     """
+    check_aggregate(agg_func)
     measures = list(measures)
-    if agg_func == "median":
-        both = F.explode(F.array_distinct(F.array(F.col(category_col), F.lit(ALL))))
-        expanded = df.withColumn("category", both)
-        return resampled(expanded, date_col, measures, agg_func, freq, ["category"], hot_rows)
-    if agg_func not in AGGREGATES:
-        raise ValueError("agg_func must be either 'mean' or 'median'")
+    rows = in_range(df, date_col, start_date, end_date).withColumn("category", F.col(category_col))
+    rows = rows.where(F.col(date_col).isNotNull())
     label = period_end(F.col(date_col), freq).alias("period_end")
-    category = F.col(category_col).alias("category")
-    rows = df.select(category, label, *_numbers(df, measures)).na.drop("any", subset=measures)
-    parts = (
-        rows.where(F.col("period_end").isNotNull())
-        .groupBy("category", "period_end")
-        .agg(F.count(F.lit(1)).alias("__n"), *(F.sum(m).alias(m) for m in measures))
-    )
     both = F.explode(F.array_distinct(F.array(F.col("category"), F.lit(ALL))))
-    return (
-        parts.withColumn("category", both)
-        .groupBy("category", "period_end")
-        .agg(*((F.sum(m) / F.sum("__n")).alias(f"{m}_mean") for m in measures))
-    )
+    groups = ["category", "period_end"]
+    if agg_func == "median":
+        long = _long(rows, label, ["category"], measures)
+        counts = value_counts(long, [*groups, "measure"], "value").withColumn("category", both)
+        counts = counts.groupBy(*groups, "measure", "__v").agg(F.sum("__n").alias("__n"))
+        medians = median_of_counts(counts, [*groups, "measure"], "median")
+        out = _wide(medians, groups, {m: f"{m}_median" for m in measures})
+    else:
+        complete = rows.select("category", label, *_numbers(df, measures)).na.drop("any", subset=measures)
+        parts = complete.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), *(F.sum(m).alias(m) for m in measures))
+        out = parts.withColumn("category", both).groupBy(*groups).agg(
+            *((F.sum(m) / F.sum("__n")).alias(f"{m}_mean") for m in measures)
+        )
+    if handle_missing is None:
+        return out
+    regular = on_full_spine(out, freq, ["category"], start_date, end_date)
+    return gaps_handled(regular, handle_missing, ["category"])
 
 
 def trend_long(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
