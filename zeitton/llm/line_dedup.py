@@ -2,8 +2,8 @@
 
 Lines are exploded, normalised and hashed; documents per hash are counted after a partial aggregate,
 so that a line of a third of all documents reaches the shuffle as one row per task; lines over the
-threshold go, and the rest is put together again by position. The second join is the one on ids that
-brings the dropped positions to their texts.
+threshold go, and the rest is put together again by position. Repeated keys are stored, which leaves the join with
+the lines free to split a hot key; a second join brings the dropped positions to their texts by id.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.llm.text import ascii_lower, hash_pair, known_id, let, lines, stripped, whole
+from zeitton.session import stage
 
 DOC, POS, FIRST, LAST, DOCS = "__doc", "__pos", "__first", "__last", "__docs"
 KEY = ["__key_a", "__key_b"]
@@ -64,7 +65,7 @@ def dedup_lines(
     """
     keys = line_keys(df, id_col, text_col, min_chars)
     dropped = (
-        keys.join(repeated_keys(keys, min_docs), KEY)
+        keys.join(stage(repeated_keys(keys, min_docs), "repeated-lines"), KEY)
         .where(F.col(DOC) > F.col(FIRST))
         .groupBy(DOC)
         .agg(F.collect_set(POS).alias("__dropped"))
