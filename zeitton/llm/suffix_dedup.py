@@ -265,7 +265,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = anchors(docs, length)
     shared = found.groupBy("fp").agg(F.count("*").alias("count"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
     shared = shared.where("count > 1").select("fp", (F.col("least") != F.col("most")).alias("mixed"))
-    repeated = stage(found.join(shared, "fp"), "repeated-anchors")
+    # Stored, the counts leave the join free to split an anchor that very many texts share.
+    repeated = stage(found.join(stage(shared, "shared-anchors"), "fp"), "repeated-anchors")
     mixed = repeated.where("mixed")
     wanted = mixed.groupBy(*KEY).agg(
         F.count("*").alias("n"), *(F.first(c).alias(c) for c in (*DOC, "low", "more", "place"))
