@@ -26,8 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (``a, b``, bigint): the root is the component's smallest node.
 
     Rounds hang the larger neighbours of every node on its smallest one, then the smaller neighbours,
-    until nothing changes. Minima are combined before each shuffle, a node with very many neighbours
-    is a skewed join that adaptive execution splits, and each round is a stored table.
+    until nothing changes. Minima are combined before the shuffle and stored; the join of a node with
+    very many neighbours is then one that adaptive execution splits. Each round ends as a stored table.
     """
     same, previous = F.col("a") == F.col("b"), None
     current = stage(
@@ -41,10 +41,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         previous = mark
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "least")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where(~same).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = stage(large.where(~same).distinct(), "edges")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("low")), "least")
         small = large.join(low, "a")
         hung = small.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         current = stage(hung.unionByName(low.select("a", F.col("low").alias("b"))).distinct(), "edges")

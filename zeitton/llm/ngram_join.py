@@ -120,6 +120,7 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     """``node, root``: classes that share a band directly or by others."""
     bands = classes.select("node", F.explode("bands").alias("band"))
     shared_bands = bands.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared_bands = stage(shared_bands, "shared-bands")
     edges = bands.join(shared_bands, "band").where(F.col("node") != F.col("first"))
     return connected_components(edges.select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
 

@@ -22,7 +22,7 @@ Linker = Callable[[list[tuple], list[tuple], bool], tuple[np.ndarray, np.ndarray
 
 def in_tiles(members: DataFrame, size: int) -> DataFrame:
     """``root, node`` with the number of tiles of the group and the tile of the node."""
-    tiles = members.groupBy("root").agg(F.ceil(F.count("*") / size).alias("tiles"))
+    tiles = stage(members.groupBy("root").agg(F.ceil(F.count("*") / size).alias("tiles")), "tiles")
     return members.join(tiles, "root").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")))
 
 
@@ -69,6 +69,6 @@ def joined_classes(classes: DataFrame, found: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     joined = classes.join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    heads = joined.groupBy("root").agg(F.min("first").alias("head"))
+    heads = stage(joined.groupBy("root").agg(F.min("first").alias("head")), "heads")
     n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     return joined.join(heads, "root").withColumn("n_links", n_links).drop("links", "root")
