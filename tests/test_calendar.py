@@ -33,8 +33,8 @@ def walk(rows):
     for days in months.values():
         for _, found in sorted(days.items()):
             summary = False
-            for row in found:
-                if row[4] or row[2] == 0:
+            for number, row in enumerate(found, 1):
+                if row[1] != number or row[4] or row[2] == 0:
                     break
                 kept.append((row[0], row[1]))
                 summary = summary or row[3]
@@ -62,6 +62,7 @@ def test_stop_rules_equal_walk_on_random_pages(spark):
         (d("2024-01-01") + dt.timedelta(days=i), p, rng.choice([0, 1, 4, 9]), rng.random() < 0.05, rng.random() < 0.1)
         for i in range(120)
         for p in range(1, rng.randint(1, 5) + 1)
+        if rng.random() < 0.9
     ]
     df = spark.createDataFrame(rows, STATUS)
     cut = calendar.days_until_summary(calendar.pages_until_stop(df))
@@ -70,14 +71,18 @@ def test_stop_rules_equal_walk_on_random_pages(spark):
 
 def test_backfill_and_start_page(spark, tmp_path):
     path = tmp_path / "failed.txt"
-    path.write_text("2024-12-30;2\n2024-02-28;3;timeout\nkein Tag;1\n2023-04-30;1\n")
+    path.write_text("2024-12-30; 2 \n2024-02-28;3;timeout;x\nkein Tag;1\n2023-04-30;x\n")
     failed = page_source.read_failed_days(spark, str(path))
-    assert sorted((r.day, r.page) for r in failed.collect()) == [(d("2023-04-30"), 1), (d("2024-02-28"), 3), (d("2024-12-30"), 2)]
+    assert sorted((r.day, r.page, r.rest) for r in failed.collect()) == [
+        (d("2023-04-30"), None, None), (d("2024-02-28"), 3, "timeout;x"), (d("2024-12-30"), 2, None)]
     work = calendar.backfill_days(failed)
     assert sorted((r.day, r.start_page) for r in work.collect()) == [
-        (d("2023-04-30"), 1), (d("2024-02-28"), 3), (d("2024-02-29"), 3), (d("2024-12-30"), 2), (d("2024-12-31"), 2)]
-    pages = spark.createDataFrame([(d("2024-12-31"), p, 1, False, False) for p in (1, 2, 3)], STATUS)
-    assert sorted(r.page for r in calendar.from_start_page(pages, work).collect()) == [2, 3]
+        (d("2023-04-30"), 1), (d("2024-02-28"), 3), (d("2024-02-29"), 1), (d("2024-12-30"), 2), (d("2024-12-31"), 1)]
+    days = [d("2024-12-30"), d("2024-12-31")]
+    pages = spark.createDataFrame([(day, p, 1, False, False) for day in days for p in (1, 2, 3, 5)], STATUS)
+    begun = calendar.from_start_page(pages, work)
+    assert sorted((r.day.day, r.page) for r in begun.collect()) == [(30, 2), (30, 3), (30, 5), (31, 1), (31, 2), (31, 3), (31, 5)]
+    assert sorted((r.day.day, r.page) for r in calendar.pages_until_stop(begun).collect()) == [(30, 2), (30, 3), (31, 1), (31, 2), (31, 3)]
 
 
 def test_calendars(spark):

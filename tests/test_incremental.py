@@ -83,25 +83,39 @@ def archive(spark, rows=ARCHIVE):
     return spark.createDataFrame(rows, "day date, page int, html string")
 
 
-@pytest.mark.parametrize("staged", [True, False])
-def test_collect(spark, staged):
-    got = jobs.collect(archive(spark), staged=staged)
+def test_collect(spark):
+    got = jobs.collect(archive(spark))
     assert sorted(r.link for r in got.collect()) == ["/ausland/b", "/inland/a", "/wirtschaft/c", "http://else"]
-    assert jobs.collect(archive(spark), "2025-01-01", "2025-01-31", staged).count() == 1
+    assert jobs.collect(archive(spark), "2025-01-01", "2025-01-31").count() == 1
     failed = spark.createDataFrame([(dt.date(2024, 12, 1), 3)], "day date, page int")
-    after = jobs.collect_after(archive(spark), failed, staged)
-    assert sorted(r.link for r in after.collect()) == ["/inland/never"]
+    after = jobs.collect_after(archive(spark), failed)
+    assert sorted(r.link for r in after.collect()) == ["/ausland/b", "/inland/never"]
 
 
-def test_collect_stream(spark, tmp_path):
+@pytest.mark.parametrize("order", [range(8), (7, 2, 4, 0, 6, 1, 3, 5)])
+def test_collect_stream_in_any_order(spark, tmp_path, order):
+    """Pages that land one by one, a month's summary and first pages among the last, give the batch result."""
     landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    for part in (ARCHIVE[:5], ARCHIVE[5:]):
+    parts = [[ARCHIVE[i] for i in order[:3]], [ARCHIVE[i] for i in order[3:7]], [ARCHIVE[i] for i in order[7:]]]
+    for part in parts:
         archive(spark, part).write.mode("append").parquet(landing)
         source = streams.stream_parquet(spark, landing, archive(spark).schema)
         streams.collect_stream(source, out, state).awaitTermination()
-    got = spark.read.parquet(out)
-    assert sorted(r.link for r in got.collect()) == ["/ausland/b", "/inland/a", "/wirtschaft/c", "http://else"]
-    assert got.select("batch_id").distinct().count() == 2
+    got = streams.collected(spark, out)
+    want = jobs.collect(archive(spark))
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect())
+
+
+def test_streams_read_files_and_folders(spark, tmp_path):
+    single, folder = str(tmp_path / "one.parquet"), str(tmp_path / "many.parquet")
+    batch(spark, 0, 30).repartition(3).write.parquet(folder)
+    batch(spark, 0, 7).coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("part-*.parquet")).rename(single)
+    for path, n in ((single, 7), (folder, 30)):
+        source = streams.stream_parquet(spark, path, batch(spark, 0, 1).schema)
+        out = str(tmp_path / f"out{n}")
+        streams.score_stream(source, SCORER, out, f"{out}-state").awaitTermination()
+        assert spark.read.parquet(out).count() == n
 
 
 def test_all_steps_through_files(spark, tmp_path):

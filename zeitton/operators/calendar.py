@@ -39,29 +39,43 @@ def month_groups(days: DataFrame) -> DataFrame:
 
 
 def backfill_days(failed: DataFrame) -> DataFrame:
-    """Failed day and page to every day from then to the end of that month, same starting page."""
+    """Failed day and page to every day from then to the end of that month.
+
+    The failed day starts at its page, or at page 1 if the line named none; later days start at page 1.
+    """
     until = F.sequence(F.col("day"), F.last_day("day"))
-    return failed.select(F.explode(until).alias("day"), F.col("page").alias("start_page"))
+    listed = failed.select(F.posexplode(until).alias("__later", "day"), "page")
+    start = F.when(F.col("__later") == 0, F.coalesce("page", F.lit(1))).otherwise(1)
+    return listed.select("day", start.alias("start_page"))
 
 
 def from_start_page(pages: DataFrame, worklist: DataFrame) -> DataFrame:
-    """Pages of worklist days, from each day's starting page on (the lowest if listed twice)."""
+    """Pages of worklist days, from each day's ``start_page`` on (the lowest if listed twice)."""
     starts = worklist.groupBy("day").agg(F.min("start_page").alias("start_page"))
-    joined = pages.join(F.broadcast(starts), "day")
-    return joined.where(F.col("page") >= F.col("start_page")).drop("start_page")
+    joined = pages.drop("start_page").join(F.broadcast(starts), "day")
+    return joined.where(F.col("page") >= F.col("start_page"))
 
 
 def pages_until_stop(pages: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Within a day, pages before the first empty or failed one.
+    """Within a day, pages from its first one up to the first that is empty, failed or missing.
 
-    ``status`` carries ``day, page, n_links, error`` and defaults to ``pages`` itself. The first stop
-    is a minimum, combined before the shuffle, so a day with very many pages is no single task.
+    ``status`` carries ``day, page, n_links, error`` and defaults to ``pages`` itself. A day begins at
+    page 1, or at its ``start_page`` where that column is there. The first missing page follows one
+    whose successor is not stored, which a join of narrow rows finds; the first stop is a minimum,
+    combined before the shuffle, so a day with very many pages is no single task.
     """
     status = pages if status is None else status
-    stop = F.when(F.col("error") | (F.col("n_links") == 0), F.col("page"))
-    stops = status.groupBy("day").agg(F.min(stop).alias("__stop")).where(F.col("__stop").isNotNull())
-    joined = pages.join(F.broadcast(stops), "day", "left")
-    return joined.where(F.col("__stop").isNull() | (F.col("page") < F.col("__stop"))).drop("__stop")
+    start = F.col("start_page") if "start_page" in status.columns else F.lit(1)
+    narrow = status.select("day", "page", start.alias("__start"), (F.col("error") | (F.col("n_links") == 0)).alias("__bad"))
+    narrow = narrow.where(F.col("page") >= F.col("__start"))
+    stored = narrow.select("day", F.col("page").alias("__next")).distinct()
+    begun = status.select("day", (start - 1).alias("page")).distinct()
+    after = narrow.select("day", "page").distinct().unionByName(begun).withColumn("__next", F.col("page") + 1)
+    missing = after.join(stored, ["day", "__next"], "left_anti").select("day", F.col("__next").alias("__stop"))
+    bad = narrow.where("__bad").select("day", F.col("page").alias("__stop"))
+    stops = missing.unionByName(bad).groupBy("day").agg(F.min("__stop").alias("__stop"))
+    joined = pages.join(F.broadcast(stops), "day")
+    return joined.where(F.col("page").between(start if "start_page" in pages.columns else F.lit(1), F.col("__stop") - 1)).drop("__stop")
 
 
 def days_until_summary(pages: DataFrame, status: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.dates import day_text
@@ -132,22 +134,27 @@ def page_status(pages: DataFrame) -> DataFrame:
             teaser_count(p).alias("n_links"), monthly_summary(p).alias("monthly_summary")
         ),
     )
-    return pages.select("day", "page", facts.alias("__f"), F.col("html").isNull().alias("error")).select(
-        "day", "page", "__f.n_links", "__f.monthly_summary", "error"
+    own = ["day", "page", *(c for c in ("start_page",) if c in pages.columns)]
+    return pages.select(*own, facts.alias("__f"), F.col("html").isNull().alias("error")).select(
+        *own, "__f.n_links", "__f.monthly_summary", "error"
     )
 
 
-def extract_teasers(pages: DataFrame) -> DataFrame:
+def extract_teasers(pages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Listing rows of archive pages ``(day, page, html)``: one per teaser, missing fields empty.
 
+    Columns of the pages named in ``keep`` come first.
+
     Everything happens inside the row of the page, so the job is one scan without a shuffle.
     """
     cut = bind(page_tokens(F.col("html")), teaser_tokens)
-    teasers = pages.select("day", "page", F.posexplode(cut).alias("position", "teaser"))
+    own = dict.fromkeys(["day", "page", *keep])
+    teasers = pages.select(*own, F.posexplode(cut).alias("position", "teaser"))
     teaser = F.col("teaser")
     text = {name: element_text(teaser, tag, _class(css)) for name, (tag, css) in TEASER_FIELDS.items()}
     anchor = F.get(teaser, open_position(teaser, "a", _class(LINK_CLASS)) - 1)
     return teasers.select(
+        *keep,
         day_text(F.col("day")).alias("date_api"),
         F.col("page").alias("page_api"),
         bind(text["date"], lambda d: F.when(d != "", d).otherwise(day_text(F.col("day")))).alias("date"),

@@ -87,7 +87,10 @@ def escaped(text: Column) -> Column:
 
 
 def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One archive page per document with one teaser per line of its text."""
+    """One archive page per document with one teaser per line of its text.
+
+    A day has pages 1 to 3, of which some are absent; a page of every 13th document has no teaser.
+    """
     lines = F.split("text", "\n")
     head = F.when(F.col("lang") == "de", "Dezember 2024").otherwise("01. Dezember 2024")
     wrapper = '<div class="copytext-element-wrapper__vertical-only">'
@@ -113,12 +116,12 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(
         F.lit('<html><body><h2 class="archive__headline">'), head, F.lit("</h2>"),
         F.lit('<div id="content">'), F.lit(wrapper + "a</div>"), F.lit(wrapper + "b</div>"),
-        F.array_join(F.transform(lines, teaser), ""), F.lit("</div>"),
+        F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.array_join(F.transform(lines, teaser), "")), F.lit("</div>"),
         F.lit(wrapper + "outside the content</div></body></html>"),
     )
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 360).cast("int"))
     return texts(spark, sf_dir, "documents").select(
-        "doc_id", day.alias("day"), F.lit(1).alias("page"), html.alias("html")
+        "doc_id", day.alias("day"), (F.col("doc_id") % 3 + 1).cast("int").alias("page"), html.alias("html")
     )
 
 

@@ -25,32 +25,31 @@ from zeitton.operators.series import (
     preprocessed,
 )
 from zeitton.schemas import ARTICLE_POLARITY, DROPPED_BY_CLEANING, FIELDS
-from zeitton.session import stage
 from zeitton.sources.articles import read_tsv
 
 
-def collect(
-    pages: DataFrame, start: str | None = None, end: str | None = None, staged: bool = True
-) -> DataFrame:
+def collect(pages: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Listing rows of the archive pages of a date range.
 
-    The stop rules need one narrow row per page. With ``staged`` those rows are stored once and read
-    for both rules. Their outcome, one row per day and per month, is broadcast to the pages, so the
-    HTML itself is never shuffled.
+    The stop rules read one narrow row per page. Their outcome, one row per day and per month, is
+    broadcast to the pages, so the HTML itself is never shuffled.
     """
     if start:
         pages = pages.where(F.col("day") >= F.lit(start).cast("date"))
     if end:
         pages = pages.where(F.col("day") <= F.lit(end).cast("date"))
-    status = page_status(pages)
-    status = stage(status, "page-status") if staged else status
+    return extract_teasers(reached(pages, page_status(pages))).drop("position")
+
+
+def reached(pages: DataFrame, status: DataFrame) -> DataFrame:
+    """Pages that a collection run gets to, by the status of all pages."""
     kept = pages_until_stop(pages, status)
-    return extract_teasers(days_until_summary(kept, pages_until_stop(status))).drop("position")
+    return days_until_summary(kept, pages_until_stop(status))
 
 
-def collect_after(pages: DataFrame, failed: DataFrame, staged: bool = True) -> DataFrame:
-    """The same for failed days: from each one's page on, through the end of its month."""
-    return collect(from_start_page(pages, backfill_days(failed)), staged=staged)
+def collect_after(pages: DataFrame, failed: DataFrame) -> DataFrame:
+    """The same for failed days: from each one's page on, and all later days of its month."""
+    return collect(from_start_page(pages, backfill_days(failed)))
 
 
 def fetch(listings: DataFrame, pages: DataFrame) -> DataFrame:

@@ -367,15 +367,20 @@ flags as (select o_orderdate::date as day, left(o_orderpriority, 1)::bigint as p
     count(*) filter (where o_orderstatus <> 'P') as n_links,
     bool_or(o_totalprice < 3000) as monthly_summary, bool_or(o_totalprice > 490000) as error
     from orders group by 1, 2),
-work as (select unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as day,
-    page as start_page from flags where error),
-kept as (select f.* from flags f where not exists (select 1 from flags g
-    where g.day = f.day and g.page <= f.page and (g.error or g.n_links = 0)))"""
+work as (select later as day, case when later = day then page else 1 end as start_page
+    from (select day, page, unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as later
+        from flags where error)),
+kept as (select f.* from flags f where f.page = (select count(distinct g.page) from flags g
+    where g.day = f.day and g.page between 1 and f.page and not g.error and g.n_links > 0))"""
 SQL["backfill_days"] = f"with {_STATUS} select day, start_page from work"
 SQL["start_page_filter"] = f"""
 with {_STATUS} select f.day, f.page, f.n_links from flags f
 where exists (select 1 from work w where w.day = f.day and f.page >= w.start_page)"""
 SQL["page_takewhile"] = f"with {_STATUS} select day, page, n_links from kept"
+SQL["page_gap_stop"] = f"""
+with {_STATUS}, left_over as (select * from flags where not (day(day) % 3 = 0 and page = 2))
+select day, page, n_links from left_over f where f.page = (select count(distinct g.page) from left_over g
+    where g.day = f.day and g.page <= f.page and not g.error and g.n_links > 0)"""
 SQL["month_cutoff"] = f"""
 with {_STATUS} select day, page, n_links from kept k where not exists (select 1 from kept s
     where s.monthly_summary and s.n_links > 0 and s.day < k.day and last_day(s.day) = last_day(k.day))"""
@@ -443,22 +448,36 @@ lines as (select doc_id, lang, n_chars, unnest(t) as line, generate_subscripts(t
     from (select *, string_split(text, chr(10)) as t from documents)),
 parts as (select *, regexp_extract(line, '\S+(?:\s+\S+){0,2}') as start from lines)"""
 _TEASERS = f"""{_LINES},
-days as (select doc_id, date '2024-01-01' + (n_chars % 360)::int as day from documents),
-teasers as (select day, strftime(day, '%Y-%m-%d') as date_api, 1::bigint as page_api,
-    case when lang = 'es' then strftime(day, '%Y-%m-%d') else '01.12.2024 • 09:05 Uhr' end as date,
+pages_in as (select doc_id, lang, date '2024-01-01' + (n_chars % 360)::int as day, doc_id % 3 + 1 as page,
+    doc_id % 13 = 0 as bare from documents),
+teasers as (select doc_id, day, i::bigint as position, strftime(day, '%Y-%m-%d') as date_api, page as page_api,
+    case when parts.lang = 'es' then strftime(day, '%Y-%m-%d') else '01.12.2024 • 09:05 Uhr' end as date,
     trim(start) || trim(substr(line, len(start) + 1)) as headline, trim(start) as short_headline,
-    trim(line) as short_text, '/x/' || i as link from parts join days using (doc_id))"""
-SQL["archive_teasers"] = f"""
-with {_TEASERS} select teasers.* exclude (day), count(*) as n from teasers group by all"""
-SQL["collect_listings"] = f"""
-with {_TEASERS},
-cuts as (select last_day(day) as month, min(day) as cut from days join documents using (doc_id)
-    where lang = 'de' group by 1)
-select teasers.* exclude (day), count(*) as n from teasers left join cuts on month = last_day(day)
-where cut is null or day <= cut group by all"""
-SQL["streamed_listings"] = SQL["collect_listings"]
+    trim(line) as short_text, '/x/' || i as link from parts join pages_in using (doc_id) where not bare)"""
+SQL["archive_teasers"] = f"with {_TEASERS} select teasers.* exclude (day) from teasers"
+
+
+def walked(starts: str) -> str:
+    """Teasers that a run reaches which begins each day of ``starts(day, first)`` at that page."""
+    return f"""
+begun as (select p.*, first from pages_in p join ({starts}) using (day) where page >= first),
+met as (select * from begun b where not exists (select 1 from begun g where g.day = b.day and g.page <= b.page and g.bare)
+    and page - first + 1 = (select count(distinct g.page) from begun g where g.day = b.day and g.page <= b.page)),
+cuts as (select last_day(day) as month, min(day) as cut from met where lang = 'de' group by 1)
+select t.* exclude (doc_id, day, position) from teasers t join met using (doc_id) left join cuts on month = last_day(t.day)
+where cut is null or t.day <= cut"""
+
+
+SQL["collect_listings"] = f"with {_TEASERS}, {walked('select distinct day, 1 as first from pages_in')}"
+SQL["collect_after_listings"] = f"with {_TEASERS}, " + walked(
+    "select later as day, min(case when later = day then page else 1 end) as first from (select day, page, "
+    "unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as later "
+    "from pages_in where doc_id % 29 = 0) group by 1"
+)
+SQL["streamed_listings"] = SQL["streamed_listings_split"] = SQL["collect_listings"]
 SQL["monthly_summary_flag"] = """
-select doc_id, lang = 'de' as monthly_summary, len(string_split(text, chr(10))) as n_links from documents"""
+select doc_id, lang = 'de' as monthly_summary,
+    case when doc_id % 13 = 0 then 0 else len(string_split(text, chr(10))) end as n_links from documents"""
 SQL["jsonld_article"] = """
 select '/d/' || doc_id as link,
     case when lang <> 'es' then text end as "articleBody",

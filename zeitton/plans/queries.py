@@ -22,7 +22,7 @@ from zeitton.operators.scoring import (
 from zeitton.plans import inputs, jobs
 from zeitton.plans.inputs import NEGATIVE, POSITIVE, table, texts
 from zeitton.schemas import CLASSES, FIELDS
-from zeitton.session import run_folder, stage
+from zeitton.session import run_folder
 from zeitton.sources import links, pages
 from zeitton.streaming import jobs as streams
 
@@ -391,8 +391,8 @@ def rejected_dates(spark, sf_dir):
 
 @query
 def article_polarity_series(spark, sf_dir):
-    """Texts to scores to polarity, stored as a table, to a monthly median series per category."""
-    cleaned = stage(jobs.clean(_scored(spark, sf_dir)), "article-polarity")
+    """Texts to scores to polarity to a monthly median series per category."""
+    cleaned = jobs.clean(_scored(spark, sf_dir))
     rows = series.preprocessed(cleaned, "date")
     out = series.category_series(rows, "date", ["articleBody_polarity", "headline_polarity"], "median", "M")
     return rounded(out, "articleBody_polarity_median", "headline_polarity_median")
@@ -400,8 +400,8 @@ def article_polarity_series(spark, sf_dir):
 
 @query
 def article_correlogram(spark, sf_dir):
-    """Texts to scores to polarity, stored as a table, to the correlogram of one category."""
-    cleaned = stage(jobs.clean(_scored(spark, sf_dir)), "article-polarity")
+    """Texts to scores to polarity to the correlogram of one category."""
+    cleaned = jobs.clean(_scored(spark, sf_dir))
     _, out = jobs.correlate(
         cleaned, category="ausland", freq="W",
         measures=("articleBody_polarity", "headline_polarity"),
@@ -431,11 +431,6 @@ def archive_urls(spark, sf_dir):
     return days.select("day", url.alias("url"))
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page status, stored once because the rules below read it several times."""
-    return stage(inputs.page_flags(spark, sf_dir), "page-status")
-
-
 def _failed(flags: DataFrame) -> DataFrame:
     return flags.where("error").select("day", "page")
 
@@ -448,20 +443,28 @@ def backfill_days(spark, sf_dir):
 
 @query
 def start_page_filter(spark, sf_dir):
-    flags = _flags(spark, sf_dir)
+    flags = inputs.page_flags(spark, sf_dir)
     out = calendar.from_start_page(flags, calendar.backfill_days(_failed(flags)))
     return out.select("day", big("page"), "n_links")
 
 
 @query
 def page_takewhile(spark, sf_dir):
-    out = calendar.pages_until_stop(_flags(spark, sf_dir))
+    out = calendar.pages_until_stop(inputs.page_flags(spark, sf_dir))
+    return out.select("day", big("page"), "n_links")
+
+
+@query
+def page_gap_stop(spark, sf_dir):
+    """Every third day lacks its second page, so nothing behind that is reached."""
+    lost = (F.dayofmonth("day") % 3 == 0) & (F.col("page") == 2)
+    out = calendar.pages_until_stop(inputs.page_flags(spark, sf_dir).where(~lost))
     return out.select("day", big("page"), "n_links")
 
 
 @query
 def month_cutoff(spark, sf_dir):
-    kept = calendar.pages_until_stop(_flags(spark, sf_dir))
+    kept = calendar.pages_until_stop(inputs.page_flags(spark, sf_dir))
     return calendar.days_until_summary(kept).select("day", big("page"), "n_links")
 
 
@@ -595,21 +598,26 @@ def text_strip(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", text.alias("text"))
 
 
-def _counted(listing: DataFrame) -> DataFrame:
-    """Distinct listing rows with the number of their copies."""
-    out = listing.groupBy(*listing.columns).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("page_api", big("page_api"))
-
-
 @query
 def archive_teasers(spark, sf_dir):
-    return _counted(listings.extract_teasers(inputs.archive_pages(spark, sf_dir)).drop("position"))
+    found = listings.extract_teasers(inputs.archive_pages(spark, sf_dir), ["doc_id"])
+    return found.withColumns({"page_api": big("page_api"), "position": big("position")})
 
 
 @query
 def collect_listings(spark, sf_dir):
     """Listing rows of a whole archive: stop rules applied, then teasers extracted."""
-    return _counted(jobs.collect(inputs.archive_pages(spark, sf_dir).drop("doc_id")))
+    out = jobs.collect(inputs.archive_pages(spark, sf_dir).drop("doc_id"))
+    return out.withColumn("page_api", big("page_api"))
+
+
+@query
+def collect_after_listings(spark, sf_dir):
+    """Listing rows from failed pages on, through the end of each month."""
+    held = inputs.archive_pages(spark, sf_dir)
+    failed = held.where(F.col("doc_id") % 29 == 0).select("day", "page")
+    out = jobs.collect_after(held.drop("doc_id"), failed)
+    return out.withColumn("page_api", big("page_api"))
 
 
 @query
@@ -656,7 +664,7 @@ def listing_article_join(spark, sf_dir):
 
 def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
-    return streams.stream_parquet(spark, sf_dir, schema, glob="documents.parquet")
+    return streams.stream_parquet(spark, f"{sf_dir.rstrip('/')}/documents.parquet", schema)
 
 
 @query
@@ -680,12 +688,22 @@ def streamed_counts(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query
-def streamed_listings(spark, sf_dir):
-    """Archive pages landed as files, collected by a stream."""
+def _streamed_listings(spark: SparkSession, landed: DataFrame, max_files: int | None = None) -> DataFrame:
     folder = run_folder(spark, "streamed-listings")
-    landed = inputs.archive_pages(spark, sf_dir).drop("doc_id")
     landed.write.parquet(f"{folder}/in")
-    source = streams.stream_parquet(spark, f"{folder}/in", landed.schema)
+    source = streams.stream_parquet(spark, f"{folder}/in", landed.schema, max_files)
     streams.collect_stream(source, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return _counted(spark.read.parquet(f"{folder}/out").drop("batch_id"))
+    return streams.collected(spark, f"{folder}/out").withColumn("page_api", big("page_api"))
+
+
+@query
+def streamed_listings(spark, sf_dir):
+    """Archive pages landed as files, collected by a stream."""
+    return _streamed_listings(spark, inputs.archive_pages(spark, sf_dir).drop("doc_id"))
+
+
+@query
+def streamed_listings_split(spark, sf_dir):
+    """The same pages dealt over four files that a month's pages share, read one file at a time."""
+    landed = inputs.archive_pages(spark, sf_dir).repartition(4, F.hash("doc_id")).drop("doc_id")
+    return _streamed_listings(spark, landed, 1)

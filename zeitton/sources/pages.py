@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from zeitton.functions.dates import iso_day
-from zeitton.schemas import FAILED_DAY, RAW_PAGE
+from zeitton.schemas import RAW_PAGE
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -28,15 +28,15 @@ def article_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_failed_days(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``YYYY-MM-DD;page[;rest]``; lines without a valid day are dropped."""
-    return (
-        spark.read.option("sep", ";").option("mode", "PERMISSIVE").schema(FAILED_DAY).csv(path)
-        .where(F.col("day").isNotNull())
-    )
+    """Failed days of a text file; see ``parse_failed_days``."""
+    return parse_failed_days(spark.read.text(path))
 
 
 def parse_failed_days(lines: DataFrame, line: str = "value") -> DataFrame:
-    """The same from a column of lines."""
+    """Lines ``YYYY-MM-DD;page[;rest]``; lines without a valid day are dropped.
+
+    A page that is no number is null here, which shows the line, and counts as page 1 in a worklist.
+    """
     parts = F.split(F.col(line), ";", 3)
     return lines.select(
         iso_day(F.get(parts, 0)).alias("day"),

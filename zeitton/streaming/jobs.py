@@ -8,25 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from zeitton.operators.listings import extract_teasers, page_status
 from zeitton.operators.scoring import Scorer, category_counts, score_fields
-from zeitton.plans.jobs import collect
+from zeitton.plans.jobs import reached
 from zeitton.schemas import FIELDS
 from zeitton.sources.articles import append_batch
 
 
-def stream_parquet(
-    spark: SparkSession,
-    folder: str,
-    schema: T.StructType,
-    glob: str | None = None,
-    max_files: int | None = None,
-) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+    """Rows of a Parquet file, or of all files that land in a folder.
+
+    Streams list folders; a pattern that only this path fits lets them take a single file as well.
+    """
+    path = path.rstrip("/")
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.parquet(folder)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def score_stream(
@@ -49,13 +47,15 @@ def score_stream(
 
 
 def collect_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Listing rows of newly landed archive pages, one output folder per batch.
+    """Teasers and status of newly landed archive pages, one folder per batch; ``collected`` reads them.
 
-    The stop rules look at whole months, so the pages of a month must land together.
+    Which pages a run would have reached depends on pages that may land in any later batch. So batches
+    only store what each page holds, in narrow rows, and the stop rules are left to the reader.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_batch(collect(batch), out, batch_id)
+        append_batch(page_status(batch), f"{out}/status", batch_id)
+        append_batch(extract_teasers(batch, ["day", "page"]), f"{out}/teasers", batch_id)
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -65,6 +65,13 @@ def collect_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     )
 
 
+def collected(spark: SparkSession, out: str) -> DataFrame:
+    """Listing rows of all pages that ``collect_stream`` has stored, in whatever order they landed."""
+    status = spark.read.parquet(f"{out}/status").drop("batch_id")
+    teasers = spark.read.parquet(f"{out}/teasers").drop("batch_id", "position")
+    return reached(teasers, status).drop("day", "page")
+
+
 def count_stream(
     scored: DataFrame, out: str, checkpoint: str, fields: Sequence[str] = FIELDS
 ) -> StreamingQuery:
