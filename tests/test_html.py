@@ -196,3 +196,32 @@ def test_depths_across_blocks(spark):
     df = spark.createDataFrame([(c,) for c in cases], "m array<int>")
     for row in df.select("m", markup.depths(F.col("m")).alias("d")).collect():
         assert row.d == list(itertools.accumulate(1 if m > 0 else -1 for m in row.m))
+
+
+def test_brackets_and_tags_inside_values(spark):
+    body = (
+        '<a title="x > y <b>" class="teaser-right__link" data-q=\'1 > 0\' href="/q?a=1&amp;b=<2>">'
+        '<span data-x="</span>" class="teaser-right__headline">1 &lt; 2 > 0</span></a>'
+    )
+    (row,) = teasers(spark, page(*SKIP, wrapper(body)))
+    assert (row["link"], row["headline"]) == ("/q?a=1&b=<2>", "1 < 2 > 0")
+    flagged = page(*SKIP, wrapper(body), head='<h2 title="a > b" class="archive__headline">Dezember</h2>')
+    assert status(spark, flagged).monthly_summary
+
+
+def test_commented_scripts_do_not_count(spark):
+    html = "<!-- " + script(NEWS % "old") + " -->" + script(NEWS % "<!-- kept -->")
+    df = spark.createDataFrame([("/a", html)], "link string, html string")
+    assert articles.extract_articles(df).first().articleBody == "<!-- kept -->"
+
+
+def test_nested_and_unclosed_wrappers(spark):
+    nested = wrapper("<div>x</div>" + wrapper(TEASER) + "<div><div>y</div></div>")
+    assert [r["link"] for r in teasers(spark, page(*SKIP, nested, wrapper("z")))] == ["/inland/a-100.html"] * 2 + [""]
+    html = page(*SKIP, wrapper("one"))[: -len("</div></div></body></html>")] + TEASER
+    assert [r["link"] for r in teasers(spark, html)] == ["/inland/a-100.html"]
+
+
+def test_many_teasers_on_a_page(spark):
+    one = wrapper('<div><a class="teaser-right__link" href="/a"></a></div>')
+    assert len(teasers(spark, page(*SKIP, one * 3000))) == 3000

@@ -114,3 +114,10 @@ def test_links_round_trip_and_append(spark, tmp_path):
 @pytest.mark.parametrize("schema", [schemas.ARTICLE_SENTIMENT, schemas.ARTICLE_POLARITY])
 def test_layer_schemas(schema):
     assert len({f.name for f in schema}) == len(schema)
+
+
+def test_tsv_folder_with_another_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("link\theadline\n/a\tone\n")
+    (tmp_path / "b.csv").write_text("headline\tlink\ntwo\t/b\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        article_source.read_tsv(spark, str(tmp_path)).collect()

@@ -16,11 +16,31 @@ from pyspark.sql import Column, functions as F
 from zeitton.functions.text import bind, strip
 
 HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+QUOTES = ("\"", "'")
 ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
 
 
 def without_hidden(html: Column) -> Column:
-    return F.regexp_replace(html, HIDDEN, "<!>")
+    return bind(F.regexp_replace(html, HIDDEN, "<!>"), brackets_in_values_escaped)
+
+
+def without_comments(html: Column) -> Column:
+    """Comments outside scripts are gone; what looks like one inside a script stays."""
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|(<script\b.*?</script\s*>)", "$1")
+
+
+def brackets_in_values_escaped(html: Column) -> Column:
+    """``<`` and ``>`` inside quoted values become references, so that a bare one always ends or begins a tag.
+
+    Readers of values and of text decode references, which makes this invisible to them.
+    """
+    some = "|".join(rf"=\s*{q}[^{q}<>]*[<>][^{q}]*{q}" for q in QUOTES)
+    escaped = html
+    for q in QUOTES:
+        for bracket, name in (("<", "&lt;"), (">", "&gt;")):
+            run = f"[^{q}{bracket}]*"  # \G goes on in the value where the last replacement ended
+            escaped = F.regexp_replace(escaped, rf"(=\s*{q}{run}|\G(?!\A){run}){bracket}(?=[^{q}]*{q})", f"$1{name}")
+    return F.when(html.rlike(some), escaped).otherwise(html)
 
 
 def tokens(html: Column) -> Column:

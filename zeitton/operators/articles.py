@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from zeitton.functions.html import attribute_pattern, element_text, tokens, without_hidden
+from zeitton.functions.html import attribute_pattern, element_text, tokens, without_comments, without_hidden
 from zeitton.functions.text import bind, once
 from zeitton.operators.dataset import deduplicated
 from zeitton.operators.skew import HOT_ROWS, join_split
@@ -18,9 +18,9 @@ ARTICLE_TYPE = "NewsArticle"
 
 
 def data_blocks(html: Column) -> Column:
-    """Contents of all embedded JSON-LD scripts, in page order."""
+    """Contents of all embedded JSON-LD scripts outside comments, in page order."""
     pattern = rf"(?is)<script(?=[\s>/]){attribute_pattern('type', DATA_TYPE)}[^>]*>(.*?)</script\s*>"
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(without_comments(html), F.lit(pattern), F.lit(1))
 
 
 def _is_article(value: Column) -> Column:

@@ -82,46 +82,56 @@ def _content(page: Column) -> Column:
     )
 
 
-def _wrapper_marks(content: Column) -> Column:
-    """1-based numbers of the marks that open teaser wrappers inside the content element, in page
-    order, the skipped ones left out. Mark 1 opens the content element itself."""
-    lookahead = _class(WRAPPER_CLASS)
+def _elements(content: Column) -> Column:
+    """Opening and closing token of every div, in page order; ``end`` is null for one never closed.
 
-    def inside(end: Column) -> Column:
-        def chosen(mark: Column, i: Column) -> Column:
-            within = (i > 0) & ((end == 0) | (i + 1 < end)) & (mark > 0)
-            return F.when(within & opens(F.get(content["tokens"], mark - 1), "div", lookahead), i + 1)
+    An element's marks share its nesting level, where opening and closing ones take turns. Sorted by
+    level and place, each opening mark has its closing one right behind it.
+    """
 
-        return F.filter(F.transform(content["marks"], chosen), lambda n: n.isNotNull())
+    def mark(at: Column, i: Column) -> Column:
+        depth = F.get(content["depths"], i)
+        return F.struct(F.when(at > 0, depth).otherwise(depth + 1).alias("level"), F.abs(at).alias("at"), (at > 0).alias("open"))
 
-    found = bind(F.array_position(content["depths"], F.lit(0)), inside)
-    return bind(found, lambda f: F.slice(f, F.lit(SKIPPED_WRAPPERS + 1), F.greatest(F.size(f), F.lit(1))))
+    def paired(ordered: Column) -> Column:
+        def pair(m: Column, k: Column) -> Column:
+            following = F.get(ordered, k + 1)
+            closes = (following["level"] == m["level"]) & ~following["open"]
+            return F.when(m["open"], F.struct(m["at"].alias("at"), F.when(closes, following["at"]).alias("end")))
 
+        return F.sort_array(F.filter(F.transform(ordered, pair), lambda p: p.isNotNull()))
+
+    return bind(F.sort_array(F.transform(content["marks"], mark)), paired)
 
-def _wrapper(content: Column, number: Column) -> Column:
-    """Tokens of the wrapper that a mark opens: up to where the depth falls below its own."""
-    start = F.get(content["marks"], number - 1)
-    later = F.slice(content["depths"], number + 1, F.size(content["depths"]))
-    ahead = F.array_position(later, F.get(content["depths"], number - 1) - 1).cast("int")
-    length = bind(
-        ahead,
-        lambda n: F.when(n > 0, F.abs(F.get(content["marks"], number + n - 1)) - start).otherwise(
-            F.size(content["tokens"])
-        ),
-    )
-    return F.slice(content["tokens"], start, length)
+
+def _wrappers(content: Column) -> Column:
+    """Teaser wrappers inside the content element, in page order, the skipped ones left out."""
+    lookahead = _class(WRAPPER_CLASS)
+
+    def chosen(elements: Column) -> Column:
+        end = F.get(elements, 0)["end"]  # the first element is the content itself
+        inside = F.filter(
+            elements,
+            lambda e, i: (i > 0) & (end.isNull() | (e["at"] < end)) & opens(F.get(content["tokens"], e["at"] - 1), "div", lookahead),
+        )
+        return bind(inside, lambda f: F.slice(f, F.lit(SKIPPED_WRAPPERS + 1), F.greatest(F.size(f), F.lit(1))))
+
+    return bind(_elements(content), chosen)
 
 
 def teaser_tokens(page: Column) -> Column:
     """Array with the tokens of every teaser wrapper, in page order; null without a content element."""
     return bind(
         _content(page),
-        lambda content: F.transform(_wrapper_marks(content), lambda number: _wrapper(content, number)),
+        lambda content: F.transform(
+            _wrappers(content),
+            lambda e: F.slice(content["tokens"], e["at"], F.coalesce(e["end"] - e["at"], F.size(content["tokens"]))),
+        ),
     )
 
 
 def teaser_count(page: Column) -> Column:
-    count = bind(_content(page), lambda content: F.size(_wrapper_marks(content)))
+    count = bind(_content(page), lambda content: F.size(_wrappers(content)))
     return F.greatest(F.coalesce(count, F.lit(0)), F.lit(0))
 
 

@@ -35,19 +35,27 @@ def first_words(text: Column, n: int) -> Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: equal texts of one language share a link."""
+    """Documents as articles: equal texts of one language share a link.
+
+    The first three turns of a conversation, whole, are the short fields of an article.
+    """
     section = F.coalesce(
         *(F.when(F.col("lang") == lang, name) for lang, name in SECTION_OF.items()), F.lit("sport")
     )
     day = F.date_add(F.lit("2023-01-01").cast("date"), (F.col("n_chars") % 700).cast("int"))
-    return texts(spark, sf_dir, "documents").select(
+    talks = table(spark, sf_dir, "conversations")
+    fields = ("headline", "short_headline", "short_text")
+    turns = talks.groupBy("conv_id").agg(
+        *(F.max(F.when(F.col("turn") == k, F.col("text"))).alias(name) for k, name in enumerate(fields))
+    )
+    count = talks.agg((F.max("conv_id") + 1).alias("n")).scalar()
+    docs = texts(spark, sf_dir, "documents").withColumn("__conv", F.col("doc_id") % count)
+    return docs.join(turns, F.col("__conv") == F.col("conv_id"), "left").select(
         "doc_id",
         F.date_format(day, "yyyy-MM-dd").alias("date_api"),
         F.ascii("source").cast("int").alias("page_api"),
         F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit(" • 09:05 Uhr")).alias("date"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("headline"),
-        first_words(F.col("text"), 3).alias("short_headline"),
-        first_words(F.col("text"), 20).alias("short_text"),
+        *fields,
         F.concat(F.lit("/"), section, F.lit("/a-"), F.md5("text"), F.lit(".html")).alias("link"),
         F.col("text").alias("articleBody"),
         F.col("source").alias("description"),

@@ -80,6 +80,20 @@ def category_series(agg: str, freq: str) -> str:
 SQL["category_series_mean"] = category_series("mean", "M")
 SQL["category_series_median"] = category_series("median", "W")
 
+SQL["category_series_bounded"] = "\nunion all\n".join(
+    f"""select '{how}' as how, '{agg}' as agg, category, period_end, v from (
+    with both_cats as (select o_orderpriority as category, o_orderdate, o_totalprice from orders
+        union all select 'all', o_orderdate, o_totalprice from orders),
+    ts as (select category, last_day(o_orderdate::date) as period_end, {'avg' if agg == 'mean' else 'median'}(o_totalprice) as v
+        from both_cats where o_orderdate >= timestamp '1994-06-01' and o_orderdate <= timestamp '2003-08-15' group by 1, 2),
+    grid as (select category, last_day(unnest(generate_series(timestamp '1994-06-01', timestamp '2003-07-01', interval 1 month))::date)
+        as period_end from (select distinct category from ts)),
+    full_ts as (select category, period_end, v from grid left join ts using (category, period_end))
+    select category, period_end, {r6("last_value(v ignore nulls) over (partition by category order by period_end)" if how == 'ffill' else 'v')} as v
+    from full_ts {'where v is not null' if how == 'drop' else ''})"""
+    for how in ("fill", "ffill", "drop") for agg in ("mean", "median")
+)
+
 # --- gaps -------------------------------------------------------------------------------------
 
 _BOUNDED = f"""
@@ -230,17 +244,17 @@ _CATEGORY = "case lang when 'de' then 'inland' when 'en' then 'ausland' when 'fr
 SQL["infer_category_articles"] = f"select doc_id, {_CATEGORY} as category from documents"
 SQL["category_sizes"] = f"select {_CATEGORY} as inferred_category, count(*) as n from documents group by 1"
 
-_ARTICLES = r"""
+_ARTICLES = """
+turns as (select conv_id, max(text) filter (turn = 0) as headline, max(text) filter (turn = 1) as short_headline,
+    max(text) filter (turn = 2) as short_text from conversations group by 1),
 articles as (select doc_id, lang, source,
     date '2023-01-01' + (n_chars % 700)::int as day,
     strftime(date '2023-01-01' + (n_chars % 700)::int, '%Y-%m-%d') as date_api,
-    ascii(source) as page_api,
-    split_part(text, chr(10), 1) as headline,
-    regexp_extract(text, '\S+(?:\s+\S+){0,2}') as short_headline,
-    regexp_extract(text, '\S+(?:\s+\S+){0,19}') as short_text,
+    ascii(source) as page_api, headline, short_headline, short_text,
     '/' || case lang when 'de' then 'Inland' when 'en' then 'ausland' when 'fr' then 'wirtschaft' else 'sport' end
         || '/a-' || md5(text) || '.html' as link,
-    text as "articleBody" from documents)"""
+    text as "articleBody"
+    from documents left join turns on conv_id = doc_id % (select max(conv_id) + 1 from conversations))"""
 SQL["category_filter"] = f"""
 with {_ARTICLES} select doc_id, link, 'inland' as inferred_category from articles where lang = 'de'"""
 
@@ -311,10 +325,12 @@ from ({scored_texts('documents', 'doc_id', 'text')}) group by 1, 2"""
 
 _FIELDS = ("headline", "short_headline", "short_text", "articleBody")
 _SCORED = f"""{_ARTICLES},
-long as (select doc_id, field, text from articles unpivot (text for field in
+long as (select doc_id, field, coalesce(text, '') as text from articles unpivot include nulls (text for field in
     ({', '.join(f'"{f}"' for f in _FIELDS)}))),
-results as (select doc_id, field, {_STRONGEST} as category, positive - negative as polarity
-    from ({scored_texts('(select doc_id, field, text from long)', 'doc_id, field', 'text')}))"""
+scored as (select doc_id, field, {_STRONGEST} as category, positive - negative as polarity
+    from ({scored_texts('(select doc_id, field, text from long)', 'doc_id, field', 'text')})),
+results as (select doc_id, field, coalesce(category, 'neutral') as category, coalesce(polarity, 0) as polarity
+    from long left join scored using (doc_id, field))"""
 
 _WIDE_CATEGORY = ", ".join(
     f"max(case when field = '{f}' then category end) as \"{f}_sentiment_category\"" for f in _FIELDS
@@ -410,6 +426,22 @@ with {_ARTICLES} select date_api, page_api::bigint as page_api, strftime(day, '%
 SQL["dedup_links"] = f"""
 with {_ARTICLES} select doc_id, date_api, page_api::bigint as page_api, headline, link, "articleBody" from articles
 qualify row_number() over (partition by link order by date_api, page_api, doc_id) = 1"""
+SQL["tsv_round_trip"] = f"""
+with {_ARTICLES} select date_api, page_api::bigint as page_api, headline, short_text, link, "articleBody",
+    source || chr(9) || '"x"' || chr(10) || ' y ' as description, '["' || lang || '","' || source || '"]' as taglist
+    from articles"""
+SQL["json_lines_round_trip"] = f"""
+with {_ARTICLES} select date_api, page_api::bigint as page_api, strftime(day, '%d.%m.%Y • 09:05 Uhr') as date,
+    headline, short_headline, short_text, link from articles"""
+SQL["parquet_sink"] = f"""
+with {_ARTICLES} select doc_id, date_api, link, "articleBody" from articles"""
+SQL["page_keys_from_url"] = """
+select 'archive' as kind, date '2024-01-01' + (page_id % 300)::int as day,
+    case when page_id % 3 = 0 then 1 else page_id % 7 + 1 end as page, null as link, md5(html) as digest
+from pages where page_id % 2 = 0
+union all select 'archive_as_article', null, null, '/archiv', md5(html) from pages where page_id % 2 = 0
+union all select 'article', null, null, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), md5(html)
+from pages where page_id % 2 = 1 and regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) <> ''"""
 SQL["dataset_statistics"] = f"""
 with {_ARTICLES} select count(*) as articles, count(distinct date_api) as days,
     count(distinct link) as unique_articles from articles"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,7 +24,7 @@ from zeitton.plans import inputs, jobs
 from zeitton.plans.inputs import NEGATIVE, POSITIVE, table, texts
 from zeitton.schemas import CLASSES, FIELDS
 from zeitton.session import run_folder
-from zeitton.sources import links, pages
+from zeitton.sources import articles as article_files, links, pages
 from zeitton.streaming import jobs as streams
 
 cloudpickle.register_pickle_by_value(sys.modules[inputs.__name__])
@@ -118,6 +119,21 @@ def category_series_median(spark, sf_dir):
     return rounded(out, f"{PRICE}_median", "o_custkey_median")
 
 
+@query
+def category_series_bounded(spark, sf_dir):
+    """Regular series of all categories inside bounds, by every aggregate and way with gaps."""
+    orders, parts = table(spark, sf_dir, "orders"), []
+    for how in ("fill", "ffill", "drop"):
+        for agg in series.AGGREGATES:
+            out = series.category_series(
+                orders, ORDER_DAY, [PRICE], agg, "M", "o_orderpriority", "1994-06-01", "2003-08-15", how
+            )
+            parts.append(
+                out.select(F.lit(how).alias("how"), F.lit(agg).alias("agg"), "category", "period_end", r6(f"{PRICE}_{agg}").alias("v"))
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- gaps -------------------------------------------------------------------------------------
 
 
@@ -532,6 +548,61 @@ def links_from_json_lines(spark, sf_dir):
     return links.parse_links(rows.select(line.alias("value"))).withColumn("page_api", big("page_api"))
 
 
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col("doc_id") % 2 == 0), df.where(F.col("doc_id") % 2 == 1)
+
+
+@query
+def json_lines_round_trip(spark, sf_dir):
+    """All listing rows appended in two steps and read back."""
+    path = run_folder(spark, "links")
+    for half in _halves(inputs.articles(spark, sf_dir)):
+        links.append_links(half, path)
+    return links.read_links(spark, path).withColumn("page_api", big("page_api"))
+
+
+@query
+def tsv_round_trip(spark, sf_dir):
+    """All articles appended as tab-separated text in two steps, with quotes, tabs and line breaks, and read back."""
+    path = run_folder(spark, "articles-tsv")
+    odd = F.concat("description", F.lit('\t"x"\n y '))
+    rows = inputs.articles(spark, sf_dir).withColumn("description", odd).join(
+        table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("taglist")), "doc_id"
+    )
+    for half in _halves(rows):
+        article_files.write_tsv(half.drop("doc_id"), path, "append")
+    stored = article_files.read_tsv(spark, path)
+    return stored.select("date_api", big("page_api"), "headline", "short_text", "link", "articleBody", "description", "taglist")
+
+
+@query
+def parquet_sink(spark, sf_dir):
+    path = run_folder(spark, "articles")
+    for half in _halves(inputs.articles(spark, sf_dir)):
+        article_files.save_articles(half, path, "append")
+    return spark.read.parquet(path).select("doc_id", "date_api", "link", "articleBody")
+
+
+@query
+def page_keys_from_url(spark, sf_dir):
+    """Keys of archive pages and of article pages from urls; every second page gets the url of an archive page."""
+    held = texts(spark, sf_dir, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))
+    number = F.when(F.col("page_id") % 3 == 0, "").otherwise(F.concat(F.lit("&pageIndex="), F.col("page_id") % 7 + 1))
+    asked = F.concat(F.lit("https://news.example.org/archiv?datum="), F.date_format(day, "yyyy-MM-dd"), number)
+    named = held.withColumn("url", F.when(F.col("page_id") % 2 == 0, asked).otherwise(F.col("url")))
+    digest = F.md5("html").alias("digest")
+    none = F.lit(None)
+    by_day = pages.archive_pages(named).select(
+        F.lit("archive").alias("kind"), "day", big("page"), none.cast("string").alias("link"), digest
+    )
+    kind = F.when(F.col("link") == "/archiv", "archive_as_article").otherwise("article")
+    by_link = pages.article_pages(named).select(
+        kind.alias("kind"), none.cast("date").alias("day"), none.cast("bigint").alias("page"), "link", digest
+    )
+    return by_day.unionByName(by_link)
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.articles(spark, sf_dir).select(
         "doc_id", "date_api", "page_api", "headline", "link", "articleBody"

@@ -16,10 +16,11 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = ARTICLE) ->
     """Tab-separated file with quoted fields that may hold tabs, quotes and line breaks.
 
     Columns are found by the names in the header, whatever their order; those the file lacks are
-    null, further ones are left out. Such a file is read whole by one task, so large data belongs in
+    null, further ones are left out. Files of one folder must have one header; other orders make the
+    read fail. Such a file is read whole by one task, so large data belongs in
     many files; ``to_parquet`` turns them into a splittable table once.
     """
-    raw = spark.read.options(**TSV, **KEEP_SPACES, multiLine="true").csv(path)
+    raw = spark.read.options(**TSV, **KEEP_SPACES, multiLine="true", enforceSchema="false").csv(path)
     return raw.select(
         *(
             (F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None))
