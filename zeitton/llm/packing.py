@@ -23,7 +23,7 @@ from zeitton.session import stage
 
 GROUP_PIECES = 20_000  # pieces packed together, about
 BATCH_BYTES = 8_000_000  # texts tokenised together
-CACHED_WORDS = 200_000  # words per generation of the cache; two generations are held
+CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held
 END_ID = 2
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
