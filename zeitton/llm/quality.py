@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from zeitton.functions.text import once
 from zeitton.llm.text import known_id, let, lines, stripped, whole, words
 from zeitton.session import stage
 
@@ -128,13 +129,14 @@ def judge(
         .agg(F.sum("__words").alias("__lost"))
     )
     text = whole(text_col)
-    # The measures leave the row before the join, and the row is packed so that no name can clash.
-    rows = df.select(
+    # The row is packed so that no name can clash, and filters on the measures do not repeat them.
+    packed = df.select(
         F.struct(*(df[c] for c in df.columns)).alias("__row"),
         known_id(id_col).alias(DOC),
         F.xxhash64(text).alias(TEXT_HASH),
-        measures(text).alias("__m"),
+        text.alias("__text"),
     )
+    rows = once(packed, "__m", measures(F.col("__text"))).drop("__text")
     joined = rows.join(losses, [DOC, TEXT_HASH], "left")
     m = F.col("__m")
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
