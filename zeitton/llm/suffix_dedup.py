@@ -203,6 +203,7 @@ def resolved(contexts: DataFrame, length: int) -> DataFrame:
                 F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("data").alias("data")
             )
         sizes = level.select("key", "sub").distinct().groupBy("key").agg(F.count("*").alias("size"))
+        sizes = stage(sizes, "context-counts")
         small = sizes if part is None else sizes.where(F.col("size") <= MOST)
         repeats = sorted_out(distinct.join(small, "key"), length)
         places = level.select("key", "sub", "fp", "ctx", "rel")
