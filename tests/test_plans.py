@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from zeitton.operators import articles, calendar, correlogram, dataset, series
 from zeitton.operators.scoring import LexiconScorer, ModelScorer, score_fields
 from zeitton.plans.inputs import WordModel, table
+from zeitton.sources import links
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -39,6 +40,11 @@ def test_article_choice_runs_once(spark):
     assert text.count("regexp_extract_all(") == 1 and "Exchange" not in text
 
 
+def test_json_lines_are_parsed_once(spark):
+    text = plan(links.parse_links(spark.createDataFrame([("{}",)], "value string")))
+    assert text.lower().count("parsejson") + text.lower().count("parse_json") == 1 and "Exchange" not in text
+
+
 def test_correlogram_shares_one_exchange(spark):
     rows = [(k, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 5)) for k in "ab" for i in range(20)]
     df = spark.createDataFrame(rows, "k string, period_end date, value double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from zeitton.functions.text import once
 from zeitton.operators.listings import relative_links
 from zeitton.schemas import LISTING
 
@@ -16,7 +17,7 @@ def parse_links(lines: DataFrame, line: str = "value") -> DataFrame:
     link stays.
     """
     entry = F.try_parse_json(F.col(line))
-    parsed = lines.select(entry.alias("e"))
+    parsed = once(lines, "e", entry).select("e")
     is_text = F.schema_of_variant(F.try_variant_get("e", "$.link", "variant")) == "STRING"
     is_object = F.schema_of_variant("e").startswith("OBJECT")
     held = parsed.where(is_object & is_text)
