@@ -64,7 +64,7 @@ def measures(text: Column) -> Column:
         return F.struct(
             F.size(w).cast("bigint").alias("n_words"),
             F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
-            F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
             let(own, lambda a: F.size(a) - F.size(F.array_distinct(a))).cast("bigint").alias("n_dup_lines"),
             repeated_words(w).cast("bigint").alias("n_repeat_words"),
         )
