@@ -25,20 +25,22 @@ from zeitton.operators.series import (
     preprocessed,
 )
 from zeitton.schemas import ARTICLE_POLARITY, DROPPED_BY_CLEANING, FIELDS
+from zeitton.session import stage
 from zeitton.sources.articles import read_tsv
 
 
 def collect(pages: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Listing rows of the archive pages of a date range.
 
-    The stop rules read one narrow row per page. Their outcome, one row per day and per month, is
-    broadcast to the pages, so the HTML itself is never shuffled.
+    The stop rules read one narrow row per page several times, so these rows are stored and the HTML is
+    read for them once. Their outcome, one row per day and per month, is broadcast to the pages, so
+    the HTML itself is never shuffled.
     """
     if start:
         pages = pages.where(F.col("day") >= F.lit(start).cast("date"))
     if end:
         pages = pages.where(F.col("day") <= F.lit(end).cast("date"))
-    return extract_teasers(reached(pages, page_status(pages))).drop("position")
+    return extract_teasers(reached(pages, stage(page_status(pages), "page-status"))).drop("position")
 
 
 def reached(pages: DataFrame, status: DataFrame) -> DataFrame:
