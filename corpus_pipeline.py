@@ -16,8 +16,8 @@ def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    """Documents that the quality rules keep, without the lines that too many documents of a host share."""
+    return recounted(quality.judge(docs).where("kept"), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from tests.llm.helpers import documents
 from zeitton.llm.quality import judge
 
@@ -47,3 +48,28 @@ def test_long_text(spark):
     words = prose(3, 30_000).split()
     got = run(spark, [" ".join(words), " ".join(words[:10_000] * 2)])
     assert got[0].kept and got[1].n_repeat_words == 20_000 and got[1].base_failed
+
+
+def test_removed_lines_leave_the_text(spark):
+    """Production parameters: 60 documents of a host share two lines that are 60 % of each; other hosts do not count."""
+    shared, short = [prose(500, 40), prose(501, 35)], "Menu"
+    texts = {i: "\n".join([shared[0], short, prose(i, 30), f"\t{shared[1].upper()} ", prose(100 + i, 20), ""]) for i in range(60)}
+    cut = {0: texts[0]} | {i: "\n".join([short, prose(i, 30), prose(100 + i, 20), ""]) for i in range(1, 60)}
+    other = documents(spark, [(1000, texts[7]), (1001, None)], "other")
+    docs = documents(spark, list(texts.items())).union(other)
+    found = {r.doc_id: r for r in judge(docs).collect()}
+    assert {i: found[i].text for i in range(60)} == cut
+    assert found[1000].text == texts[7] and found[1001].text is None
+    assert all(found[i].kept and found[i].n_removed_words == (75 if i else 0) and found[i].n_words == 126 for i in range(60))
+    stage = {r.doc_id: r for r in corpus_pipeline.keep_good(spark, docs, "").collect()}
+    assert {i: r.text for i, r in stage.items()} == cut | {1000: texts[7]}
+    assert all(r.n_chars == len(r.text) for r in stage.values())
+
+
+def test_one_id_with_two_texts_loses_own_lines_only(spark):
+    line = prose(1, 12)
+    texts = [(0, line), (1, f"{line}\n{prose(2, 60)}"), (1, f"{prose(3, 30)}\n{prose(4, 30)}\n{line}"), (None, prose(5, 60))]
+    rows = judge(documents(spark, texts), max_docs=2).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in rows) == sorted(
+        [(-1, prose(5, 60)), (0, line), (1, prose(2, 60)), (1, f"{prose(3, 30)}\n{prose(4, 30)}")]
+    )

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.text import once
+from zeitton.llm.line_dedup import kept_lines
 from zeitton.llm.text import known_id, let, lines, stripped, whole, words
 from zeitton.session import stage
 
@@ -108,15 +109,16 @@ def judge(
     max_docs: int = 50,
     max_removed_percent: int = 70,
 ) -> DataFrame:
-    """All columns of ``df`` with the measures, ``base_failed``, ``n_removed_words`` and ``kept``.
+    """All columns of ``df``, the text cut, with the measures, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     A text fails the base with fewer than ``min_words`` words, or if more than ``max_repeat_percent``
     of its words are in repeated 3-word windows. The key of a line is the line stripped and
     lower-cased; keys of at least ``min_chars`` code points in more than ``max_docs`` documents of one
     host are removed, except from the document of the smallest id that holds them. Copies of one text
     count as one document, so that copying a clean text does not make its lines common. A document that loses
-    more than ``max_removed_percent`` of its words is depleted and rejected. Null text: empty; null
-    host: a host of its own; null id: the smallest. New columns replace those of equal names.
+    more than ``max_removed_percent`` of its words is depleted and rejected. The text comes back without
+    the removed lines; the measures are those of the text before. Null text: empty in the measures, and
+    back as it is; null host: a host of its own; null id: the smallest. New columns replace those of equal names.
     """
     found = host_lines(df, id_col, text_col, host_col, min_chars)
     common = stage(common_lines(found, max_docs), "common-lines")
@@ -126,7 +128,7 @@ def judge(
         .groupBy(DOC, TEXT_HASH, POS)  # copies of a row lose a line once
         .agg(F.size(words(F.first(BARE))).alias("__words"))
         .groupBy(DOC, TEXT_HASH)
-        .agg(F.sum("__words").alias("__lost"))
+        .agg(F.sum("__words").alias("__lost"), F.collect_list(POS).alias("__removed"))
     )
     text = whole(text_col)
     # The row is packed so that no name can clash, and filters on the measures do not repeat them.
@@ -144,5 +146,7 @@ def judge(
     depleted = 100 * lost > max_removed_percent * m["n_words"]
     new = {c: m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
     new |= {"base_failed": failed, "n_removed_words": lost, "kept": ~failed & ~depleted}
-    old = [F.col("__row").getField(c).alias(c) for c in df.columns if c not in new]
-    return joined.select(*old, *(v.alias(k) for k, v in new.items()))
+    old = {c: F.col("__row").getField(c) for c in df.columns if c not in new}
+    if text_col in old:
+        old[text_col] = kept_lines(old[text_col], F.col("__removed"))
+    return joined.select(*(v.alias(k) for k, v in (old | new).items()))
