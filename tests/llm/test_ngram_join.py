@@ -60,6 +60,15 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert similar_documents(docs.limit(0)).collect() == []
 
 
+def test_rows_without_words_all_stay(spark):
+    text, blanks = "some words that are long enough to count", ["", "", None, None, " \t\n\x0b\x0c\r", " \t\n\x0b\x0c\r", "\n"]
+    rows = [(None, t) for t in blanks] + [(5, ""), (5, ""), (None, text), (None, text), (5, "\xa0"), (5, "\xa0"), (6, "\x1f\x85")]
+    got = keep_one(documents(spark, rows)).collect()
+    shown = lambda rows: sorted((-1 if i is None else i, t is None, t or "") for i, t in rows)
+    assert shown((r.doc_id, r.text) for r in got) == shown(rows[:10] + rows[11:12] + rows[13:])
+    assert len(keep_one(documents(spark, [(None, t) for t in blanks])).collect()) == len(blanks)
+
+
 def test_posterior_bounds():
     fewest = least_matches(0.8, 1e-9)
     draw = np.random.default_rng(1)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from zeitton.llm.components import connected_components
 from zeitton.llm.packing import batches_of
 from zeitton.llm.shingles import Powers, permutations, shingle_hashes, signatures
-from zeitton.llm.text import hash_pair, known_id, whole
+from zeitton.llm.text import SPACE, hash_pair, known_id, whole
 from zeitton.llm.tiles import Linker, in_tiles, joined_classes, tile_links
 from zeitton.session import stage
 
@@ -207,7 +207,12 @@ def similar_documents(
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that are kept, one of each class, repeated rows once; see ``similar_documents``."""
+    """The rows of ``df`` that are kept, one of each class, repeated rows once; see ``similar_documents``.
+
+    Rows without words are in no class: every one stays, repeated ones included.
+    """
+    has_words = F.rlike(whole(text_col), F.lit(rf"[^{SPACE}]"))
+    df, wordless = df.where(has_words), df.where(~has_words)
     h1, h2 = hash_pair(whole(text_col))
     keys = ["__key", "__h1", "__h2"]
     rows = df.select(
@@ -216,4 +221,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     kept = similar_documents(df, id_col, text_col, **options).where("kept")
     kept = kept.select(known_id("doc_id").alias(keys[0]), F.col("h1").alias(keys[1]), F.col("h2").alias(keys[2]))
     # Rows come from the join in the order of their keys, so taking one of each needs no other exchange.
-    return rows.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("__row").alias("__row")).select("__row.*")
+    first = rows.join(kept, keys, "left_semi").groupBy(*keys).agg(F.first("__row").alias("__row"))
+    return first.select("__row.*").unionAll(wordless)
