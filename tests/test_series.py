@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from zeitton.operators import correlogram, series
+from zeitton.operators import correlogram, median, series
 from zeitton.operators.median import exact_median
 
 TOY = [
@@ -173,6 +173,16 @@ def test_hot_group_median(spark, shape):
     assert got == {k: pytest.approx(float(np.median(v)), rel=1e-12) for k, v in frames.items()}
 
 
+def test_close_values_are_never_in_one_window(spark, monkeypatch):
+    """150,000 different values that share their first 20 bits: no window sees more than 2^16 rows."""
+    seen, at_middle = [], median._at_middle
+    monkeypatch.setattr(median, "_at_middle", lambda counts, *rest: seen.append(counts) or at_middle(counts, *rest))
+    for sign in (1, -1):
+        df = spark.range(150_000).select((sign * (1e9 + F.col("id") / 1000)).alias("v"))
+        assert exact_median(df, [], "v", "m").first().m == pytest.approx(sign * (1e9 + 74.9995), rel=1e-15)
+    assert max(counts.count() for counts in seen) <= 2**16
+
+
 def test_median_with_null_key_and_odd_values(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(3001)], "k string, v double")
     assert exact_median(df, ["k"], "v", "m").first().m == 1500.0

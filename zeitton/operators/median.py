@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-FINE = 20  # bits of a value's fraction that name its fine bucket
+FINE, FINEST = 20, 37  # bits of a value's fraction that name its fine and its finest bucket; a double has 52
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -26,12 +26,12 @@ def _coarse(v: Column) -> Column:
     return F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
 
 
-def _fine(v: Column) -> Column:
-    """The value's place among 2^20 parts of its coarse bucket."""
+def _fine(v: Column, bits: int = FINE) -> Column:
+    """The value's place among 2^bits parts of its coarse bucket."""
     bounded = (v != 0) & (F.abs(v) < float("inf"))
     half = F.floor(_exponent(v) / 2).cast("int")  # two factors, since one could overflow
     scaled = v / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), _exponent(v) - half)
-    return F.when(bounded, F.floor(scaled * 2**FINE)).otherwise(0).cast("bigint")
+    return F.when(bounded, F.floor(scaled * 2**bits)).otherwise(0).cast("bigint")
 
 
 def _at_middle(counts: DataFrame, groups: Sequence[str], order: str) -> DataFrame:
@@ -46,13 +46,14 @@ def _at_middle(counts: DataFrame, groups: Sequence[str], order: str) -> DataFram
 def median_of_counts(counts: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """Median per group of ``keys, __v, __n``, the mean of the two middle values for even sizes.
 
-    Counts of coarse buckets tell where the middle ranks lie, those of the fine buckets in there narrow them down, and
-    only values of a fine bucket are looked at one by one. Every step sums before it shuffles, and a
-    window never sees more than the buckets of a group, or the different values inside one fine bucket,
-    a millionth of its coarse one. ``counts`` is used three times; Spark shuffles it once.
+    Counts of coarse buckets tell where the middle ranks lie, those of the fine and then of the finest buckets in there
+    narrow them down, and only values of a finest bucket are looked at one by one. Every step sums before
+    it shuffles, and a window never sees more than the buckets of a group, 2^20 at most, or the different
+    values inside one finest bucket, 2^16 at most because a double has no more (just below a power of two,
+    where the exponent may be rounded up). ``counts`` is used four times; Spark shuffles it once.
     """
-    keys = list(keys)
-    buckets = counts.withColumns({"__c": _coarse(F.col("__v")), "__f": _fine(F.col("__v"))})
+    keys, v = list(keys), F.col("__v")
+    buckets = counts.withColumns({"__c": _coarse(v), "__f": _fine(v), "__g": _fine(v, FINEST)})
 
     def narrowed(rows: DataFrame, found: DataFrame, on: Sequence[str], carried: Sequence[str]) -> DataFrame:
         names = {k: f"__at_{k}" for k in on}
@@ -67,8 +68,11 @@ def median_of_counts(counts: DataFrame, keys: Sequence[str], out: str) -> DataFr
     fine = narrowed(buckets, coarse, [*keys, "__c"], carried)
     fine = fine.groupBy(*keys, "__c", "__f", *carried).agg(F.sum("__n").alias("__n"))
     fine = _at_middle(fine, [*keys, "__c"], "__f").withColumn("__base", F.col("__before"))
-    values = narrowed(buckets, fine, [*keys, "__c", "__f"], carried)
-    middle = _at_middle(values, [*keys, "__c", "__f"], "__v").groupBy(*keys).agg(
+    finest = narrowed(buckets, fine, [*keys, "__c", "__f"], carried)
+    finest = finest.groupBy(*keys, "__c", "__f", "__g", *carried).agg(F.sum("__n").alias("__n"))
+    finest = _at_middle(finest, [*keys, "__c", "__f"], "__g").withColumn("__base", F.col("__before"))
+    values = narrowed(buckets, finest, [*keys, "__c", "__f", "__g"], carried)
+    middle = _at_middle(values, [*keys, "__c", "__f", "__g"], "__v").groupBy(*keys).agg(
         F.max(F.when(F.col("__low"), F.col("__v"))).alias("__a"),
         F.max(F.when(F.col("__high"), F.col("__v"))).alias("__b"),
     )
