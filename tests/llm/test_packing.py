@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import documents
@@ -53,3 +54,26 @@ def test_pieces_cover_every_document(spark, monkeypatch):
             end += length
         assert end <= 256
     assert pack(docs.limit(0), PATH).collect() == []
+
+
+def test_parts_are_those_of_the_tokenizer():
+    """Many characters between letters, at both ends of a word and after marks: ids by parts equal those of whole texts."""
+    definition = open(PATH, encoding="utf-8").read()
+    own, whole = packing.WordTokenizer(definition), Tokenizer.from_file(PATH)
+    points = [chr(p) for p in range(1, 0x20000) if not 0xD800 <= p < 0xE000]
+    texts = [" ".join(f"x{c}y 'S{c}1 {c}̣́" for c in points[at : at + 4000]) for at in range(0, len(points), 4000)]
+    texts += ["<|endoftext|>a don't<|startoftext|> Ị̇ ΑΣ <|END", "", "a\0b \0"]
+    ids, ends = own.ids(pa.array(texts))
+    begin = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[begin:end].tolist() == whole.encode(text, add_special_tokens=False).ids
+        begin = end
+
+
+def test_caches_drop_old_words(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 20)
+    own, whole = packing.WordTokenizer(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    draw = random.Random(8)
+    for _ in range(30):
+        text = " ".join(f"w{draw.randint(0, 60)}, {draw.randint(0, 9)}" for _ in range(15))
+        assert own.ids(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids

@@ -7,10 +7,15 @@ first-fit decreasing; a tournament tree over the bins' free space finds the firs
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -25,17 +30,44 @@ GROUP_PIECES = 20_000  # pieces packed together, about
 BATCH_BYTES = 8_000_000  # texts tokenised together
 CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held
 END_ID = 2
+HOLDER = "zeitton_worker"  # a module of each worker process that outlives its tasks
+
+# The parts of an ASCII word in lower case, as the tokenizer splits it.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+ODD = r"[\s\x00-\x1f\x7f-\x9f]|<\|"
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = PIECE + ", sequence_id bigint, offset bigint"
 
 
+class Recent:
+    """A cache of two generations: what is asked for moves to the young one, the old one is dropped as a whole."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Keys that neither generation holds; the others are in the young one afterwards."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old, unknown = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    unknown.append(key)
+        return unknown
+
+
 class WordTokenizer:
     """Token ids of texts, word by word.
 
     The tokenizer replaces white space by blanks and then drops it, so the ids of a text are those of its words, one
-    after another. Words are encoded once per batch at most, in long joined texts, and kept for
-    the next batches in a cache of two generations: what is asked for moves to the young one.
+    after another, and those of a word are the ids of its parts: runs of letters, single digits, runs of
+    other characters. Words of a batch are coded once, parts go to the tokenizer's model once, and both
+    stay in caches. Words that hold white space of other kinds, a control character or the beginning of
+    a special token go through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -43,35 +75,47 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.parts, self.odd = re.compile(PARTS).findall, re.compile(ODD).search
+        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2)
+
+    @staticmethod
+    def of(definition: str) -> WordTokenizer:
+        """The tokenizer of this worker process: the tasks that it runs one after another share it and its caches."""
+        holder = sys.modules.setdefault(HOLDER, ModuleType(HOLDER))
+        key = hashlib.sha256(definition.encode()).hexdigest()
+        if getattr(holder, "key", None) != key:
+            holder.tokenizer, holder.key = WordTokenizer(definition), key
+        return holder.tokenizer
+
+    def _split(self, words: list[str]) -> list[list[str]]:
+        """Parts of words as the model takes them; plain ones need no more than their lower case."""
+        out = [[] if not w.isascii() else [w.lower()] if w.isalpha() else self.parts(w.lower()) for w in words]
+        others = [i for i, w in enumerate(words) if not w.isascii()]
+        shown = self.tokenizer.normalizer.normalize_str(" ".join(words[i] for i in others)).split(" ")
+        for i, w in zip(others, shown if others else [], strict=True):
+            out[i] = [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(w)]
+        return out
 
     def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ends = np.cumsum([len(w) + 1 for w in some])
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(np.searchsorted(ends, starts, side="right"), np.arange(len(some) + 1)) * 4
-            raw = ids.tobytes()
-            self.young.update((w, raw[cuts[i] : cuts[i + 1]]) for i, w in enumerate(some))
+        odd = {w for w in words if not w.isalnum() and self.odd(w)}
+        plain = [w for w in words if w not in odd] if odd else words
+        split = self._split(plain)
+        tokenize, known = self.tokenizer.model.tokenize, self.pieces
+        for part in known.missing({p for parts in split for p in parts}):
+            known.young[part] = array("I", [t.id for t in tokenize(part)]).tobytes()
+        ids = known.young
+        self.words.young.update((w, b"".join([ids[p] for p in parts])) for w, parts in zip(plain, split, strict=True))
+        for w in odd:
+            own = self.tokenizer.encode(w, add_special_tokens=False).ids
+            self.words.young[w] = array("I", own).tobytes()
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids up to the end of each text."""
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
-        young, old, unknown = self.young, self.old, []
-        for w in distinct:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    unknown.append(w)
-        self._encode(unknown)
+        self._encode(self.words.missing(distinct))
+        young = self.words.young
         parts = [young[w] for w in distinct]
         flat = np.frombuffer(b"".join(parts), dtype="<u4")
         size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
@@ -100,7 +144,7 @@ def cut_pieces(df: DataFrame, definition: str, id_col: str, text_col: str, lengt
     """One row per piece: each document's ids and the end id, cut every ``length`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(definition)
+        tokenizer = WordTokenizer.of(definition)
         for batch in batches:
             for at, texts in batches_of(batch.column(1), BATCH_BYTES):
                 ids, ends = tokenizer.ids(texts)
