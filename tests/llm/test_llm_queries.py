@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.helpers import cells, duck
 from tests.llm.test_ngram_join import expected as similar_texts
+from tests.llm.test_periodic_runs import expected as runs_in, planted, words_of
 from tests.llm.test_suffix_dedup import expected as repeated_bytes
 from zeitton.llm.oracle import SQL
 from zeitton.llm.queries import QUERIES
@@ -39,7 +41,7 @@ def result(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
 
 
@@ -89,3 +91,22 @@ def test_op8_pieces(spark, texts):
 def test_op10_links(spark, texts):
     found, _ = result(spark, "op10_ngram_join")
     assert {i: (r.class_id, r.n_links, r.kept) for i, r in found.items()} == similar_texts(list(texts.values()))
+
+
+def test_op11_runs(spark, texts):
+    found, rows = result(spark, "op11_periodic_runs")
+    assert found.keys() == texts.keys() and len(rows) == len(texts)
+    edited = 0
+    for i, text in texts.items():
+        words = planted(i, words_of(text))
+        edited += words != words_of(text)
+        runs, rest = runs_in(words)
+        shown = "".join(f"{s},{n},{q}\n" for s, q, n in runs)
+        best = max(runs, key=lambda r: (Fraction(r[2], r[1]), -r[0], -r[1]), default=None)
+        row = found[i]
+        assert row.n_runs == len(runs)
+        assert (row.start, row.period, row.length) == (best or (None, None, None))
+        assert row.exponent_milli == (1000 * best[2] // best[1] if best else None)
+        assert row.runs_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert row.collapsed_sha256 == hashlib.sha256(rest.encode()).hexdigest()
+    assert edited > 5

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from zeitton.llm import chat, embedding_dedup, line_dedup, ngram_join, packing, pieces, quality, sharding, suffix_dedup, url_filter
-from zeitton.llm.text import table
+from zeitton.llm import (
+    chat, embedding_dedup, line_dedup, ngram_join, packing, periodic_runs, pieces, quality, sharding, suffix_dedup, url_filter,
+)
+from zeitton.llm.text import let, stripped, table, whole, words
 
 # The rules of the url query, and its added conversation.
 URL_RULES = (
@@ -105,3 +107,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_periods(text: Column, doc_id: Column) -> Column:
+    """The text; for about every tenth id its words from some place on repeat the first ones from there."""
+
+    def edited(h: Column, w: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(w)
+        a = F.pmod(g, n)
+        period = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        return let(
+            F.struct(w.alias("w"), a.alias("a"), period.alias("p")),
+            lambda v: F.array_join(
+                F.transform(v["w"], lambda x, i: F.when(i < v["a"], x).otherwise(F.get(v["w"], (v["a"] + F.pmod(i - v["a"], v["p"])).cast("int")))),
+                " ",
+            ),
+        )
+
+    h = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (stripped(text) != ""), let(words(text), lambda w: edited(h, w))).otherwise(text)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of runs, the one of the greatest exponent, and digests of all runs and of the collapsed text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periods(whole("text"), F.col("doc_id")).alias("text"))
+    runs = F.col("runs")
+    longer = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    best = F.aggregate(runs, F.lit(None).cast("struct<start:bigint,period:bigint,length:bigint>"), longer)
+    shown = F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return periodic_runs.periodic_runs(docs).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
