@@ -12,6 +12,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import cells, duck
+from tests.llm.test_fingerprints import all_hashes, expected_rows as neighbours
 from tests.llm.test_ngram_join import expected as similar_texts
 from tests.llm.test_periodic_runs import expected as runs_in, planted, words_of
 from tests.llm.test_suffix_dedup import expected as repeated_bytes
@@ -110,3 +111,17 @@ def test_op11_runs(spark, texts):
         assert row.runs_sha256 == hashlib.sha256(shown.encode()).hexdigest()
         assert row.collapsed_sha256 == hashlib.sha256(rest.encode()).hexdigest()
     assert edited > 5
+
+
+def test_op12_fingerprints(spark, texts):
+    (found, rows), errors = result(spark, "op12_fingerprints"), []
+    assert found.keys() == texts.keys() and len(rows) == len(texts)
+    for i, text, edited, shown, shown_edited, near_edited, near_next in neighbours(list(texts.items())):
+        row = found[i]
+        assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (row.fingerprint, row.edited_fingerprint) == (shown, shown_edited)
+        assert (row.near_edited, row.near_next) == (near_edited, near_next)
+        if len(text) > 3000:  # the estimate against all shingles
+            whole, changed = all_hashes(text), all_hashes(edited)
+            errors.append(near_edited - len(np.intersect1d(whole, changed)) / min(len(whole), len(changed)))
+    assert len(errors) > 20 and abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.08

@@ -137,4 +137,32 @@ select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as
 from embeddings join component c on vec_id = c.a left join counted n on vec_id = n.a
 """
 
-SQL = {"op3_line_dedup": OP3, "op5_quality_rules": OP5, "op6_chat_format": OP6, "op7_url_filter": OP7, "op9_embedding_dedup": OP9}
+OP13 = """
+with vec as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings
+    where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+score as (
+    select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+    from vec a join vec b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+positive as (
+    select anchor_id, vec_id as positive_id, score as positive_score from score where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+),
+ranked as (
+    select p.*, n.vec_id as negative_id, n.score as negative_score,
+        row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id)::int as rank
+    from positive p join score n on p.anchor_id = n.anchor_id and not n.same
+        and 30 * positive_score <= 100 * n.score and 100 * n.score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
+
+SQL = {
+    "op3_line_dedup": OP3, "op5_quality_rules": OP5, "op6_chat_format": OP6, "op7_url_filter": OP7, "op9_embedding_dedup": OP9,
+    "op13_hard_negatives": OP13,
+}

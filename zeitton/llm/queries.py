@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from zeitton.llm import (
-    chat, embedding_dedup, line_dedup, ngram_join, packing, periodic_runs, pieces, quality, sharding, suffix_dedup, url_filter,
+    chat, embedding_dedup, fingerprints, hard_negatives, line_dedup, ngram_join, packing, periodic_runs, pieces, quality, sharding, suffix_dedup, url_filter,
 )
 from zeitton.llm.text import let, stripped, table, whole, words
 
@@ -141,3 +141,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
         F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.edited_and_next(docs).select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole_numbers = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").where(finite)
+    given = rows.select("vec_id", moved.alias("label"), whole_numbers.alias("vector"))
+    return hard_negatives.mine(given, "vec_id", "vector", "label", F.col("vec_id") % 100 == 0)
