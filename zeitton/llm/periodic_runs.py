@@ -264,5 +264,6 @@ def periodic_runs(
     keyed = given.select("doc_id", known_id("doc_id").alias("id"), h1.alias("h1"), h2.alias("h2"), "text")
     runs = stage(runs_of(fragments(keyed.drop("doc_id"), min_length, min_exponent), min_length, min_exponent), "runs")
     none = F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")
-    joined = keyed.join(runs, ["id", "h1", "h2"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
+    # The same join at every size: texts cross the network once, whether or not the runs would fit a broadcast.
+    joined = keyed.join(runs.hint("merge"), ["id", "h1", "h2"], "left").select("doc_id", "text", F.coalesce("runs", none).alias("runs"))
     return joined.mapInArrow(collapse, SHOWN)
