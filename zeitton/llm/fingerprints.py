@@ -28,7 +28,7 @@ SHARE = 8  # one hash in so many stays
 WORDS = 5  # of a shingle
 PART_BYTES = 64_000_000  # texts of a part, at most about
 PARTS_PER_TASK = 4
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000  # texts hashed side by side; hashing holds some fifty bytes for each
 U = np.uint64
 
 
