@@ -25,15 +25,44 @@ def test_measures(spark):
     assert all(r.base_failed and not r.kept for r in got.values())
 
 
-def test_depleted_documents_go_but_the_first_holder_and_copies_stay(spark):
-    common = [prose(1000 + k, 16) for k in range(4)]
-    lines = "\n".join(common) + "\n"
-    texts = [lines + prose(i, 10) for i in range(8)] + [prose(99, 80)] * 8 + [common[0] + "\n" + prose(7, 60)]
-    got = run(spark, texts, max_docs=5)
-    assert [got[i].kept for i in range(8)] == [True] + [False] * 7
-    assert all(got[i].kept and got[i].n_removed_words == 0 for i in range(8, 16))
-    assert got[16].kept and got[16].n_removed_words == 16
-    assert all(r.kept for r in run(spark, texts, max_docs=8 + 1).values())
+def template_host(name, first, pages, others):
+    """Pages of a host that are one template around a few words, and other pages of the host, ids from ``first``."""
+    menu = "\n".join(prose(f"{name}-{k}", 14) for k in range(4))
+    rows = [(first + i, f"{menu}\n{prose(f'{name}/{i}', 12)}") for i in range(pages)]
+    return rows + [(first + pages + i, prose(f"{name}?{i}", 80)) for i in range(others)]
+
+
+def test_depleted_documents_of_small_and_large_hosts(spark):
+    """Production parameters: a template goes at any size of host, pages that share little and rare lines stay."""
+    hosts = {"small": template_host("s", 0, 8, 4), "large": template_host("l", 1000, 200, 600), "rare": template_host("r", 3000, 40, 560)}
+    hosts["few"] = template_host("f", 5000, 5, 0)
+    docs = None
+    for host, rows in hosts.items():
+        some = documents(spark, rows, host)
+        docs = some if docs is None else docs.union(some)
+    found = {r.doc_id: r for r in judge(docs).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert [i for i in range(12) if found[i].kept] == [0, 8, 9, 10, 11]
+    assert [i for i in range(1000, 1800) if found[i].kept] == [1000, *range(1200, 1800)]
+    assert all(found[i].n_removed_words == 56 for i in [*range(1, 8), *range(1001, 1200)])
+    # 40 of 600 pages are less than a tenth, and 5 pages are no more than the least number.
+    assert all(r.kept and r.n_removed_words == 0 for i, r in found.items() if i >= 3000)
+
+
+def test_documents_count_and_not_texts(spark):
+    line, texts = prose(1, 16), [prose(10 + k, 100) for k in range(3)]
+    rows = [(i, f"{line}\n{texts[i % 3]}") for i in range(30)] + [(100 + i, prose(200 + i, 60)) for i in range(30)]
+    again = [(0, f"{line}\n{texts[0]}")] * 4  # rows of one id are one document
+    found = judge(documents(spark, rows + again)).collect()
+    kept = {r.doc_id: r.kept for r in found}
+    assert [i for i in range(30) if kept[i]] == [0, 1, 2] and all(kept[i] for i in range(100, 130))
+    few = [(i, f"{line}\n{prose(50 + i, 60)}") for i in range(5)] + again
+    assert all(r.kept and r.n_removed_words == 0 for r in judge(documents(spark, few)).collect())
+
+
+def test_null_hosts_lose_nothing(spark):
+    rows = template_host("n", 0, 30, 0)
+    assert all(r.kept and r.n_removed_words == 0 for r in judge(documents(spark, rows, None)).collect())
 
 
 def test_hosts_nulls_repeats_and_clashing_columns(spark):
@@ -69,7 +98,7 @@ def test_removed_lines_leave_the_text(spark):
 def test_one_id_with_two_texts_loses_own_lines_only(spark):
     line = prose(1, 12)
     texts = [(0, line), (1, f"{line}\n{prose(2, 60)}"), (1, f"{prose(3, 30)}\n{prose(4, 30)}\n{line}"), (None, prose(5, 60))]
-    rows = judge(documents(spark, texts), max_docs=2).collect()
+    rows = judge(documents(spark, texts), min_docs=1).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in rows) == sorted(
         [(-1, prose(5, 60)), (0, line), (1, prose(2, 60)), (1, f"{prose(3, 30)}\n{prose(4, 30)}")]
     )

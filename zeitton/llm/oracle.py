@@ -51,12 +51,14 @@ own_lines as (
 ),
 bare as (select doc_id, source, trim(line, {SPACE}) as bare from line),
 key as (
-    select b.doc_id, b.source, lower(bare) as key, d.text,
+    select doc_id, source, lower(bare) as key,
         len(list_filter(regexp_split_to_array(bare, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) as words
-    from bare b join counted d on b.doc_id = d.doc_id where length(bare) >= 10
+    from bare where length(bare) >= 10
 ),
+host as (select source, count(distinct doc_id) as n from documents group by source),
 common as (
-    select source, key, min(doc_id) as first from key group by source, key having count(distinct text) > 50
+    select k.source, key, min(doc_id) as first from key k join host h on k.source = h.source
+    group by k.source, key having count(distinct doc_id) > 5 and 100 * count(distinct doc_id) > 10 * any_value(n)
 ),
 lost as (
     select k.doc_id, sum(words)::bigint as lost from key k join common c on k.source = c.source and k.key = c.key

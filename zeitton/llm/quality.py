@@ -1,8 +1,8 @@
 """Quality rules: measures of each text, and lines that too many documents of a host share.
 
-Measures are computed inside the row. Line counts need a distinct step (a text counts once per line)
-and one sum per line and host, both with partial aggregates; the few lines above the limit are stored,
-so that Spark knows their size when it chooses how to join them back.
+Measures are computed inside the row. Line counts need a distinct step (a document counts once per line)
+and one sum per line and host, both with partial aggregates; the few lines above the limit, a share of the
+host's documents, are stored, so that Spark knows their size when it chooses how to join them back.
 """
 
 from __future__ import annotations
@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.text import once
 from zeitton.llm.line_dedup import kept_lines
-from zeitton.llm.text import known_id, let, lines, stripped, whole, words
+from zeitton.llm.text import hash_pair, known_id, let, lines, stripped, whole, words
 from zeitton.session import stage
 
 SYMBOLS = "#*$%&|<>"
-DOC, TEXT_HASH, POS, BARE, LINE = "__doc", "__text_hash", "__pos", "__bare", "__line"
+DOC, POS, BARE, HOST = "__doc", "__pos", "__bare", "__host"
+TEXT, LINE = ["__text_a", "__text_b"], ["__line_a", "__line_b"]  # 128 bits each
 
 
 def repeated_words(all_words: Column) -> Column:
@@ -74,28 +75,33 @@ def measures(text: Column) -> Column:
 
 
 def host_lines(df: DataFrame, id_col: str, text_col: str, host_col: str, min_chars: int) -> DataFrame:
-    """One row per line of at least ``min_chars``: document, hash of its text, position, hash of host and line."""
+    """One row per line of at least ``min_chars`` of a known host: document, hash of its text, position, host, hash of the line."""
     text = whole(text_col)
-    exploded = df.select(
+    exploded = df.where(F.col(host_col).isNotNull()).select(
         known_id(id_col).alias(DOC),
-        F.xxhash64(text).alias(TEXT_HASH),
-        F.col(host_col).alias("__host"),
+        *(h.alias(name) for h, name in zip(hash_pair(text), TEXT, strict=True)),
+        F.col(host_col).alias(HOST),
         F.posexplode(lines(text)).alias(POS, "__raw"),
     )
     bare = exploded.withColumn(BARE, stripped(F.col("__raw"))).where(F.length(BARE) >= min_chars)
-    return bare.select(DOC, TEXT_HASH, POS, BARE, F.xxhash64("__host", F.lower(BARE)).alias(LINE))
-
-
-def common_lines(found: DataFrame, max_docs: int) -> DataFrame:
-    """Lines in more than ``max_docs`` different texts of a host, with the smallest id that holds each."""
-    return (
-        found.groupBy(LINE, TEXT_HASH)
-        .agg(F.min(DOC).alias("__first"))
-        .groupBy(LINE)
-        .agg(F.count("*").alias("__docs"), F.min("__first").alias("__first"))
-        .where(F.col("__docs") > max_docs)
-        .select(LINE, "__first")
+    key = hash_pair(F.lower(BARE))
+    return bare.select(DOC, *TEXT, POS, BARE, HOST, *(h.alias(name) for h, name in zip(key, LINE, strict=True)))
+
+
+def common_lines(found: DataFrame, documents: DataFrame, min_docs: int, max_share_percent: float) -> DataFrame:
+    """Lines above the limit of their host, with the smallest id that holds each.
+
+    ``documents`` has the number of documents per host. Lines of few documents, nearly all, go before the hosts are joined.
+    """
+    counted = (
+        found.groupBy(HOST, *LINE, DOC)
+        .agg(F.lit(1).alias("__one"))
+        .groupBy(HOST, *LINE)
+        .agg(F.count("*").alias("__docs"), F.min(DOC).alias("__first"))
+        .where(F.col("__docs") > min_docs)
     )
+    above = 100 * F.col("__docs") > max_share_percent * F.col("__all")
+    return counted.join(documents, HOST).where(above).select(HOST, *LINE, "__first")
 
 
 def judge(
@@ -106,28 +112,30 @@ def judge(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     min_chars: int = 10,
-    max_docs: int = 50,
+    min_docs: int = 5,
+    max_share_percent: float = 10,
     max_removed_percent: int = 70,
 ) -> DataFrame:
     """All columns of ``df``, the text cut, with the measures, ``base_failed``, ``n_removed_words`` and ``kept``.
 
     A text fails the base with fewer than ``min_words`` words, or if more than ``max_repeat_percent``
     of its words are in repeated 3-word windows. The key of a line is the line stripped and
-    lower-cased; keys of at least ``min_chars`` code points in more than ``max_docs`` documents of one
-    host are removed, except from the document of the smallest id that holds them. Copies of one text
-    count as one document, so that copying a clean text does not make its lines common. A document that loses
-    more than ``max_removed_percent`` of its words is depleted and rejected. The text comes back without
-    the removed lines; the measures are those of the text before. Null text: empty in the measures, and
-    back as it is; null host: a host of its own; null id: the smallest. New columns replace those of equal names.
+    lower-cased. Keys of at least ``min_chars`` code points are removed that stand in more than ``max_share_percent`` of the
+    documents of a host and in more than ``min_docs`` of them, except from the document of the smallest id that holds them. Rows of one
+    id are one document, copies under other ids are documents. A document that loses more than ``max_removed_percent`` of its words is depleted
+    and rejected. The text comes back without the removed lines; the measures are those of the text before. Null text: empty in the measures, and
+    back as it is; null host: no host, nothing is removed; null id: the smallest. New columns replace those of equal names.
     """
     found = host_lines(df, id_col, text_col, host_col, min_chars)
-    common = stage(common_lines(found, max_docs), "common-lines")
+    held = df.where(F.col(host_col).isNotNull()).select(F.col(host_col).alias(HOST), known_id(id_col).alias(DOC))
+    documents = held.groupBy(HOST, DOC).agg(F.lit(1).alias("__one")).groupBy(HOST).agg(F.count("*").alias("__all"))
+    common = stage(common_lines(found, stage(documents, "hosts"), min_docs, max_share_percent), "common-lines")
     losses = (
-        found.join(common, LINE)
+        found.join(common, [HOST, *LINE])
         .where(F.col(DOC) != F.col("__first"))
-        .groupBy(DOC, TEXT_HASH, POS)  # copies of a row lose a line once
+        .groupBy(DOC, *TEXT, POS)  # copies of a row lose a line once
         .agg(F.size(words(F.first(BARE))).alias("__words"))
-        .groupBy(DOC, TEXT_HASH)
+        .groupBy(DOC, *TEXT)
         .agg(F.sum("__words").alias("__lost"), F.collect_list(POS).alias("__removed"))
     )
     text = whole(text_col)
@@ -135,11 +143,11 @@ def judge(
     packed = df.select(
         F.struct(*(df[c] for c in df.columns)).alias("__row"),
         known_id(id_col).alias(DOC),
-        F.xxhash64(text).alias(TEXT_HASH),
+        *(h.alias(name) for h, name in zip(hash_pair(text), TEXT, strict=True)),
         text.alias("__text"),
     )
     rows = once(packed, "__m", measures(F.col("__text"))).drop("__text")
-    joined = rows.join(losses, [DOC, TEXT_HASH], "left")
+    joined = rows.join(losses, [DOC, *TEXT], "left")
     m = F.col("__m")
     failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
     lost = F.coalesce(F.col("__lost"), F.lit(0))
