@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from zeitton.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
 from zeitton.llm.queries import tokenizer_file
-from zeitton.llm.text import table
+from zeitton.llm.text import stripped, table, whole
 from zeitton.session import stage
 
 
@@ -15,14 +15,19 @@ def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(columns)
 
 
+def with_words(docs: DataFrame) -> DataFrame:
+    """Documents of which a cut left something: the others were copies through and through."""
+    return docs.where(stripped(whole("text")) != "")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that too many documents of a host share."""
     return recounted(quality.judge(docs).where("kept"), docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in several documents stay in one of them."""
-    return recounted(line_dedup.dedup_lines(docs), docs.columns)
+    """Lines found in several documents stay in one of them; documents without any other line go."""
+    return with_words(recounted(line_dedup.dedup_lines(docs), docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +36,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand elsewhere too."""
+    """Texts without passages that stand elsewhere too; documents of nothing else go."""
     cut = suffix_dedup.remove_repeats(docs, as_text=True)
-    return recounted(cut.select("row.*", F.col("kept").alias("text")), docs.columns)
+    return with_words(recounted(cut.select("row.*", F.col("kept").alias("text")), docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
