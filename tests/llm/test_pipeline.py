@@ -25,8 +25,9 @@ def corpus():
         own[draw.randrange(150)] = word()
         near.append(" ".join(own))
     shared_line = "a line that several pages share"
+    copied = prose(80) + "\n" + prose(30)
     return [
-        None, "", "too short", prose(100), "x y " * 60, *near,
+        None, "", "too short", copied, copied, copied.upper(), passage, prose(100), "x y " * 60, *near,
         *(f"{prose(70)} {passage} {prose(20)}" for _ in range(3)),
         *(f"{prose(40)}\n{shared_line}\n{prose(40)}" for _ in range(3)), prose(9000),
     ]
@@ -37,6 +38,8 @@ def test_stages(spark, tmp_path):
     docs, steps = documents(spark, list(texts.items())), iter(corpus_pipeline.STAGES)
     columns = docs.columns
 
+    rows_kept = []
+
     def next_stage(name):
         nonlocal docs
         found, function = next(steps)
@@ -50,6 +53,8 @@ def test_stages(spark, tmp_path):
         rows = docs.collect()
         assert docs.columns == columns
         assert {r.doc_id: r.text for r in rows} == want and len(rows) == len(want)
+        assert all(r.text.strip(SPACE) and r.n_chars == len(r.text) for r in rows)  # nothing empty goes on
+        rows_kept.append(len(rows))
         return want
 
     next_stage("quality rules")
@@ -61,8 +66,9 @@ def test_stages(spark, tmp_path):
         for line in t.split("\n"):
             holders.setdefault(line.strip(SPACE).lower(), set()).add(i)
     gone = lambda line, i: len(line.strip(SPACE)) >= 10 and min(holders[line.strip(SPACE).lower()]) != i
-    want = {i: "\n".join(x for x in t.split("\n") if not gone(x, i)) for i, t in texts.items()}
-    assert want != texts
+    cut = {i: "\n".join(x for x in t.split("\n") if not gone(x, i)) for i, t in texts.items()}
+    want = {i: t for i, t in cut.items() if t.strip(SPACE)}
+    assert want != texts and len(want) == len(texts) - 2  # the copies, of which no line is left
     texts = check(want)
 
     next_stage("n-gram join")
@@ -72,8 +78,9 @@ def test_stages(spark, tmp_path):
     texts = check(want)
 
     next_stage("suffix-array dedup")
-    want = {i: w[3].decode("utf-8", "ignore") for i, w in zip(texts, repeated_bytes(list(texts.values())), strict=True)}
-    assert want != texts
+    cut = {i: w[3].decode("utf-8", "ignore") for i, w in zip(texts, repeated_bytes(list(texts.values())), strict=True)}
+    want = {i: t for i, t in cut.items() if t.strip(SPACE)}
+    assert want != texts and len(want) == len(texts) - 1  # the document that is one repeated passage
     texts = check(want)
 
     next_stage("packing")
@@ -83,6 +90,7 @@ def test_stages(spark, tmp_path):
     for r in docs.collect():
         covered[r.doc_id] += r.length
     assert covered == tokens
+    assert rows_kept == [16, 14, 11, 10]
 
 
 def test_run(spark):
