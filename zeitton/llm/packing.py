@@ -27,8 +27,8 @@ from zeitton.llm.text import whole
 from zeitton.session import stage
 
 GROUP_PIECES = 20_000  # pieces packed together, about
-BATCH_BYTES = 8_000_000  # texts tokenised together
-CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held
+BATCH_BYTES = 4_000_000  # texts tokenised together
+CACHED_WORDS = 150_000  # words per generation of the cache; two are held by every worker process, task after task
 END_ID = 2
 HOLDER = "zeitton_worker"  # a module of each worker process that outlives its tasks
 
