@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from zeitton.operators import calendar, dataset
 from zeitton.operators.skew import join_split
+from zeitton.plans import inputs, jobs
 from zeitton.sources import pages as page_source
 
 
@@ -151,3 +152,21 @@ def test_hot_rows_reach_several_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(r["count"] for r in sizes) == 400 and len(sizes) > 1
+
+
+def test_stand_in_reaches_the_same_share_at_any_size(spark):
+    """Pages reached of the archive made from documents: alike for a thousand documents and for a hundred thousand."""
+    small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "n_chars")
+    large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("lang", "n_chars", "doc_id")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy")
+    tenfold = large.select("*", copies).select((F.col("doc_id") + 10_000 * F.col("copy")).alias("doc_id"), "lang", "n_chars")
+    shares = []
+    for documents in (small, tenfold):
+        places = inputs.page_places(documents)
+        status = places.select(
+            "doc_id", "day", "page", (F.col("state") == "full").cast("int").alias("n_links"),
+            F.col("summary").alias("monthly_summary"), (F.col("state") == "failed").alias("error"),
+        )
+        assert places.select("day", "page").distinct().count() == places.count()
+        shares.append(jobs.reached(status, status).count() / documents.count())
+    assert 0.3 < shares[0] < 0.8 and abs(shares[0] - shares[1]) < 0.15

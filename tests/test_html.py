@@ -225,3 +225,27 @@ def test_nested_and_unclosed_wrappers(spark):
 def test_many_teasers_on_a_page(spark):
     one = wrapper('<div><a class="teaser-right__link" href="/a"></a></div>')
     assert len(teasers(spark, page(*SKIP, one * 3000))) == 3000
+
+
+def test_bare_brackets_stay_in_their_text(spark):
+    """A ``<`` that begins no tag leaves its text node whole, blanks around it included."""
+    texts = {
+        "<p> 5 < 6 and 7 > 3 </p>": "5 < 6 and 7 > 3", "a <b>c</b> <": "ac<", "x<1<y>z": "x<1z", "< <i> t </i>": "<t",
+        "1 &lt; 2 <br> 3 <3": "1 < 23 <3", "<": "<", "": "", "no tag": "no tag", "<i>a</i > b": "ab",
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = df.select("t", markup.visible_text(markup.tokens(F.col("t"))).alias("x")).collect()
+    assert {r.t: r.x for r in found} == texts
+    (row,) = teasers(spark, page(*SKIP, wrapper('<p class="teaser-right__shorttext"> if 1 < 2 <b>then</b> 3 <4 </p>')))
+    assert row["short_text"] == "if 1 < 2then3 <4"
+
+
+def test_fields_inside_one_another(spark):
+    body = (
+        '<p class="teaser-right__shorttext">a<span class="teaser-right__headline">b<span>c</span>d</span>e'
+        '<span class="teaser-right__headline">second</span><span class="teaser-right__labeltopline">f</p>g</span>h'
+    )
+    (row,) = teasers(spark, page(*SKIP, wrapper(body)))
+    assert (row["headline"], row["short_text"], row["short_headline"]) == ("bcd", "abcdesecondf", "fg")
+    (row,) = teasers(spark, page(*SKIP, wrapper('<span class="teaser-right__headline">open <i>to the end')))
+    assert row["headline"] == "opento the end"

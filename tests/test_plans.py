@@ -66,3 +66,25 @@ def test_stop_rule_broadcasts_days_only(spark):
     assert all("LeftAnti" in line for line in joins) and "partial_min" in text
     assert text.count("BroadcastHashJoin") >= 2 and "RoundRobin" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_bodies_are_fetched_last(spark):
+    """Winners are chosen on narrow rows: no exchange but that of the last join holds a body."""
+    rows = [("a", 1, f"/x{i % 3}", "body" * 50) for i in range(12)]
+    df = spark.createDataFrame(rows, "date_api string, page_api int, link string, articleBody string")
+    stored, winners = dataset.located(df, "link", ["date_api", "page_api"])
+    chosen = stored.groupBy("link").agg(F.min(F.struct("date_api", "page_api", "__at")))
+    assert "articleBody" not in plan(chosen) and winners.columns == ["link", "__at"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(dataset.deduplicated(df))
+        assert "SortMergeJoin" in text and "Aggregate" not in text
+        scans = [line for line in text.splitlines() if "ReadSchema" in line]
+        assert len(scans) == 2 and sum("articleBody" in line for line in scans) == 1
+        pages = spark.createDataFrame([("/x1", "<p>")], "link string, html string")
+        joined = plan(articles.with_articles(df.select("link"), articles.extract_articles(pages)))
+        scans = [line for line in joined.splitlines() if "ReadSchema" in line]
+        assert sum("articleBody" in line for line in scans) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dataset.deduplicated(df).count() == 3

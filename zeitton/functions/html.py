@@ -1,7 +1,7 @@
 """Tag-level reading of HTML with split, regex and array functions.
 
-A page becomes an array of tokens, cut at every ``<``: each token is a tag and the text after it,
-as in ``span class="x">text``. An element is found by its opening token and ends at its own closing
+A page becomes an array of tokens, cut at every ``<`` that begins a tag: each token is a tag and the text
+after it, as in ``span class="x">text``. Other ``<`` are part of the text they stand in. An element is found by its opening token and ends at its own closing
 one, which the running count of opening and closing tokens of that name tells. Comments, scripts and
 styles are blanked first, so they count neither as text nor as tags.
 """
@@ -16,7 +16,9 @@ from pyspark.sql import Column, functions as F
 from zeitton.functions.text import bind, strip
 
 HIDDEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>)"
+TAG_BEGIN = "[A-Za-z/!?]"
 QUOTES = ("\"", "'")
+COMMON = ("amp", "lt", "gt", "quot", "nbsp", "apos")
 ENTITY = r"^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
 
 
@@ -44,8 +46,13 @@ def brackets_in_values_escaped(html: Column) -> Column:
 
 
 def tokens(html: Column) -> Column:
-    """Tokens of a page; text before the first tag comes as the text of an empty declaration."""
-    return F.split(F.concat(F.lit("!>"), html), "<")
+    """Tokens of a page; text before the first tag comes as the text of an empty declaration.
+
+    Pages whose every ``<`` begins a tag, which are most, are cut by a literal split.
+    """
+    page = F.concat(F.lit("!>"), html)
+    careful = F.split(page, f"<(?={TAG_BEGIN})")
+    return F.when(html.rlike(f"<(?!{TAG_BEGIN})"), careful).otherwise(F.split(page, "<"))
 
 
 def attribute_pattern(name: str, value: str, token: bool = False) -> str:
@@ -68,9 +75,12 @@ def opens(token: Column, tag: str, lookahead: str = "") -> Column:
     return token.rlike(rf"(?is)^{tag}(?=[\s>/]){lookahead}")
 
 
-def open_position(page: Column, tag: str, lookahead: str = "") -> Column:
-    """1-based position of the first such opening token, 0 when there is none."""
-    return F.array_position(F.transform(page, lambda t: opens(t, tag, lookahead)), F.lit(True)).cast("int")
+def open_position(page: Column, tag: str, lookahead: str = "", literal: str = "") -> Column:
+    """1-based position of the first such opening token, 0 when there is none.
+
+    All tokens are looked at; where the attribute's value is plain text, ``literal`` spares most of them the pattern.
+    """
+    return F.array_position(F.transform(page, lambda t: t.contains(literal) & opens(t, tag, lookahead)), F.lit(True)).cast("int")
 
 
 def from_position(page: Column, at: Column) -> Column:
@@ -133,10 +143,10 @@ def closed(page: Column, tag: str) -> Column:
     return bind(marks(page, tag), cut)
 
 
-def element(page: Column, tag: str, lookahead: str = "") -> Column:
+def element(page: Column, tag: str, lookahead: str = "", literal: str = "") -> Column:
     """Tokens of the first matching element; null when there is none."""
     return bind(
-        open_position(page, tag, lookahead),
+        open_position(page, tag, lookahead, literal),
         lambda at: F.when(at > 0, bind(from_position(page, at), lambda rest: closed(rest, tag))),
     )
 
@@ -149,7 +159,9 @@ def attribute(token: Column, name: str) -> Column:
 
 
 def _named_entities() -> Column:
-    names = sorted({**name2codepoint, "apos": 39}.items())
+    """Names and their characters; a map is searched from its beginning, so the common names come first."""
+    all_names = {**name2codepoint, "apos": 39}
+    names = sorted(all_names.items(), key=lambda item: (item[0] not in COMMON, item[0]))
     body = ", ".join(f"'{name}', {code}" for name, code in names)
     return F.expr(f"map({body})")
 
@@ -181,18 +193,24 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(pieces, "")).otherwise(text)
 
 
-def visible_text(page: Column) -> Column:
-    """Every text node stripped, joined with nothing. A bracket that opens no tag is text itself."""
+def tag_name(token: Column) -> Column:
+    """The tag's name in lower case, with its ``/`` if it closes; told without a pattern."""
+    tag = F.translate(F.substring_index(token, ">", 1), "\t\n\r\f", "    ")
+    return F.lower(F.rtrim(F.substring_index(tag, " ", 1), F.lit("/")))
+
 
-    def node(token: Column) -> Column:
-        end = F.instr(token, ">")
-        after = F.when(end > 0, F.substr(token, end + 1)).otherwise("")
-        text = F.when(token.rlike("^[A-Za-z/!?]"), after).otherwise(F.concat(F.lit("<"), token))
-        return bind(text, lambda t: strip(decode_entities(t)))
+def text_after(token: Column) -> Column:
+    """The text node behind the tag of a token, decoded and stripped."""
+    end = F.instr(token, ">")
+    after = F.when(end > 0, F.substr(token, end + 1)).otherwise("")
+    return bind(after, lambda t: F.when(t == "", t).otherwise(strip(decode_entities(t))))
 
-    return F.array_join(F.transform(page, node), "")
+
+def visible_text(page: Column) -> Column:
+    """Every text node stripped, joined with nothing."""
+    return F.array_join(F.transform(page, text_after), "")
 
 
-def element_text(page: Column, tag: str, lookahead: str = "") -> Column:
+def element_text(page: Column, tag: str, lookahead: str = "", literal: str = "") -> Column:
     """Visible text of the first matching element; ``""`` when there is none."""
-    return F.coalesce(visible_text(element(page, tag, lookahead)), F.lit(""))
+    return F.coalesce(visible_text(element(page, tag, lookahead, literal)), F.lit(""))

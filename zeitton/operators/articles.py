@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from zeitton.functions.html import attribute_pattern, element_text, tokens, without_comments, without_hidden
 from zeitton.functions.text import bind, once
-from zeitton.operators.dataset import deduplicated
+from zeitton.operators.dataset import located
 from zeitton.operators.skew import HOT_ROWS, join_split
 
 # The markup of an article page.
@@ -118,20 +118,23 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     )
 
 
-def one_per_link(articles: DataFrame) -> DataFrame:
-    """One row per link: of several copies of a page one with an article, else the smallest row."""
-    ranked = articles.withColumn("__empty", ~F.col("has_article"))
-    return deduplicated(ranked, "link", ["__empty"]).drop("__empty")
+def one_per_link(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The articles with their places, and per link the place of one row: of several copies one with an article."""
+    return located(articles.withColumn("__empty", ~F.col("has_article")), "link", ["__empty"])
 
 
 def with_articles(listings: DataFrame, articles: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Listing rows with the fields of their article page; rows without a fetched page are left out.
 
     Each listing row meets one article, however often its page was stored. Empty links have no page
-    of their own and go before the join; links listed very often are shared among tasks.
+    of their own and go before the join; links listed very often are shared among tasks. Listing rows meet
+    the places of articles first, and the articles themselves, bodies included, in the last join.
     """
-    joined = join_split(listings.where(F.col("link") != ""), one_per_link(articles), "link", "inner", hot_rows)
-    return joined.select(*listings.columns, *(c for c in articles.columns if c != "link"))
+    stored, places = one_per_link(articles)
+    met = join_split(listings.where(F.col("link") != ""), places, "link", "inner", hot_rows)
+    fields = [c for c in articles.columns if c != "link"]
+    joined = join_split(met, stored.select("__at", *fields), "__at", "inner", hot_rows)
+    return joined.select(*listings.columns, *fields)
 
 
 def fetch_status(pages: DataFrame) -> DataFrame:

@@ -4,18 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from zeitton.operators.skew import HOT_ROWS, join_split
 from zeitton.session import stage
 
+WIDE = ("articleBody", "html")  # columns of whole texts
 
-def deduplicated(df: DataFrame, key: str = "link", order: Sequence[str] = ("date_api", "page_api")) -> DataFrame:
-    """First row per key by ``order``.
+
+def located(df: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows stored once, each with its place ``__at``, and per key the place of its first row by ``order``.
+
+    The choice reads the key, the order and a 128-bit hash of the other columns, taken while the rows were stored; the
+    place in the stored files decides between equal rows. Wide columns are not even read for it.
+    """
+    plain = (T.MapType, T.VariantType)
+    rest = [f.name for f in df.schema.fields if f.name not in (key, *order) and not isinstance(f.dataType, plain)]
+    tie = F.struct(*(F.xxhash64(F.lit(seed), *rest).alias(f"h{seed}") for seed in (1, 2)))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    stored = stage(df.withColumn("__tie", tie), "rows").withColumn("__at", place)
+    first = F.min(F.struct(*order, "__tie", "__at")).alias("__first")
+    winners = stored.groupBy(key).agg(first).select(key, F.col("__first.__at").alias("__at"))
+    return stored.drop("__tie"), stage(winners, "winners")
+
+
+def deduplicated(
+    df: DataFrame, key: str = "link", order: Sequence[str] = ("date_api", "page_api"), wide: Sequence[str] = WIDE
+) -> DataFrame:
+    """First row per key by ``order``; what the other columns hold breaks ties.
 
     A minimum over structs is combined before the shuffle, so copies of one key meet as one row per
-    task and not as a whole group. All other columns follow as tie-breakers.
+    task and not as a whole group. Rows with one of the ``wide`` columns are chosen without it, and the
+    winners' rows are fetched by their place in the end.
     """
+    if any(c in df.columns for c in wide):
+        stored, winners = located(df, key, order)
+        return stored.join(winners.select("__at"), "__at", "left_semi").select(*df.columns)
     rest = [c for c in df.columns if c not in (key, *order)]
     row = F.struct(*order, *rest)
     return df.groupBy(key).agg(F.min(row).alias("__row")).select(

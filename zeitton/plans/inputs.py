@@ -17,6 +17,9 @@ NEGATIVE = (
     "of", "and", "in", "der", "that", "en", "for", "on", "with", "que", "be", "des", "by", "this",
     "er", "at", "an", "th", "un", "el", "ha", "den", "he", "orre", "thatin", "or", "ea",
 )
+DAYS = 1_000_000  # days of the archive, before days get more pages
+GAP = 8  # place on a day that is empty, failed or missing on three of four days
+
 # Section of a document by its language; anything else is a section of no category.
 SECTION_OF = {"de": "Inland", "en": "ausland", "fr": "wirtschaft"}
 
@@ -94,13 +97,35 @@ def escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One archive page per document with one teaser per line of its text.
+def page_places(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``day``, ``page``, ``summary`` and ``state``, and rows for further pages.
 
-    A day has pages 1 to 3, of which some are absent; a page of every 13th document has no teaser.
+    Ten documents fill a day, so days grow with ``doc_id``; after a million days the first day gets ten pages more, and so on,
+    which keeps all days valid. On three of four days the pages from the eighth place on stand one further. The place so left is
+    ``empty``, ``failed`` or missing; the first two are rows of their own, with nulls from ``documents``.
     """
+    slot, number = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10)
+    cycle, kind = F.floor(number / DAYS), number % 4
+    moved = ((slot >= GAP - 1) | (cycle >= 1)) & (kind > 0)
+    placed = documents.withColumns(
+        {
+            "day": F.date_add(F.lit("2024-01-01").cast("date"), (number % DAYS).cast("int")),
+            "page": (slot + 1 + 10 * cycle + F.when(moved, 1).otherwise(0)).cast("int"),
+            "summary": (F.col("lang") == "de") & (F.col("n_chars") % 40 == 0),
+            "state": F.lit("full"),
+        }
+    )
+    beside = documents.where((slot == GAP - 1) & (cycle == 0) & (number % 2 == 1)).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), number.cast("int")).alias("day"),
+        F.lit(GAP).alias("page"), F.lit(False).alias("summary"), F.when(kind == 1, "empty").otherwise("failed").alias("state"),
+    )
+    return placed.unionByName(beside, allowMissingColumns=True)
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One archive page per document with one teaser per line of its text, and empty and failed pages without an id."""
     lines = F.split("text", "\n")
-    head = F.when(F.col("lang") == "de", "Dezember 2024").otherwise("01. Dezember 2024")
+    head = F.when(F.col("summary"), "Dezember 2024").otherwise("01. Dezember 2024")
     wrapper = '<div class="copytext-element-wrapper__vertical-only">'
 
     def teaser(line: Column, i: Column) -> Column:
@@ -121,16 +146,17 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(" <!-- end --></p></a></div>"),
         )
 
-    html = F.concat(
-        F.lit('<html><body><h2 class="archive__headline">'), head, F.lit("</h2>"),
-        F.lit('<div id="content">'), F.lit(wrapper + "a</div>"), F.lit(wrapper + "b</div>"),
-        F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.array_join(F.transform(lines, teaser), "")), F.lit("</div>"),
-        F.lit(wrapper + "outside the content</div></body></html>"),
-    )
-    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 360).cast("int"))
-    return texts(spark, sf_dir, "documents").select(
-        "doc_id", day.alias("day"), (F.col("doc_id") % 3 + 1).cast("int").alias("page"), html.alias("html")
-    )
+    def page(head: Column, teasers: Column) -> Column:
+        return F.concat(
+            F.lit('<html><body><h2 class="archive__headline">'), head, F.lit("</h2>"),
+            F.lit('<div id="content">'), F.lit(wrapper + "a</div>"), F.lit(wrapper + "b</div>"),
+            teasers, F.lit("</div>"), F.lit(wrapper + "outside the content</div></body></html>"),
+        )
+
+    state = F.col("state")
+    full = page(head, F.array_join(F.transform(lines, teaser), ""))
+    html = F.when(state == "full", full).when(state == "empty", page(F.lit("01. Dezember 2024"), F.lit("")))
+    return page_places(texts(spark, sf_dir, "documents")).select("doc_id", "day", "page", html.alias("html"))
 
 
 def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from zeitton.operators.calendar import (
 )
 from zeitton.operators.correlogram import wide_correlogram
 from zeitton.operators.dataset import not_yet_done
-from zeitton.operators.listings import extract_teasers, page_status, relative_links
+from zeitton.operators.listings import listing_rows, page_facts, relative_links
 from zeitton.operators.scoring import Scorer, score_fields
 from zeitton.operators.series import (
     aggregate_sentiment,
@@ -32,15 +32,16 @@ from zeitton.sources.articles import read_tsv
 def collect(pages: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Listing rows of the archive pages of a date range.
 
-    The stop rules read one narrow row per page several times, so these rows are stored and the HTML is
-    read for them once. Their outcome, one row per day and per month, is broadcast to the pages, so
-    the HTML itself is never shuffled.
+    The HTML is read once; what it holds is stored in narrow rows, from which the stop rules read their few
+    columns and the pages that a run gets to give their teasers. The outcome of the rules, one row per day and per month, is
+    broadcast.
     """
     if start:
         pages = pages.where(F.col("day") >= F.lit(start).cast("date"))
     if end:
         pages = pages.where(F.col("day") <= F.lit(end).cast("date"))
-    return extract_teasers(reached(pages, stage(page_status(pages), "page-status"))).drop("position")
+    facts = stage(page_facts(pages), "page-facts")
+    return listing_rows(reached(facts, facts.drop("teasers"))).drop("position")
 
 
 def reached(pages: DataFrame, status: DataFrame) -> DataFrame:

@@ -466,7 +466,7 @@ def visible(html: str) -> str:
             "(replace(x,", f"(replace(replace(x, '&{name};', '{character}'),", 1
         )
     strip = r"regexp_replace({n}, '^[\s\x{{a0}}]+|[\s\x{{a0}}]+$', '', 'g')".format(n=node)
-    return f"array_to_string(list_transform(regexp_split_to_array({html}, '<[^>]*>'), lambda x: {strip}), '')"
+    return f"array_to_string(list_transform(regexp_split_to_array({html}, '<[A-Za-z/!?][^>]*>'), lambda x: {strip}), '')"
 
 
 _CLEAN = f"clean as (select page_id, regexp_replace(html, '{_HIDDEN}', '<!>', 'g') as html from pages)"
@@ -479,13 +479,17 @@ _LINES = r"""
 lines as (select doc_id, lang, n_chars, unnest(t) as line, generate_subscripts(t, 1) - 1 as i
     from (select *, string_split(text, chr(10)) as t from documents)),
 parts as (select *, regexp_extract(line, '\S+(?:\s+\S+){0,2}') as start from lines)"""
-_TEASERS = f"""{_LINES},
-pages_in as (select doc_id, lang, date '2024-01-01' + (n_chars % 360)::int as day, doc_id % 3 + 1 as page,
-    doc_id % 13 = 0 as bare from documents),
+_PAGES = """
+placed as (select doc_id, lang, lang = 'de' and n_chars % 40 = 0 as summary, doc_id // 10 as number, doc_id % 10 as slot,
+    date '2024-01-01' + (doc_id // 10 % 1000000)::int as day, doc_id // 10000000 as cycle from documents),
+pages_in as (select doc_id, day, summary, false as bare, false as error,
+    slot + 1 + 10 * cycle + (number % 4 > 0 and (slot >= 7 or cycle >= 1))::int as page from placed
+    union all select null, day, false, true, number % 4 = 3, 8 from placed where slot = 7 and cycle = 0 and number % 2 = 1)"""
+_TEASERS = f"""{_LINES}, {_PAGES},
 teasers as (select doc_id, day, i::bigint as position, strftime(day, '%Y-%m-%d') as date_api, page as page_api,
     case when parts.lang = 'es' then strftime(day, '%Y-%m-%d') else '01.12.2024 • 09:05 Uhr' end as date,
     trim(start) || trim(substr(line, len(start) + 1)) as headline, trim(start) as short_headline,
-    trim(line) as short_text, '/x/' || i as link from parts join pages_in using (doc_id) where not bare)"""
+    trim(line) as short_text, '/x/' || i as link from parts join pages_in using (doc_id))"""
 SQL["archive_teasers"] = f"with {_TEASERS} select teasers.* exclude (day) from teasers"
 
 
@@ -495,7 +499,7 @@ def walked(starts: str) -> str:
 begun as (select p.*, first from pages_in p join ({starts}) using (day) where page >= first),
 met as (select * from begun b where not exists (select 1 from begun g where g.day = b.day and g.page <= b.page and g.bare)
     and page - first + 1 = (select count(distinct g.page) from begun g where g.day = b.day and g.page <= b.page)),
-cuts as (select last_day(day) as month, min(day) as cut from met where lang = 'de' group by 1)
+cuts as (select last_day(day) as month, min(day) as cut from met where summary group by 1)
 select t.* exclude (doc_id, day, position) from teasers t join met using (doc_id) left join cuts on month = last_day(t.day)
 where cut is null or t.day <= cut"""
 
@@ -504,12 +508,12 @@ SQL["collect_listings"] = f"with {_TEASERS}, {walked('select distinct day, 1 as
 SQL["collect_after_listings"] = f"with {_TEASERS}, " + walked(
     "select later as day, min(case when later = day then page else 1 end) as first from (select day, page, "
     "unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as later "
-    "from pages_in where doc_id % 29 = 0) group by 1"
+    "from pages_in where doc_id % 290 = 145) group by 1"
 )
 SQL["streamed_listings"] = SQL["streamed_listings_split"] = SQL["collect_listings"]
-SQL["monthly_summary_flag"] = """
-select doc_id, lang = 'de' as monthly_summary,
-    case when doc_id % 13 = 0 then 0 else len(string_split(text, chr(10))) end as n_links from documents"""
+SQL["monthly_summary_flag"] = f"""
+with {_PAGES} select day, page, summary as monthly_summary, error,
+    case when bare then 0 else len(string_split(text, chr(10))) end as n_links from pages_in left join documents using (doc_id)"""
 SQL["jsonld_article"] = """
 select '/d/' || doc_id as link,
     case when lang <> 'es' then text end as "articleBody",

@@ -686,16 +686,15 @@ def collect_listings(spark, sf_dir):
 def collect_after_listings(spark, sf_dir):
     """Listing rows from failed pages on, through the end of each month."""
     held = inputs.archive_pages(spark, sf_dir)
-    failed = held.where(F.col("doc_id") % 29 == 0).select("day", "page")
+    failed = held.where(F.col("doc_id") % 290 == 145).select("day", "page")
     out = jobs.collect_after(held.drop("doc_id"), failed)
     return out.withColumn("page_api", big("page_api"))
 
 
 @query
 def monthly_summary_flag(spark, sf_dir):
-    held = inputs.archive_pages(spark, sf_dir)
-    flags = listings.page_status(held.withColumn("day", F.col("doc_id")))
-    return flags.select(F.col("day").alias("doc_id"), "monthly_summary", big("n_links"))
+    flags = listings.page_status(inputs.archive_pages(spark, sf_dir))
+    return flags.select("day", big("page"), "monthly_summary", "error", big("n_links"))
 
 
 @query

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from zeitton.operators.listings import extract_teasers, page_status
+from zeitton.operators.listings import listing_rows, page_facts
 from zeitton.operators.scoring import Scorer, category_counts, score_fields
 from zeitton.plans.jobs import reached
 from zeitton.schemas import FIELDS
@@ -47,15 +47,14 @@ def score_stream(
 
 
 def collect_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Teasers and status of newly landed archive pages, one folder per batch; ``collected`` reads them.
+    """What newly landed archive pages hold, one folder per batch; ``collected`` reads them.
 
     Which pages a run would have reached depends on pages that may land in any later batch. So batches
     only store what each page holds, in narrow rows, and the stop rules are left to the reader.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_batch(page_status(batch), f"{out}/status", batch_id)
-        append_batch(extract_teasers(batch, ["day", "page"]), f"{out}/teasers", batch_id)
+        append_batch(page_facts(batch), out, batch_id)
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -67,9 +66,8 @@ def collect_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuer
 
 def collected(spark: SparkSession, out: str) -> DataFrame:
     """Listing rows of all pages that ``collect_stream`` has stored, in whatever order they landed."""
-    status = spark.read.parquet(f"{out}/status").drop("batch_id")
-    teasers = spark.read.parquet(f"{out}/teasers").drop("batch_id", "position")
-    return reached(teasers, status).drop("day", "page")
+    facts = spark.read.parquet(out).drop("batch_id")
+    return listing_rows(reached(facts, facts.drop("teasers"))).drop("position")
 
 
 def count_stream(
