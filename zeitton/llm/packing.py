@@ -28,7 +28,7 @@ from zeitton.session import stage
 
 GROUP_PIECES = 20_000  # pieces packed together, about
 BATCH_BYTES = 4_000_000  # texts tokenised together
-CACHED_WORDS = 150_000  # words per generation of the cache; two are held by every worker process, task after task
+CACHED_WORDS = 200_000  # words per generation of the cache; two generations are held during a task
 END_ID = 2
 HOLDER = "zeitton_worker"  # a module of each worker process that outlives its tasks
 
@@ -76,11 +76,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.parts, self.odd = re.compile(PARTS).findall, re.compile(ODD).search
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty caches: between tasks a worker process holds the tokenizer alone."""
         self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2)
 
     @staticmethod
     def of(definition: str) -> WordTokenizer:
-        """The tokenizer of this worker process: the tasks that it runs one after another share it and its caches."""
+        """The tokenizer of this worker process, shared by the tasks that it runs one after another."""
         holder = sys.modules.setdefault(HOLDER, ModuleType(HOLDER))
         key = hashlib.sha256(definition.encode()).hexdigest()
         if getattr(holder, "key", None) != key:
@@ -145,18 +149,21 @@ def cut_pieces(df: DataFrame, definition: str, id_col: str, text_col: str, lengt
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of(definition)
-        for batch in batches:
-            for at, texts in batches_of(batch.column(1), BATCH_BYTES):
-                ids, ends = tokenizer.ids(texts)
-                rows, begin = [], 0
-                for i, end in enumerate(ends.tolist()):
-                    own = np.append(ids[begin:end], np.uint32(END_ID)).astype("<u4")
-                    begin, doc = end, batch.column(0)[at + i].as_py()
-                    for start in range(0, len(own), length):
-                        piece = own[start : start + length]
-                        rows.append((doc, start, len(piece), zlib.crc32(piece), len(own)))
-                columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                for at, texts in batches_of(batch.column(1), BATCH_BYTES):
+                    ids, ends = tokenizer.ids(texts)
+                    rows, begin = [], 0
+                    for i, end in enumerate(ends.tolist()):
+                        own = np.append(ids[begin:end], np.uint32(END_ID)).astype("<u4")
+                        begin, doc = end, batch.column(0)[at + i].as_py()
+                        for start in range(0, len(own), length):
+                            piece = own[start : start + length]
+                            rows.append((doc, start, len(piece), zlib.crc32(piece), len(own)))
+                    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            tokenizer.forget()
 
     given = df.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text_col).alias("text"))
     return given.mapInArrow(cut, PIECE)
