@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from zeitton.operators import articles, calendar, correlogram, dataset, series
 from zeitton.operators.scoring import LexiconScorer, ModelScorer, score_fields
+from zeitton.plans import jobs
 from zeitton.plans.inputs import WordModel, table
-from zeitton.sources import links
+from zeitton.sources import links, pages as page_source
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -88,3 +89,16 @@ def test_bodies_are_fetched_last(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert dataset.deduplicated(df).count() == 3
+
+
+def test_backfill_reads_the_months_of_its_worklist(spark, tmp_path):
+    """Pages stored by month: the worklist's months reach the scan as a pruning expression."""
+    rows = [(dt.date(2024, m, day), 1, f"<p>{m}") for m in range(1, 13) for day in (1, 2)]
+    page_source.store_archive(spark.createDataFrame(rows, "day date, page int, html string"), f"{tmp_path}/archive")
+    stored = page_source.read_archive(spark, f"{tmp_path}/archive")
+    failed = spark.createDataFrame([(dt.date(2024, 5, 2), 1)], "day date, page int")
+    found = calendar.from_start_page(stored, calendar.backfill_days(failed))
+    assert "dynamicpruningexpression(month" in plan(found)
+    assert [r.html for r in found.collect()] == ["<p>5"]
+    bounded = plan(jobs.pages_between(stored, "2024-03-01", "2024-03-31"))
+    assert "PartitionFilters: [isnotnull(month" in bounded and "month#" in bounded

@@ -105,3 +105,14 @@ def test_category(spark):
     df = spark.createDataFrame([(k,) for k in links], "l string")
     for row in df.select("l", category.infer_category(F.col("l")).alias("c")).collect():
         assert row.c == links[row.l]
+
+
+def test_polarity_of_repeated_keys_and_nan(spark):
+    texts = {
+        '{"positive": 0.5, "positive": 0.7}': 0.7, '{"positive": 0.5, "negative": 0.1, "positive": 0.7}': 0.6,
+        '{"negative": 0.2, "negative": 0.3}': -0.3, '{"positive": NaN}': None, '{"positive": 0.5, "x": NaN}': None,
+        '{"positive": 1, "positive": null}': None, '{"positive": 1, "positive"': None, "{bad": None, "[1]": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    for row in df.select("j", polarity.json_polarity(F.col("j")).alias("p")).collect():
+        assert row.p == (texts[row.j] if texts[row.j] is None else pytest.approx(texts[row.j])), row.j

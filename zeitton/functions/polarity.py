@@ -18,11 +18,21 @@ def _part(score: Column, key: str) -> Column:
     return F.when(value.isNull(), F.lit(0.0)).otherwise(number)
 
 
+def _repeated_keys(text: Column) -> Column:
+    """Polarity of an object that names a key twice, which a variant cannot hold: the last value counts."""
+    keys, held = F.json_object_keys(text), F.from_json(text, "positive double, negative double")
+
+    def part(key: str) -> Column:
+        return F.when(F.array_contains(keys, key), held[key]).otherwise(0.0)
+
+    return F.when(keys.isNotNull(), part("positive") - part("negative"))
+
+
 def json_polarity(text: Column) -> Column:
-    """Polarity of a JSON score; null unless the text is a JSON object with numbers in it."""
+    """Polarity of a JSON score; null unless the text is a JSON object with numbers in it; ``NaN`` is no JSON."""
     return bind(
         F.try_parse_json(text),
-        lambda score: F.when(
+        lambda score: F.when(score.isNull(), _repeated_keys(text)).when(
             F.schema_of_variant(score).startswith("OBJECT"),
             _part(score, "positive") - _part(score, "negative"),
         ),

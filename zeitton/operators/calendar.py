@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from zeitton.functions.dates import month_label, range_spine
 
 
+FIRST_DAY = "0001-01-01"
+
+
 def _row(spark: SparkSession) -> DataFrame:
     return spark.range(1)
 
@@ -49,10 +52,23 @@ def backfill_days(failed: DataFrame) -> DataFrame:
     return listed.select("day", start.alias("start_page"))
 
 
+def first_pages(worklist: DataFrame) -> DataFrame:
+    """The page that each day of a worklist begins with; pages count from 1."""
+    return worklist.where(F.col("start_page") >= 1).groupBy("day").agg(F.min("start_page").alias("start_page"))
+
+
 def from_start_page(pages: DataFrame, worklist: DataFrame) -> DataFrame:
-    """Pages of worklist days, from each day's ``start_page`` on (the lowest if listed twice)."""
-    starts = worklist.groupBy("day").agg(F.min("start_page").alias("start_page"))
-    joined = pages.drop("start_page").join(F.broadcast(starts), "day")
+    """Pages of worklist days, from each day's ``start_page`` on (the lowest if listed twice).
+
+    Pages stored by ``month`` are joined by it as well, so that the scan reads the worklist's months only.
+    """
+    starts = first_pages(worklist)
+    keys = ["day"]
+    if "month" in pages.columns:
+        # Spark prunes a scan only by tables that a comparison has narrowed; this one holds for every day there is.
+        some = starts.where(F.col("day") >= F.lit(FIRST_DAY).cast("date"))
+        starts, keys = some.withColumn("month", F.trunc("day", "MM")), ["month", "day"]
+    joined = pages.drop("start_page").join(F.broadcast(starts), keys)
     return joined.where(F.col("page") >= F.col("start_page"))
 
 

@@ -104,6 +104,9 @@ full_ts as (select k.o_orderstatus, s.period_end, ts.v
     cross join {spine('D', "'1994-12-20'", "'2001-08-10'")} s
     left join ts on ts.o_orderstatus = k.o_orderstatus and ts.period_end = s.period_end)
 """
+SQL["sketched_medians"] = """
+with both_cats as (select o_orderpriority as category, o_orderdate from orders union all select 'all', o_orderdate from orders)
+select category, last_day(o_orderdate::date) as period_end, count(*) as n, true as near_the_middle from both_cats group by 1, 2"""
 SQL["spine_reindex"] = _BOUNDED + "select o_orderstatus, period_end, v as o_totalprice_mean from full_ts"
 SQL["ffill"] = _BOUNDED + """select o_orderstatus, period_end,
     last_value(v ignore nulls) over (partition by o_orderstatus order by period_end) as o_totalprice_mean from full_ts"""
@@ -345,6 +348,12 @@ SQL["counts_with_seed"] = SQL["sentiment_counts"]
 SQL["clean_articles"] = f"""
 with {_SCORED}, wide as (select doc_id, {_WIDE_POLARITY} from results group by 1)
 select wide.*, link, headline, strftime(day, '%Y-%m-%d 09:05') as date from wide join articles using (doc_id)"""
+SQL["cleaned_tsv_loaded"] = f"""
+with {_SCORED}, wide as (select doc_id, {_WIDE_POLARITY} from results group by 1)
+select wide.* exclude (doc_id), link, headline, {_CATEGORY} as inferred_category, strftime(day, '%Y-%m-%d 09:05') as date
+from wide join articles using (doc_id)"""
+SQL["observed_rejects"] = """
+select count(*) as rows, count(*) filter (where source like '%7') as rejected, 0::bigint as failed from documents"""
 SQL["rejected_dates"] = """
 select count(*) filter (where source like '%7') as rejected, count(*) as rows from documents"""
 
@@ -445,6 +454,13 @@ from pages where page_id % 2 = 1 and regexp_extract(url, '^[^:]*://[^/?#]*([^?#]
 SQL["dataset_statistics"] = f"""
 with {_ARTICLES} select count(*) as articles, count(distinct date_api) as days,
     count(distinct link) as unique_articles from articles"""
+SQL["statistics_by_batches"] = f"""
+with {_ARTICLES}, first_batch as (select link, min(doc_id % 4) as batch from articles group by 1),
+per_batch as (select batch, count(*) as n from first_batch group by 1)
+select count(*) as articles, count(distinct date_api) as days, count(distinct link) as unique_articles,
+    (select string_agg(n::varchar, ',' order by batch) from per_batch) as new_links from articles"""
+SQL["sorted_tsv"] = f"""
+with {_ARTICLES} select date_api, page_api::bigint as page_api, link, true as in_order from articles"""
 SQL["sorted_articles"] = f"with {_ARTICLES} select doc_id, date_api, link from articles order by date_api, page_api, link"
 SQL["rows_after_offset"] = f"""
 with {_ARTICLES} select doc_id, date_api, link from articles order by date_api, doc_id offset 150"""
@@ -493,14 +509,14 @@ teasers as (select doc_id, day, i::bigint as position, strftime(day, '%Y-%m-%d')
 SQL["archive_teasers"] = f"with {_TEASERS} select teasers.* exclude (day) from teasers"
 
 
-def walked(starts: str) -> str:
+def walked(starts: str, begin: str = "", more: str = "") -> str:
     """Teasers that a run reaches which begins each day of ``starts(day, first)`` at that page."""
-    return f"""
+    return f"""{begin}
 begun as (select p.*, first from pages_in p join ({starts}) using (day) where page >= first),
 met as (select * from begun b where not exists (select 1 from begun g where g.day = b.day and g.page <= b.page and g.bare)
     and page - first + 1 = (select count(distinct g.page) from begun g where g.day = b.day and g.page <= b.page)),
 cuts as (select last_day(day) as month, min(day) as cut from met where summary group by 1)
-select t.* exclude (doc_id, day, position) from teasers t join met using (doc_id) left join cuts on month = last_day(t.day)
+select {more}t.* exclude (doc_id, day, position) from teasers t join met using (doc_id) left join cuts on month = last_day(t.day)
 where cut is null or t.day <= cut"""
 
 
@@ -510,6 +526,15 @@ SQL["collect_after_listings"] = f"with {_TEASERS}, " + walked(
     "unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as later "
     "from pages_in where doc_id % 290 = 145) group by 1"
 )
+SQL["recollected_months"] = f"""
+with {_TEASERS},
+work as (select later as day, min(case when later = day then page else 1 end) as first from (select day, page,
+    unnest(generate_series(day::timestamp, last_day(day)::timestamp, interval 1 day))::date as later
+    from pages_in where doc_id % 290 = 145) group by 1),
+earlier as ({walked("select distinct day, 1 as first from pages_in where day <= date '2024-01-20'", "with ", "t.day as old_day, ")}),
+later as ({walked("select day, first from work", "with ")})
+select e.* exclude (old_day) from earlier e left join work w on old_day = w.day where first is null or page_api < first
+union all select * from later"""
 SQL["streamed_listings"] = SQL["streamed_listings_split"] = SQL["collect_listings"]
 SQL["monthly_summary_flag"] = f"""
 with {_PAGES} select day, page, summary as monthly_summary, error,

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from zeitton.functions import dates, html as markup, polarity, sentiment, text as words
 from zeitton.functions.category import infer_category
-from zeitton.operators import articles, calendar, correlogram, dataset, listings, series
+from zeitton.operators import articles, calendar, correlogram, dataset, listings, series, sketches
 from zeitton.operators.scoring import (
     LexiconScorer,
     ModelScorer,
@@ -22,7 +22,7 @@ from zeitton.operators.scoring import (
 )
 from zeitton.plans import inputs, jobs
 from zeitton.plans.inputs import NEGATIVE, POSITIVE, table, texts
-from zeitton.schemas import CLASSES, FIELDS
+from zeitton.schemas import CLASSES, FIELDS, LISTING
 from zeitton.session import run_folder
 from zeitton.sources import articles as article_files, links, pages
 from zeitton.streaming import jobs as streams
@@ -583,6 +583,72 @@ def parquet_sink(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", "date_api", "link", "articleBody")
 
 
+@query
+def sorted_tsv(spark, sf_dir):
+    """All articles saved as tab-separated text in order of their days, read back, with the order found in the files."""
+    path = f"{run_folder(spark, 'articles')}.csv"
+    article_files.save_articles(inputs.articles(spark, sf_dir).drop("doc_id"), path)
+    stored = article_files.read_tsv(spark, path).select("date_api", big("page_api"), "link", F.col("_metadata.file_name").alias("file"))
+    in_file = Window.partitionBy("file").orderBy("at")
+    before = F.lag("date_api").over(in_file)
+    rows = stored.withColumn("at", F.monotonically_increasing_id()).withColumn("in_order", F.coalesce(before <= F.col("date_api"), F.lit(True)))
+    return rows.select("date_api", "page_api", "link", "in_order")
+
+
+@query
+def cleaned_tsv_loaded(spark, sf_dir):
+    """Cleaned articles saved as tab-separated text, then loaded with parsed dates and categories."""
+    path = run_folder(spark, "cleaned-tsv")
+    article_files.write_tsv(jobs.clean(_scored(spark, sf_dir)).drop("doc_id"), path)
+    loaded = jobs.load_cleaned(spark, path, "date")
+    return loaded.select(
+        "link", "headline", "inferred_category", F.date_format("date", "yyyy-MM-dd HH:mm").alias("date"),
+        *(r6(f"{f}_polarity").alias(f"{f}_polarity") for f in FIELDS),
+    )
+
+
+@query
+def observed_rejects(spark, sf_dir):
+    """Rejected dates counted while the cleaned articles are written."""
+    late = F.when(F.col("description").endswith("7"), F.lit("unbekannt")).otherwise(F.col("date"))
+    counts = jobs.clean_and_save(_scored(spark, sf_dir).withColumn("date", late), run_folder(spark, "cleaned"))
+    one = spark.range(1)
+    return one.select(*(F.lit(counts[name]).cast("bigint").alias(name) for name in ("rows", "rejected", "failed")))
+
+
+@query
+def statistics_by_batches(spark, sf_dir):
+    """Dataset statistics carried on batch by batch, with the links that each batch was the first to bring."""
+    path, listing = run_folder(spark, "statistics"), _listing(spark, sf_dir).select("doc_id", "date_api", "link")
+    for batch in range(4):
+        sketches.append_statistics(listing.where(F.col("doc_id") % 4 == batch), path, batch)
+    new = sketches.statistics_rows(spark, path).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch_id", "new_links"))), lambda b: b["new_links"].cast("string")), ",").alias("new_links"))
+    return sketches.statistics_so_far(spark, path).crossJoin(new)  # one row each
+
+
+@query
+def sketched_medians(spark, sf_dir):
+    """Medians per month and category from stored daily sketches, and whether their rank in the month is within a hundredth of the middle."""
+    path = run_folder(spark, "sketches")
+    orders = table(spark, sf_dir, "orders").withColumn("inferred_category", F.col("o_orderpriority"))
+    daily = sketches.day_sketches(orders, ORDER_DAY, [PRICE])
+    for batch in range(2):  # two batches that share all days
+        article_files.append_batch(sketches.day_sketches(orders.where(F.col("o_orderkey") % 2 == batch), ORDER_DAY, [PRICE]), path, batch)
+    stored = spark.read.schema(daily.schema).parquet(path)
+    monthly = sketches.rolled_up(stored, "M").select(
+        "category", "period_end", F.kll_sketch_get_n_double("sketch").alias("n"), sketches.quantile(F.col("sketch")).alias("median")
+    )
+    rows = orders.select(
+        F.explode(F.array("inferred_category", F.lit(series.ALL))).alias("category"), dates.period_end(F.col(ORDER_DAY), "M").alias("period_end"), F.col(PRICE).alias("x")
+    )
+    ranks = rows.join(monthly, ["category", "period_end"]).groupBy("category", "period_end", "n").agg(
+        F.count_if(F.col("x") < F.col("median")).alias("below"), F.count_if(F.col("x") <= F.col("median")).alias("upto"), F.count(F.lit(1)).alias("all")
+    )
+    slack = 0.01 * F.col("all") + 1
+    near = (F.col("below") <= F.col("all") / 2 + slack) & (F.col("upto") >= F.col("all") / 2 - slack)
+    return ranks.select("category", "period_end", big("n"), near.alias("near_the_middle"))
+
+
 @query
 def page_keys_from_url(spark, sf_dir):
     """Keys of archive pages and of article pages from urls; every second page gets the url of an archive page."""
@@ -691,6 +757,21 @@ def collect_after_listings(spark, sf_dir):
     return out.withColumn("page_api", big("page_api"))
 
 
+@query
+def recollected_months(spark, sf_dir):
+    """An archive stored by month, collected, then some failed days collected again, twice, into the stored months."""
+    archive, out = run_folder(spark, "archive"), run_folder(spark, "listings")
+    held = inputs.archive_pages(spark, sf_dir)
+    pages.store_archive(held.select("day", "page", "html"), archive)
+    stored = pages.read_archive(spark, archive)
+    first = F.col("day") <= F.date_add(F.lit("2024-01-01").cast("date"), 19)
+    jobs.save_months(jobs.collect(stored.where(first)), out)
+    failed = held.where(F.col("doc_id") % 290 == 145).select("day", "page")
+    for _ in range(2):
+        jobs.recollect(spark, out, stored, failed)
+    return spark.read.schema(LISTING).parquet(out).drop("month").withColumn("page_api", big("page_api"))
+
+
 @query
 def monthly_summary_flag(spark, sf_dir):
     flags = listings.page_status(inputs.archive_pages(spark, sf_dir))
@@ -755,7 +836,7 @@ def streamed_counts(spark, sf_dir):
     scored = score_fields(_document_stream(spark, sf_dir), LEXICON, ["text"])
     folder = run_folder(spark, "streamed-counts")
     streams.count_stream(scored, f"{folder}/out", f"{folder}/state", ["text"]).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return streams.running_counts(spark, f"{folder}/out")
 
 
 def _streamed_listings(spark: SparkSession, landed: DataFrame, max_files: int | None = None) -> DataFrame:

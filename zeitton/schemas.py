@@ -12,6 +12,10 @@ def table_of(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+def extended(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
+
+
 RAW_PAGE = table_of(page_id=LONG, url=TEXT, html=TEXT)
 ARCHIVE_PAGE = table_of(day=DAY, page=INT, html=TEXT)
 ARTICLE_PAGE = table_of(link=TEXT, html=TEXT)
@@ -41,5 +45,8 @@ ARTICLE_POLARITY = T.StructType(
     + [T.StructField(f"{field}_polarity", NUMBER) for field in FIELDS]
 )
 
+# One row per batch of articles: counts, and sketches of distinct days and links.
+STATISTICS = table_of(articles=LONG, days=T.BinaryType(), links=T.BinaryType(), new_links=LONG, batch_id=LONG)
+
 PROBABILITIES = table_of(**{c: NUMBER for c in CLASSES})
 CHUNK_SCORE = table_of(label=TEXT, **{c: NUMBER for c in CLASSES})

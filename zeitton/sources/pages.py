@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from zeitton.functions.dates import iso_day
-from zeitton.schemas import RAW_PAGE
+from zeitton.schemas import ARCHIVE_PAGE, DAY, RAW_PAGE, extended
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -21,6 +21,17 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def store_archive(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Archive pages as a table in parts of a month; a month with very many pages is several files, each of some days."""
+    by_month = pages.withColumn("month", F.trunc("day", "MM"))
+    by_month.repartitionByRange("month", "day", "page").write.mode(mode).partitionBy("month").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Stored archive pages with their ``month``, by which readers of some days skip the files of other months."""
+    return spark.read.schema(extended(ARCHIVE_PAGE, "month", DAY)).parquet(path)
+
+
 def article_pages(pages: DataFrame) -> DataFrame:
     """Pages as ``(link, html)`` with the path of the URL as the link."""
     link = F.try_parse_url("url", F.lit("PATH"))

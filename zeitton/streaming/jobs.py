@@ -12,7 +12,7 @@ from zeitton.operators.listings import listing_rows, page_facts
 from zeitton.operators.scoring import Scorer, category_counts, score_fields
 from zeitton.plans.jobs import reached
 from zeitton.schemas import FIELDS
-from zeitton.sources.articles import append_batch
+from zeitton.sources.articles import append_batch, newest_batch
 
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
@@ -73,13 +73,14 @@ def collected(spark: SparkSession, out: str) -> DataFrame:
 def count_stream(
     scored: DataFrame, out: str, checkpoint: str, fields: Sequence[str] = FIELDS
 ) -> StreamingQuery:
-    """Running counts per field and class, the whole small table rewritten after every batch.
+    """Running counts per field and class, the whole small table written anew after every batch.
 
-    State is one number per field and class.
+    State is one number per field and class. Every batch has a folder of its own, so ``running_counts`` never
+    meets a table that is being replaced.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(out)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch.coalesce(1), out, batch_id)
 
     return (
         category_counts(scored, fields)
@@ -89,3 +90,8 @@ def count_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def running_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts after the last finished batch of ``count_stream``."""
+    return spark.read.parquet(f"{out}/batch_id={newest_batch(spark, out)}")
