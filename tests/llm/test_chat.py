@@ -1,6 +1,6 @@
 """Chat logs folded, rendered and read back."""
 
-from zeitton.llm.chat import digests, fold_events, log_of_rows, read_back, render
+from zeitton.llm.chat import digests, fold_events, log_of_rows, read_back, render, streamed_log
 
 LOG = "conv_id bigint, seq bigint, kind string, turn bigint, role string, text string"
 ROWS = "conv_id bigint, turn bigint, role string, text string, kept string"
@@ -38,3 +38,16 @@ def test_control_strings_come_back(spark):
     for r in stored.values():
         assert r.spans[-1].text_end + len("<|end|>") == len(r.formatted) == got[r.conv_id].formatted_chars
     assert digests(read_back(shown)).count() == 3
+
+
+def test_streamed_log_folds_back_to_its_turns(spark):
+    """Drafts, turns taken back and halves of texts leave nothing behind, at the end of a conversation either."""
+    texts = ["q", "an answer", None, "", "é🎉x", "x", "same", "same", "end"]
+    rows = [(c, i, "assistant" if (i + c) % 2 else "user", t, "") for c in (1, 2) for i, t in enumerate(texts)]
+    rows += [(3, 0, "assistant", "a", ""), (3, 0, "assistant", "b", ""), (4, 0, None, "p", ""), (None, None, "assistant", "r", "")]
+    df = spark.createDataFrame(rows, ROWS)
+    log = streamed_log(df)
+    assert {r.kind for r in log.collect()} == {"message", "edit", "regenerate", "delta"}
+    want = sorted(map(str, fold_events(log_of_rows(df)).collect()))
+    assert sorted(map(str, fold_events(log).collect())) == want and len(want) == len(rows)
+    assert streamed_log(df.limit(0)).collect() == []

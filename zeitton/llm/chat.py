@@ -138,6 +138,32 @@ def log_of_rows(rows: DataFrame) -> DataFrame:
     ).withColumn("turn", F.col("seq"))
 
 
+def streamed_log(rows: DataFrame) -> DataFrame:
+    """Stored turns as the log of a chat that led to them.
+
+    A turn of the trained role was streamed in deltas, gone on from, and regenerated: a first draft, a further turn that the
+    regeneration takes back, and the deltas of the text that stayed. Any other turn was sent as a draft and edited.
+    Folding gives the turns of ``log_of_rows`` again.
+    """
+
+    def event(at: int, kind: str, text: Column, turn: int = 0, role: Column = F.col("role")) -> Column:
+        return F.struct(
+            (F.col("seq") * 8 + at).alias("seq"), F.lit(kind).alias("kind"), (F.col("turn") + turn).alias("turn"),
+            role.alias("role"), text.alias("text"),
+        )
+
+    text, half = F.col("text"), F.floor(F.length(whole("text")) / 2).cast("int")
+    begin, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    streamed = F.array(
+        event(0, "delta", F.concat(F.lit("draft of "), begin)),
+        event(1, "message", F.lit("taken back"), turn=1, role=F.lit("user")),
+        event(2, "regenerate", F.lit("")), event(3, "delta", begin), event(4, "delta", rest),
+    )
+    edited = F.array(event(0, "message", F.lit("draft")), event(1, "edit", text))
+    events = F.explode(F.when(whole("role") == TRAINED_ROLE, streamed).otherwise(edited))
+    return log_of_rows(rows).select("conv_id", events.alias("e")).select("conv_id", "e.*")
+
+
 def digests(read: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

@@ -80,11 +80,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    added = spark.createDataFrame(
-        [(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id bigint, turn bigint, role string, text string"
+    """Turns as a log of drafts, deltas, edits and regenerations, folded, rendered and read back."""
+    added = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ADDED).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    messages = chat.fold_events(chat.log_of_rows(rows))
+    messages = chat.fold_events(chat.streamed_log(rows))
     return chat.digests(chat.read_back(chat.render(messages)))
 
 
