@@ -95,9 +95,11 @@ class WordTokenizer:
         """Parts of words as the model takes them; plain ones need no more than their lower case."""
         out = [[] if not w.isascii() else [w.lower()] if w.isalpha() else self.parts(w.lower()) for w in words]
         others = [i for i, w in enumerate(words) if not w.isascii()]
-        shown = self.tokenizer.normalizer.normalize_str(" ".join(words[i] for i in others)).split(" ")
-        for i, w in zip(others, shown if others else [], strict=True):
-            out[i] = [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(w)]
+        normalizer, pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        for at in range(0, len(others), 1000):  # the library keeps some fifty bytes per character of a call
+            some = others[at : at + 1000]
+            for i, w in zip(some, normalizer.normalize_str(" ".join(words[i] for i in some)).split(" "), strict=True):
+                out[i] = [part for part, _ in pre_tokenizer.pre_tokenize_str(w)]
         return out
 
     def _encode(self, words: list[str]) -> None:
