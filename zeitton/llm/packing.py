@@ -7,15 +7,12 @@ first-fit decreasing; a tournament tree over the bins' free space finds the firs
 
 from __future__ import annotations
 
-import hashlib
 import os
 import re
-import sys
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from pathlib import Path
-from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -27,10 +24,9 @@ from zeitton.llm.text import whole
 from zeitton.session import stage
 
 GROUP_PIECES = 20_000  # pieces packed together, about
-BATCH_BYTES = 6_000_000  # texts tokenised together
-CACHED_WORDS = 150_000  # words per generation of the cache; two are held by every worker process, task after task
+BATCH_BYTES = 8_000_000  # texts tokenised together
+CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held during a task
 END_ID = 2
-HOLDER = "zeitton_worker"  # a module of each worker process that outlives its tasks
 
 # The parts of an ASCII word in lower case, as the tokenizer splits it.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
@@ -78,15 +74,6 @@ class WordTokenizer:
         self.parts, self.odd = re.compile(PARTS).findall, re.compile(ODD).search
         self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2)
 
-    @staticmethod
-    def of(definition: str) -> WordTokenizer:
-        """The tokenizer of this worker process: the tasks that it runs one after another share it and its caches."""
-        holder = sys.modules.setdefault(HOLDER, ModuleType(HOLDER))
-        key = hashlib.sha256(definition.encode()).hexdigest()
-        if getattr(holder, "key", None) != key:
-            holder.tokenizer, holder.key = WordTokenizer(definition), key
-        return holder.tokenizer
-
     def _split(self, words: list[str]) -> list[list[str]]:
         """Parts of words as the model takes them; plain ones need no more than their lower case."""
         out = [[] if not w.isascii() else [w.lower()] if w.isalpha() else self.parts(w.lower()) for w in words]
@@ -146,7 +133,7 @@ def cut_pieces(df: DataFrame, definition: str, id_col: str, text_col: str, lengt
     """One row per piece: each document's ids and the end id, cut every ``length`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer.of(definition)
+        tokenizer = WordTokenizer(definition)
         for batch in batches:
             for at, texts in batches_of(batch.column(1), BATCH_BYTES):
                 ids, ends = tokenizer.ids(texts)
