@@ -70,6 +70,16 @@ def test_parts_are_those_of_the_tokenizer():
         begin = end
 
 
+def test_special_tokens_are_told_by_their_case():
+    """Texts are lower-cased together only where that cannot make a special token."""
+    definition = open(PATH, encoding="utf-8").read()
+    for texts in (["A<|endoftext|>B", "<|ENDOFTEXT|> Ça", "PLAIN"], ["PLAIN É\u0301 A\u0301 İ K ΑΣ", "Don'T 'S"]):
+        own, whole = packing.WordTokenizer(definition), Tokenizer.from_file(PATH)
+        ids, ends = own.ids(pa.array(texts))
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and np.diff(ends, prepend=0).tolist() == list(map(len, want))
+
+
 def test_caches_drop_old_words(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 20)
     own, whole = packing.WordTokenizer(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)

@@ -76,8 +76,15 @@ class WordTokenizer:
 
     def _split(self, words: list[str]) -> list[list[str]]:
         """Parts of words as the model takes them; plain ones need no more than their lower case."""
-        out = [[] if not w.isascii() else [w.lower()] if w.isalpha() else self.parts(w.lower()) for w in words]
-        others = [i for i, w in enumerate(words) if not w.isascii()]
+        out, others, parts = [], [], self.parts
+        for i, w in enumerate(words):
+            if not w.isascii():
+                others.append(i)
+                out.append([])
+            elif w.isalpha():
+                out.append([w.lower()])
+            else:
+                out.append(parts(w.lower()))
         normalizer, pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         for at in range(0, len(others), 1000):  # the library keeps some fifty bytes per character of a call
             some = others[at : at + 1000]
@@ -100,6 +107,8 @@ class WordTokenizer:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids up to the end of each text."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
+            texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
