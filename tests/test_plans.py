@@ -102,3 +102,19 @@ def test_backfill_reads_the_months_of_its_worklist(spark, tmp_path):
     assert [r.html for r in found.collect()] == ["<p>5"]
     bounded = plan(jobs.pages_between(stored, "2024-03-01", "2024-03-31"))
     assert "PartitionFilters: [isnotnull(month" in bounded and "month#" in bounded
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(f"/{i}", i) for i in range(50)], "link string, n int")
+    dataset.save_bucketed(rows, "plan_rows", f"{tmp_path}/rows", buckets=4)
+    dataset.save_bucketed(rows.where("n < 30").select("link"), "plan_done", f"{tmp_path}/done", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        todo = dataset.not_yet_done_stored(spark, "plan_rows", "plan_done")
+        text = plan(todo)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert sorted(r.n for r in todo.collect()) == list(range(30, 50))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table plan_rows")
+        spark.sql("drop table plan_done")

@@ -1,4 +1,6 @@
+import functools
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +14,9 @@ from zeitton.operators.scoring import (
     chunk_scores,
     merged_counts,
     score_fields,
+    score_once,
 )
+from zeitton.plans.inputs import WordModel
 from zeitton.schemas import CLASSES, FIELDS
 from tests.test_text import chunk_twin
 
@@ -124,3 +128,44 @@ def test_counts(spark):
         ("headline", "positive"): 2, ("short_headline", "neutral"): 1, ("short_text", "neutral"): 1,
         ("short_text", "negative"): 1, ("articleBody", "neutral"): 1,
     }
+
+
+class CountingModel(WordModel):
+    """Writes down every text it is given, one file per task."""
+
+    def __init__(self, folder):
+        super().__init__(("gut",), ("schlecht",))
+        self.folder = folder
+
+    def predict_sentiment(self, texts, output_probabilities=True):
+        import os
+        import uuid
+
+        with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as file:
+            file.write("\0".join(texts))
+        if "broken" in texts:
+            raise ValueError("broken")
+        return super().predict_sentiment(texts, output_probabilities)
+
+
+def test_every_chunk_is_scored_once_over_runs(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    scorer = ModelScorer(functools.partial(CountingModel, str(seen)))
+    rows = [(i, ["gut", "schlecht", "gut gut", None, " ", "same " * 250, "broken"][i % 7], "same " * 200) for i in range(40)]
+    rows += [(100 + i, f"gut {i}" if i % 2 else None, f"schlecht {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, headline string, articleBody string").repartition(3)
+    store, fields = f"{tmp_path}/store", ("headline", "short_text", "articleBody")
+    first = score_once(df.where("doc_id < 20"), scorer, store, fields)
+    second = score_once(df.where("doc_id >= 20"), scorer, store, fields)
+    got = first.unionByName(second).collect()
+    want = score_fields(df, ModelScorer(functools.partial(CountingModel, str(tmp_path))), fields).collect()
+    names = [f"{f}_sentiment_{k}" for f in fields for k in ("category", "score")]
+    assert sorted((r.doc_id, *(r[n] for n in names)) for r in got) == sorted((r.doc_id, *(r[n] for n in names)) for r in want)
+    texts = Counter(t for file in seen.iterdir() for t in file.read_text().split("\0"))
+    whole = [t for t in texts if t != "broken"]
+    # A batch that holds a broken text is tried again text by text, in the run that met it.
+    assert len(whole) == 6 + 9 and all(texts[t] <= 2 for t in whole)
+    seen_before = sum(texts.values())
+    score_once(df.where("headline is null or headline <> 'broken'"), scorer, store, fields).collect()
+    assert sum(Counter(t for file in seen.iterdir() for t in file.read_text().split("\0")).values()) == seen_before

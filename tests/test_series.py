@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from zeitton.operators import correlogram, median, series
+from zeitton.operators import correlogram, median, segments, series
 from zeitton.operators.median import exact_median
 
 TOY = [
@@ -272,3 +272,18 @@ def test_lag_pairs_match_lag_sums(spark):
     for lag, part in pairs.groupby("lag"):
         assert len(part) == 50 - lag
         assert ((part.x - mean) * (part.lagged - mean)).sum() == pytest.approx(sums[lag])
+
+
+@pytest.mark.parametrize("cut", ["1", "year(period_end)", "month(period_end) + 12 * year(period_end)", "floor(n / 3)", "n"])
+def test_segments_of_any_cut_give_the_acf(spark, cut):
+    """Summaries of pieces, single values included, united in order: equal to the correlogram of the whole series."""
+    rng = np.random.default_rng(11)
+    rows = [(s, n, dt.date(2020, 1, 1) + dt.timedelta(days=9 * n), v) for s, size in (("a", 90), ("b", 7), ("c", 1)) for n, v in enumerate(1000 + rng.normal(0, 30, size).cumsum())]
+    rows += [("d", n, dt.date(2020, 1, 1) + dt.timedelta(days=n), 5.0) for n in range(9)] + [("a", 999, dt.date(2019, 1, 1), None)]
+    df = spark.createDataFrame([(s, n, d, None if v is None else float(v)) for s, n, d, v in rows], "k string, n int, period_end date, value double")
+    pieces = segments.summaries(df.withColumn("segment", F.expr(cut)), ["k"], "segment", 12, shift=900.0)
+    got = {(r.k, r.lag): r.acf for r in segments.acf_of_summary(segments.whole_series(pieces, ["k"], 12), ["k"]).collect()}
+    want = {(r.k, r.lag): r.acf for r in correlogram.acf(df, ["k"], 12).collect()}
+    assert got.keys() == want.keys()
+    for key, value in want.items():
+        assert got[key] == (None if value is None else pytest.approx(value, abs=1e-9)), key

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from zeitton.operators.skew import HOT_ROWS, join_split
 from zeitton.session import stage
@@ -69,6 +69,20 @@ def not_yet_done(df: DataFrame, done: DataFrame, key: str = "link", hot_rows: in
     return todo.select(*df.columns).unionByName(df.where(F.col(key).isNull()))
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str = "link", buckets: int = 200) -> None:
+    """Store as a table whose files are dealt and sorted by ``key``, for joins that shuffle neither side."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+
+
+def not_yet_done_stored(spark: SparkSession, table: str, done: str, key: str = "link") -> DataFrame:
+    """Rows of a stored table whose key is not in ``done``, both saved by ``save_bucketed`` with as many buckets.
+
+    Buckets meet where they are read. A key of very many rows makes a large bucket, for which ``not_yet_done`` is the way.
+    Rows without a key are never done.
+    """
+    return spark.table(table).join(spark.table(done).select(key), key, "left_anti").select(*spark.table(table).columns)
+
+
 def after_first(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
     """Rows after the first ``n`` in the order of ``key``, which must identify a row.
 

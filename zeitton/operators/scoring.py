@@ -12,11 +12,13 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from zeitton.functions.sentiment import combine, lexicon_score, score_json
 from zeitton.functions.text import CHUNK_WORDS, bind, chunks, has_text, once
+from zeitton.operators.skew import join_split
 from zeitton.schemas import CHUNK_SCORE, CLASSES, FIELDS
+from zeitton.session import stage
 
 # The batch functions below travel to the Python workers by value, so that executors need no copy
 # of this package.
@@ -152,6 +154,49 @@ def score_fields(
     return result.withColumns(columns).drop("__scored")
 
 
+def score_once(df: DataFrame, scorer: Scorer, store: str, fields: Sequence[str] = FIELDS, size: int = CHUNK_WORDS) -> DataFrame:
+    """``score_fields`` with every distinct chunk scored once, over all runs that share the folder ``store``.
+
+    Chunks are known by a 128-bit hash. Those without a stored score go to the scorer, sorted by length so that a batch holds texts of
+    a kind, and their scores are added to the store; chunks that fail are tried again by the next run. The scores
+    then meet the rows' hashes, a chunk that very many rows share in parts, and the rows in one last join.
+    """
+    spark = df.sparkSession
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "to-score")
+    none = F.array().cast("array<string>")
+    there = [f for f in fields if f in df.columns]
+    parts = F.array(*(F.when(has_text(F.col(f)), chunks(F.col(f), size)).otherwise(none) for f in there))
+    cut = rows.select("__row", F.posexplode(parts).alias("field", "__chunks")).select("__row", "field", F.posexplode("__chunks").alias("no", "chunk"))
+    key = F.struct(*(F.xxhash64(F.lit(seed), "chunk").alias(f"h{seed}") for seed in (1, 2)))
+    pieces = stage(cut.withColumn("key", key), "chunks")
+    known = stored_scores(spark, store)
+    new = pieces.select("key", "chunk").join(known.select("key"), "key", "left_anti").groupBy("key").agg(F.min("chunk").alias("chunk"))
+    scored = new.repartition("key").sortWithinPartitions(F.length("chunk")).withColumn("score", F.get(F.get(scorer.score(F.array(F.array("chunk"))), 0), 0))
+    found = once(scored.select("key", "score"), "__s", F.col("score")).where(F.col("__s.label").isNotNull())
+    fresh = stage(found.select("key", F.col("__s").alias("score")), "new-scores")
+    met = join_split(pieces.select("__row", "field", "no", "key"), stage(known.unionByName(fresh), "scores"), "key", "left")
+    fresh.write.mode("append").parquet(store)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("no", "score"))), lambda s: s["score"])
+    texts = met.groupBy("__row", "field").agg(in_order.alias("scores"))
+    empty = F.array().cast(NESTED_SCORES.elementType)
+    by_row = texts.groupBy("__row").agg(*(F.max(F.when(F.col("field") == i, F.col("scores"))).alias(f"__{f}") for i, f in enumerate(there)))
+    joined = rows.join(by_row, "__row", "left").drop("__row")
+    columns = {}
+    for f in fields:
+        own = combine(F.coalesce(F.col(f"__{f}"), empty) if f in there else empty)
+        columns |= {f"{f}_sentiment_category": own["category"], f"{f}_sentiment_score": score_json(own["score"])}
+    return joined.withColumns(columns).drop(*(f"__{f}" for f in there))
+
+
+def stored_scores(spark: SparkSession, store: str) -> DataFrame:
+    """One score per chunk of a store, which two runs at a time may both have scored."""
+    schema = T.StructType([T.StructField("key", T.StructType([T.StructField(h, T.LongType()) for h in ("h1", "h2")])), T.StructField("score", CHUNK_SCORE)])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(store).groupBy("key").agg(F.min("score").alias("score"))
+
+
 def chunk_scores(df: DataFrame, key: str, text: str, scorer: Scorer, size: int = CHUNK_WORDS) -> DataFrame:
     """One row per chunk: key, chunk number from 0, chunk text and its score."""
     parts = F.when(has_text(F.col(text)), chunks(F.col(text), size))

@@ -56,8 +56,8 @@ def append_statistics(df: DataFrame, path: str, batch_id: int) -> None:
         F.theta_sketch_agg("link", LINK_BITS).alias("links"),
     )
     seen = statistics_rows(spark, path).where(F.col("batch_id") < batch_id).agg(F.theta_union_agg("links", LINK_BITS).alias("seen"))
-    new = F.coalesce(F.theta_sketch_estimate(F.theta_difference("links", "seen")), F.theta_sketch_estimate("links"))
-    append_batch(own.crossJoin(seen).select("articles", "days", "links", new.alias("new_links")), path, batch_id)  # one row each
+    fresh = F.theta_sketch_estimate(F.theta_difference(F.col("links"), seen.scalar()))
+    append_batch(own.withColumn("new_links", F.coalesce(fresh, F.theta_sketch_estimate("links"))), path, batch_id)
 
 
 def statistics_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -168,6 +168,7 @@ with {_WEEKLY} {centred(40)}
 zero as (select k, s as s0 from sums where lag = 0)
 select k as o_orderstatus, lag, {r6('s / s0')} as acf from sums join zero using (k)"""
 
+SQL["acf_of_segments"] = SQL["acf"]
 SQL["pacf"] = f"""
 with recursive {_WEEKLY} {centred(40)} {partials(40)}
 select k as o_orderstatus, lag::bigint as lag, {r6('a')} as pacf from found"""
@@ -322,6 +323,7 @@ select doc_id, {r6('positive - negative')} as polarity from ({scored_texts('docu
 SQL["streamed_scores"] = f"""
 select doc_id, {_STRONGEST} as category, {r6('positive - negative')} as polarity
 from ({scored_texts('documents', 'doc_id', 'text')})"""
+SQL["scored_once"] = SQL["streamed_scores"]
 SQL["streamed_counts"] = f"""
 select 'text' as field, {_STRONGEST} as category, count(*) as n
 from ({scored_texts('documents', 'doc_id', 'text')}) group by 1, 2"""
@@ -466,6 +468,7 @@ SQL["rows_after_offset"] = f"""
 with {_ARTICLES} select doc_id, date_api, link from articles order by date_api, doc_id offset 150"""
 SQL["resume_antijoin"] = """
 select doc_id, text from documents where doc_id not in (select doc_id from labels)"""
+SQL["resume_bucketed"] = SQL["resume_antijoin"]
 SQL["union_old_new"] = """
 select doc_id, lang, (select max(quality)::bigint from labels l where l.doc_id = d.doc_id) as quality from documents d"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from zeitton.functions import dates, html as markup, polarity, sentiment, text as words
 from zeitton.functions.category import infer_category
-from zeitton.operators import articles, calendar, correlogram, dataset, listings, series, sketches
+from zeitton.operators import articles, calendar, correlogram, dataset, listings, segments, series, sketches
 from zeitton.operators.scoring import (
     LexiconScorer,
     ModelScorer,
@@ -19,6 +20,7 @@ from zeitton.operators.scoring import (
     chunk_scores,
     merged_counts,
     score_fields,
+    score_once,
 )
 from zeitton.plans import inputs, jobs
 from zeitton.plans.inputs import NEGATIVE, POSITIVE, table, texts
@@ -191,6 +193,17 @@ def acf(spark, sf_dir):
     return rounded(out, "acf").withColumn("lag", big("lag"))
 
 
+@query
+def acf_of_segments(spark, sf_dir):
+    """The same ACF from stored summaries of the series' years, written in two batches."""
+    path, weekly = run_folder(spark, "segments"), _weekly(spark, sf_dir).withColumn("segment", F.year("period_end"))
+    for batch, some in enumerate((F.col("segment") % 2 == 0, F.col("segment") % 2 == 1)):
+        pieces = segments.summaries(weekly.where(some), [STATUS], "segment", 40, f"{PRICE}_mean", shift=150_000.0)
+        article_files.append_batch(pieces, path, batch)
+    whole = segments.whole_series(spark.read.parquet(path), [STATUS], 40)
+    return rounded(segments.acf_of_summary(whole, [STATUS]), "acf").withColumn("lag", big("lag"))
+
+
 @query
 def pacf(spark, sf_dir):
     out = correlogram.pacf(_weekly(spark, sf_dir), [STATUS], 40, f"{PRICE}_mean")
@@ -341,6 +354,18 @@ def model_sentiment(spark, sf_dir):
     return _one_field(texts(spark, sf_dir, "documents"), ModelScorer(inputs.WordModel))
 
 
+@query
+def scored_once(spark, sf_dir):
+    """Documents scored by a model in two runs that share their scores: equal chunks go to the model once."""
+    store, docs = run_folder(spark, "chunk-scores"), texts(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = [score_once(part, ModelScorer(inputs.WordModel), store, ["text"]) for part in (docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 > 0"))]
+    out = parts[0].unionByName(parts[1])
+    return out.select(
+        "doc_id", F.col("text_sentiment_category").alias("category"),
+        r6(polarity.json_polarity(F.col("text_sentiment_score"))).alias("polarity"),
+    )
+
+
 def _scored(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
     return score_fields(inputs.articles(spark, sf_dir), LEXICON, FIELDS, typed=typed)
 
@@ -622,8 +647,10 @@ def statistics_by_batches(spark, sf_dir):
     path, listing = run_folder(spark, "statistics"), _listing(spark, sf_dir).select("doc_id", "date_api", "link")
     for batch in range(4):
         sketches.append_statistics(listing.where(F.col("doc_id") % 4 == batch), path, batch)
-    new = sketches.statistics_rows(spark, path).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("batch_id", "new_links"))), lambda b: b["new_links"].cast("string")), ",").alias("new_links"))
-    return sketches.statistics_so_far(spark, path).crossJoin(new)  # one row each
+    rows = F.sort_array(F.collect_list(F.struct("batch_id", "new_links")))
+    shown = F.array_join(F.transform(rows, lambda b: b["new_links"].cast("string")), ",")
+    new = sketches.statistics_rows(spark, path).agg(shown.alias("new_links"))
+    return sketches.statistics_so_far(spark, path).withColumn("new_links", new.scalar())
 
 
 @query
@@ -704,6 +731,16 @@ def resume_antijoin(spark, sf_dir):
     return dataset.not_yet_done(docs, table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query
+def resume_bucketed(spark, sf_dir):
+    """The same rows from tables stored in buckets by id."""
+    name = f"run_{uuid.uuid4().hex}"
+    for part, names in (("documents", ("doc_id", "text")), ("labels", ("doc_id",))):
+        rows = table(spark, sf_dir, part).select(*names)
+        dataset.save_bucketed(rows, f"{name}_{part}", run_folder(spark, f"bucketed-{part}"), "doc_id", 8)
+    return dataset.not_yet_done_stored(spark, f"{name}_documents", f"{name}_labels", "doc_id")
+
+
 @query
 def union_old_new(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
