@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 from zeitton.operators.scoring import LexiconScorer, category_counts
-from zeitton.plans import jobs
+from zeitton.plans import jobs, queries
 from zeitton.schemas import ARTICLE_POLARITY, ARTICLE_SENTIMENT, FIELDS
 from zeitton.sources import articles as article_source
 from zeitton.sources import links as link_source
@@ -141,3 +141,18 @@ def test_all_steps_through_files(spark, tmp_path):
     assert correlogram.count() == 2
     assert jobs.date_rejects(stored).first().rejected == 0
     assert len(FIELDS) == 4
+
+
+def test_landed_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "FILE_PAGES", 5)
+    monkeypatch.setattr(queries, "run_folder", lambda spark, name: str(tmp_path / name))
+    rows = [(i, f"one {i}\ntwo {i}", "en", "web", 10) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    got = queries.streamed_listings_split(spark, str(tmp_path))
+    folder = tmp_path / "streamed-listings"
+    landed = list((folder / "in").glob("part-*.parquet"))
+    assert len(landed) > 10  # up to 20, as a file without rows may not be written
+    assert len(list((folder / "out").glob("batch_id=*"))) == 4
+    assert sorted(got.collect()) == sorted(queries.collect_listings(spark, str(tmp_path)).collect())

@@ -34,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[inputs.__name__])
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 LEXICON = LexiconScorer(POSITIVE, NEGATIVE)
+FILE_PAGES = 2_000  # pages that a landed file holds, about
 PRICE, ORDER_DAY, STATUS = "o_totalprice", "o_orderdate", "o_orderstatus"
 
 
@@ -892,6 +893,10 @@ def streamed_listings(spark, sf_dir):
 
 @query
 def streamed_listings_split(spark, sf_dir):
-    """The same pages dealt over four files that a month's pages share, read one file at a time."""
-    landed = inputs.archive_pages(spark, sf_dir).repartition(4, F.hash("doc_id")).drop("doc_id")
-    return _streamed_listings(spark, landed, 1)
+    """The same pages dealt over files that a month's pages share, a quarter of them read at a time.
+
+    Up to four times ``FILE_PAGES`` documents make four files; further ones make further files, so that no file and no task grows.
+    """
+    quarter = max(1, -(-table(spark, sf_dir, "documents").count() // (4 * FILE_PAGES)))
+    landed = inputs.archive_pages(spark, sf_dir).repartition(4 * quarter, "doc_id", "day", "page").drop("doc_id")
+    return _streamed_listings(spark, landed, quarter)
