@@ -87,3 +87,12 @@ def test_caches_drop_old_words(monkeypatch):
     for _ in range(30):
         text = " ".join(f"w{draw.randint(0, 60)}, {draw.randint(0, 9)}" for _ in range(15))
         assert own.ids(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_parts_of_different_words_are_coded_once():
+    """Words that differ in marks and digits alone have the same parts, which a batch codes and keeps once."""
+    own, whole = packing.WordTokenizer(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH)
+    text = " ".join(f"{a}{w}{i}{b}" for w in ("word", "Other") for i in range(40) for a in ("", "(") for b in ("", ",", "!"))
+    assert own.ids(pa.array([text]))[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    kept = sum(len(c.young) for c in vars(own).values() if isinstance(c, packing.Recent))
+    assert kept <= 2 + 10 + 3  # letters, digits and marks, not 480 words

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from zeitton.llm.shingles import buffers
 from zeitton.llm.text import whole
 from zeitton.session import stage
 
@@ -28,9 +29,16 @@ BATCH_BYTES = 8_000_000  # texts tokenised together
 CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held during a task
 END_ID = 2
 
-# The parts of an ASCII word in lower case, as the tokenizer splits it.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
+# The parts of a word in lower case, as the tokenizer splits it, if all that is not ASCII is letters.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\U0010ffff]+|[0-9]|[^a-z0-9\x80-\U0010ffff]+"
 ODD = r"[\s\x00-\x1f\x7f-\x9f]|<\|"
+UNCUT = r"[^\x21-\x7e]|['<]"  # a word with one of these is not cut by the classes of its bytes
+NO_LETTER = "\n"
+
+DIGIT, UNCUT_KIND = 2, 3
+KINDS = np.array(
+    [UNCUT_KIND if p > 127 or re.match(UNCUT, chr(p)) else DIGIT if chr(p).isdigit() else int(chr(p).isalpha()) for p in range(256)], np.uint8
+)
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 PACKED = PIECE + ", sequence_id bigint, offset bigint"
@@ -56,14 +64,31 @@ class Recent:
         return unknown
 
 
+class Letters(dict):
+    """For ``str.translate``: characters as the pre-tokenizer writes them, if it takes them for letters, else ``NO_LETTER``.
+
+    ASCII characters stay as they are.
+    """
+
+    def __init__(self, pre_tokenizer):
+        super().__init__((p, chr(p)) for p in range(128))
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, point: int) -> str:
+        found = self.pre_tokenizer.pre_tokenize_str(f"a{chr(point)}a")  # a letter does not part its neighbours
+        self[point] = found[0][0][1:-1] if len(found) == 1 else NO_LETTER
+        return self[point]
+
+
 class WordTokenizer:
-    """Token ids of texts, word by word.
+    """Token ids of texts, part by part.
 
     The tokenizer replaces white space by blanks and then drops it, so the ids of a text are those of its words, one
     after another, and those of a word are the ids of its parts: runs of letters, single digits, runs of
-    other characters. Words of a batch are coded once, parts go to the tokenizer's model once, and both
-    stay in caches. Words that hold white space of other kinds, a control character or the beginning of
-    a special token go through the whole tokenizer.
+    other characters. Words of plain ASCII are cut into parts all together, by the classes of neighbouring bytes; words
+    with other characters or an apostrophe stay whole and are split by patterns. Each different unit of a batch
+    is coded once, and ids stay in caches. Words that hold white space of other kinds, a control character
+    or the beginning of a special token go through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
@@ -71,60 +96,88 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.parts, self.odd = re.compile(PARTS).findall, re.compile(ODD).search
-        self.words, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2)
+        self.letters = Letters(self.tokenizer.pre_tokenizer)
+        self.parts, self.odd, self.uncut = re.compile(PARTS).findall, re.compile(ODD).search, re.compile(UNCUT).search
+        self.units, self.pieces = Recent(CACHED_WORDS), Recent(CACHED_WORDS // 2)
 
     def _split(self, words: list[str]) -> list[list[str]]:
-        """Parts of words as the model takes them; plain ones need no more than their lower case."""
-        out, others, parts = [], [], self.parts
+        """Parts of words as the model takes them; words of ASCII need no more than their lower case."""
+        out, others, parts, letters = [], [], self.parts, self.letters
         for i, w in enumerate(words):
-            if not w.isascii():
+            if w.isascii():
+                out.append(parts(w.lower()))
+            else:
                 others.append(i)
                 out.append([])
-            elif w.isalpha():
-                out.append([w.lower()])
-            else:
-                out.append(parts(w.lower()))
         normalizer, pre_tokenizer = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         for at in range(0, len(others), 1000):  # the library keeps some fifty bytes per character of a call
             some = others[at : at + 1000]
             for i, w in zip(some, normalizer.normalize_str(" ".join(words[i] for i in some)).split(" "), strict=True):
-                out[i] = [part for part, _ in pre_tokenizer.pre_tokenize_str(w)]
+                written = w.translate(letters)
+                if NO_LETTER in written:
+                    out[i] = [part for part, _ in pre_tokenizer.pre_tokenize_str(w)]
+                else:
+                    out[i] = parts(written)
         return out
 
-    def _encode(self, words: list[str]) -> None:
-        odd = {w for w in words if not w.isalnum() and self.odd(w)}
-        plain = [w for w in words if w not in odd] if odd else words
+    def _code(self, parts: list[str]) -> Iterator[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        return (array("I", [t.id for t in tokenize(part)]).tobytes() for part in parts)
+
+    def _encode(self, units: list[str]) -> None:
+        uncut, odd, known, young = self.uncut, self.odd, self.pieces, self.units.young
+        whole = [u for u in units if uncut(u)]
+        apart = set(whole)
+        cut = [u for u in units if u not in apart]
+        young.update(zip(cut, self._code([u.lower() for u in cut]), strict=True))
+        plain = [w for w in whole if not odd(w)]
         split = self._split(plain)
-        tokenize, known = self.tokenizer.model.tokenize, self.pieces
-        for part in known.missing({p for parts in split for p in parts}):
-            known.young[part] = array("I", [t.id for t in tokenize(part)]).tobytes()
+        new = known.missing({p for parts in split for p in parts})
+        known.young.update(zip(new, self._code(new), strict=True))
         ids = known.young
-        self.words.young.update((w, b"".join([ids[p] for p in parts])) for w, parts in zip(plain, split, strict=True))
-        for w in odd:
+        young.update((w, b"".join([ids[p] for p in parts])) for w, parts in zip(plain, split, strict=True))
+        for w in apart.difference(plain):
             own = self.tokenizer.encode(w, add_special_tokens=False).ids
-            self.words.young[w] = array("I", own).tobytes()
+            young[w] = array("I", own).tobytes()
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The units of the texts, one after another, and the number of units up to the end of each text."""
+        words = pc.ascii_split_whitespace(texts)
+        data, offsets = buffers(words.flatten())
+        kind = KINDS[data]
+        begins = np.ones(len(data), bool)
+        begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        first = offsets[:-1][np.diff(offsets) > 0]
+        opening = np.zeros(len(data), bool)
+        opening[first] = True
+        whole = np.zeros(len(first), bool)
+        whole[np.searchsorted(first, np.flatnonzero(kind == UNCUT_KIND), side="right") - 1] = True
+        at = np.flatnonzero(begins | opening)
+        opens = opening[at]
+        at = at[opens | ~whole[np.cumsum(opens) - 1]]
+        cuts = pa.py_buffer(np.append(at, len(data)).astype(np.int32))
+        ends = offsets[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+        return pa.StringArray.from_buffers(len(at), cuts, pa.py_buffer(data)), np.searchsorted(at, ends)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids up to the end of each text."""
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are told by their case
             texts = pc.ascii_lower(texts)
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._encode(self.words.missing(distinct))
-        young = self.words.young
-        parts = [young[w] for w in distinct]
+        units, done = self._units(texts)
+        coded = units.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._encode(self.units.missing(distinct))
+        young = self.units.young
+        parts = [young[u] for u in distinct]
         flat = np.frombuffer(b"".join(parts), dtype="<u4")
         size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
         first = np.cumsum(size) - size
-        word = coded.indices.to_numpy(zero_copy_only=False)
-        sizes = size[word]
+        unit = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = size[unit]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(first[word] - (ends - sizes), sizes) + np.arange(total)] if total else flat[:0]
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        return ids, np.concatenate([[0], ends])[offsets[1:]]
+        ids = flat[np.repeat(first[unit] - (ends - sizes), sizes) + np.arange(total)] if total else flat[:0]
+        return ids, np.concatenate([[0], ends])[done]
 
 
 def batches_of(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
