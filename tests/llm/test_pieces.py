@@ -64,3 +64,17 @@ def test_decode_of_odd_ids(spark, model):
     rows = spark.createDataFrame([(1, None), (2, [1, 2, 10**6, -5]), (3, [3 + 0xC3])], "doc_id int, ids array<int>")
     found = {r.doc_id: r.text for r in decode_documents(rows, MODEL).collect()}
     assert found[1] == found[2] == "" and found[3] == "�"
+
+
+def test_border_of_two_pieces_is_judged_as_by_merging():
+    """Costs with ties and pieces that merging does not reach; a piece is merged once, however many pairs it is in."""
+    draw = random.Random(5)
+    for _ in range(20):
+        names = ["a", "b", "c", *{"".join(draw.choice("abc") for _ in range(draw.randint(2, 5))) for _ in range(25)}]
+        vocabulary = Vocabulary({p: (i, -float(draw.randint(0, 12))) for i, p in enumerate(names)}, [0] * 256, merges=True)
+        merged, calls = vocabulary.merged, []
+        vocabulary.merged = lambda text, merged=merged, calls=calls: calls.append(text) or merged(text)
+        found = {(i, j): vocabulary.stay_apart(i, j) for i in range(len(names)) for j in range(len(names))}
+        assert len(calls) == len(names)
+        for (i, j), apart in found.items():
+            assert apart == (merged(names[i] + names[j])[0] == [names[i], names[j]])

@@ -10,6 +10,8 @@ is narrow: no row leaves its task.
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -24,11 +26,13 @@ from zeitton.llm.text import whole
 
 BATCH_BYTES = 2_000_000
 BATCH_IDS = 400_000  # decoded together
-CACHED_WORDS = 80_000  # per generation; two are held
+CACHED_WORDS = 120_000  # per generation; two are held
 CACHED_PAIRS = 150_000
 MARK = "▁"
 UNKNOWN = -1
 
+Trace = list[tuple[float, str, str]]
+
 
 class Vocabulary:
     """Pieces with ids and scores; characters that no piece has fall back to the pieces of their bytes.
@@ -43,7 +47,16 @@ class Vocabulary:
         self.scores, self.byte_ids, self.merges = scores, byte_ids, merges
         self.longest = max(map(len, scores), default=1)
         self.lowest = min((s for _, s in scores.values()), default=0.0)
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.ids = {piece: i for piece, (i, _) in scores.items()}
+        self.costs = {piece: -s for piece, (_, s) in scores.items()}
+        self.names = {i: piece for piece, i in self.ids.items()}
+        self.width = max(self.names, default=0) + 1
+        self.reach: dict[str, int] = {}  # the longest piece that ends with these two characters
+        for piece in scores:
+            if len(piece) > 1:
+                self.reach[piece[-2:]] = max(len(piece), self.reach.get(piece[-2:], 0))
+        self.traces: dict[int, Trace | None] = {}
+        self.apart: dict[int, bool] = {}
 
     @classmethod
     def of_model(cls, model: bytes) -> Vocabulary:
@@ -59,78 +72,130 @@ class Vocabulary:
         # Scores of a BPE are the negative ranks of its merges.
         return cls(scores, byte_ids, all(s == int(s) and s <= 0 for _, s in scores.values()))
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging ends with."""
+    def merged(self, text: str) -> tuple[list[str], Trace]:
+        """The pieces that merging ends with, and each merge's cost with the first and last piece before it."""
+        costs, trace = self.costs, []
         parts: list[str | None] = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue: list[tuple[float, int, str]] = []
+        last = len(parts) - 1
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] < len(parts):
                 both = parts[i] + parts[after[i]]
-                if both in self.scores:
-                    heapq.heappush(queue, (-self.scores[both][1], i, both))
+                if both in costs:
+                    heapq.heappush(queue, (costs[both], i, both))
 
         for i in range(len(parts)):
             offer(i)
         while queue:
-            _, i, both = heapq.heappop(queue)
+            cost, i, both = heapq.heappop(queue)
             if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != both:
                 continue
+            trace.append((cost, parts[0], parts[last]))
             j = after[i]
             parts[i], parts[j], after[i] = both, None, after[j]
             if after[j] < len(parts):
                 before[after[j]] = i
+            if j == last:
+                last = i
             offer(before[i])
             offer(i)
-        return [p for p in parts if p is not None]
-
-    def stay_apart(self, left: str, right: str) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) > CACHED_PAIRS:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merged(left + right) == [left, right]
-        return known
+        return [p for p in parts if p is not None], trace
+
+    def trace(self, i: int) -> Trace | None:
+        """The merges that lead to a piece, and the piece at no cost that could come; null if merging ends with other pieces."""
+        if i not in self.traces:
+            piece = self.names[i]
+            parts, trace = self.merged(piece)
+            self.traces[i] = [*trace, (math.inf, piece, piece)] if parts == [piece] else None
+        return self.traces[i]
+
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces ends with them.
+
+        As long as nothing merges across their border, each side goes through the merges of its own piece, the cheapest next, and
+        among equal costs the leftmost. They stay apart if the merge across the border is never the next one.
+        """
+        own, other, costs = self.trace(left), self.trace(right), self.costs
+        if own is None or other is None:
+            return False
+        i = j = 0
+        while True:
+            a, _, end = own[i]
+            b, begin, _ = other[j]
+            across = costs.get(end + begin, math.inf)
+            if across < a and across <= b and across < math.inf:
+                return False
+            if a == b == math.inf:
+                return True
+            if a <= b:
+                i += 1
+            else:
+                j += 1
+
+    def _go_on_by_merges(self, word: str, last: list[int], begins: list[int]) -> None:
+        """Add the states of the rest of a word: the last piece of each prefix, and where it begins."""
+        id_of, reach, width, known = self.ids.get, self.reach.get, self.width, self.apart
+        for end in range(len(last), len(word) + 1):
+            best, at = UNKNOWN, end - 1
+            stop = end - reach(word[end - 2 : end], 1)
+            for begin in range(end - 1, stop - 1 if stop > 0 else -1, -1):
+                piece = id_of(word[begin:end])
+                if piece is None:
+                    continue
+                before = last[begin]
+                if before != UNKNOWN:
+                    pair = before * width + piece
+                    apart = known.get(pair)
+                    if apart is None:
+                        apart = known[pair] = self.stay_apart(before, piece)
+                    if not apart:
+                        continue
+                best, at = piece, begin
+                break
+            last.append(best)
+            begins.append(at)
+
+    def _go_on_by_sums(self, word: str, last: list[int], begins: list[int], sums: list[float]) -> None:
+        """The same for scores whose sum counts."""
+        for end in range(len(last), len(word) + 1):
+            best = None
+            for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                entry = self.scores.get(word[begin:end])
+                if entry is not None and (best is None or sums[begin] + entry[1] > best[0]):
+                    best = (sums[begin] + entry[1], entry[0], begin)
+            if best is None:  # a character of no piece
+                best = (sums[end - 1] + self.lowest - 10, UNKNOWN, end - 1)
+            for column, value in zip((sums, last, begins), best, strict=True):
+                column.append(value)
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
-        """Ids of sorted words. A state: the score of the best path here, its last piece, and where that begins."""
-        scores, longest, merges = self.scores, self.longest, self.merges
-        states: list[tuple[float, str | None, int]] = [(0.0, None, 0)]
-        found, last = [], ""
+        """Ids of sorted words. A state: the last piece of the best path here, where that begins, and the path's score."""
+        if len(self.apart) > CACHED_PAIRS:
+            self.apart.clear()
+        last, begins, sums = [UNKNOWN], [0], [0.0]
+        found, previous = [], ""
         for word in words:
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
+            shared, most = 0, min(len(word), len(previous))
+            while shared < most and word[shared] == previous[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best = None
-                for begin in range(end - 1, max(-1, end - 1 - longest), -1):
-                    piece = word[begin:end]
-                    entry = scores.get(piece)
-                    if entry is None:
-                        continue
-                    score, before, _ = states[begin]
-                    if merges:
-                        if before is None or self.stay_apart(before, piece):
-                            best = (0.0, piece, begin)
-                            break
-                    elif best is None or score + entry[1] > best[0]:
-                        best = (score + entry[1], piece, begin)
-                if best is None:  # a character of no piece
-                    best = (states[end - 1][0] + self.lowest - 10, None, end - 1)
-                states.append(best)
+            del last[shared + 1 :], begins[shared + 1 :], sums[shared + 1 :]
+            if self.merges:
+                self._go_on_by_merges(word, last, begins)
+            else:
+                self._go_on_by_sums(word, last, begins, sums)
             ids, at = [], len(word)
             while at:
-                _, piece, begin = states[at]
-                if piece is None:
+                piece, begin = last[at], begins[at]
+                if piece == UNKNOWN:
                     ids.extend(self.byte_ids[b] for b in reversed(word[begin:at].encode("utf-8")))
                 else:
-                    ids.append(scores[piece][0])
+                    ids.append(piece)
                 at = begin
             ids.reverse()
             found.append(ids)
-            last = word
+            previous = word
         return found
 
 
@@ -152,7 +217,7 @@ class Encoder:
         cuts = np.append(np.flatnonzero(begins), len(data))
         words = pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         parts = self._parts(distinct)
         flat = np.frombuffer(b"".join(parts), np.int32)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
@@ -177,7 +242,7 @@ class Encoder:
                     unknown.append(w)
         unknown.sort()
         for w, ids in zip(unknown, self.vocabulary.encode_sorted(unknown), strict=True):
-            young[w] = np.array(ids, np.int32).tobytes()
+            young[w] = array("i", ids).tobytes()
         return [young[w] for w in distinct]
 
 
