@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from zeitton.llm.components import connected_components
+from zeitton.llm.memory import lean
 from zeitton.llm.packing import batches_of
 from zeitton.llm.shingles import Powers, permutations, shingle_hashes, signatures
 from zeitton.llm.text import SPACE, hash_pair, known_id, whole
@@ -27,7 +28,7 @@ BANDS, BAND_ROWS = 42, 6  # at a similarity of 0.8 all bands miss a pair with pr
 HASHES = BANDS * BAND_ROWS
 STEP = 28  # MinHash values compared between two looks at the posterior
 TILE = 512
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000  # texts hashed together, at some fifty bytes of arrays for each of theirs
 
 
 def least_matches(threshold: float, tolerance: float, step: int = STEP, total: int = HASHES) -> list[int]:
@@ -92,6 +93,7 @@ def sketch(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """``row, doc_id, h1, h2, bands``: a number and a text hash per row; no bands for a text without words."""
     factors, shifts = permutations(HASHES, seed)
 
+    @lean
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -129,6 +131,7 @@ def with_sets(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """``root, tile, tiles, node, copies`` of candidates with their shingle set and signature as bytes."""
     factors, shifts = permutations(HASHES, seed)
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:

@@ -20,13 +20,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from zeitton.llm.memory import lean
 from zeitton.llm.shingles import buffers
 from zeitton.llm.text import whole
 from zeitton.session import stage
 
 GROUP_PIECES = 20_000  # pieces packed together, about
-BATCH_BYTES = 8_000_000  # texts tokenised together
-CACHED_WORDS = 400_000  # words per generation of the cache; two generations are held during a task
+BATCH_BYTES = 1_000_000  # texts tokenised together
+CACHED_WORDS = 100_000  # words per generation of the cache; two generations are held during a task
 END_ID = 2
 
 # The parts of a word in lower case, as the tokenizer splits it, if all that is not ASCII is letters.
@@ -194,6 +195,7 @@ def batches_of(texts: pa.Array, limit: int) -> Iterator[tuple[int, pa.Array]]:
 def cut_pieces(df: DataFrame, definition: str, id_col: str, text_col: str, length: int) -> DataFrame:
     """One row per piece: each document's ids and the end id, cut every ``length`` ids."""
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(definition)
         for batch in batches:

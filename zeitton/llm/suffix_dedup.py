@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from zeitton.functions.text import once
+from zeitton.llm.memory import lean
 from zeitton.llm.packing import batches_of
 from zeitton.llm.shingles import Powers, U, buffers, mix
 from zeitton.llm.suffix_array import ranges, suffix_arrays
@@ -23,7 +25,7 @@ from zeitton.llm.text import known_id, let, whole
 from zeitton.session import stage
 
 ANCHOR = 48
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000  # texts hashed together, at some hundred bytes of arrays for each of theirs
 ARRAY_BYTES = 1_500_000  # strings whose suffixes are sorted side by side
 MOST = 64  # different contexts of one key that share a suffix array
 PARTS = (35, 9, 2, 1)  # windows per part when keys are split again
@@ -77,6 +79,7 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
     """``doc, hash, fp, ctx, low, more, place``: one row per context of each text of ``doc, hash, text``."""
     names = [*DOC, *KEY, "low", "more", "place"]
 
+    @lean
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
@@ -125,6 +128,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def sorted_out(rows: DataFrame, length: int) -> DataFrame:
     """``key, sub, begin, end`` of repeated bytes from ``size, key, sub, n, windows, data``, sizes bounded."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         held: list[list[tuple]] = []
@@ -168,6 +172,7 @@ def split_again(rows: DataFrame, part: int, length: int) -> DataFrame:
     Parts and shared bytes are counted from the anchor, so those of equal windows are equal.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = batch.to_pylist()
@@ -249,7 +254,8 @@ def cut_out(df: DataFrame, as_text: bool) -> DataFrame:
             names=["kept", "n_removed", "n_spans"],
         )
 
-    done = df.withColumn("done", cut(F.col("text"), F.col("spans")))
+    # A filter on what is kept would cut every text again, with workers of its own.
+    done = once(df, "done", cut(F.col("text"), F.col("spans")))
     return done.select(*(c for c in df.columns if c not in ("text", "spans")), "done.kept", "done.n_removed", "done.n_spans")
 
 

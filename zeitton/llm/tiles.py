@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from zeitton.llm.components import connected_components, forest
+from zeitton.llm.memory import lean
 from zeitton.session import stage
 
 LINKS = "node bigint, links bigint, parent bigint"
@@ -47,6 +48,7 @@ def tile_links(rows: DataFrame, payload: list[str], linker: Linker) -> DataFrame
         frame = pd.DataFrame({"node": node, "links": links.astype(np.int64), "parent": node[forest(x, y, len(rows))]})
         return frame[frame.links > 0]
 
+    @lean
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows = None, []
         for frame in frames:
